@@ -67,7 +67,7 @@ WITH RECURSIVE prefs AS (
   FROM range({_SHARDS}) t(s)),
 orders AS (SELECT list(o ORDER BY shard) AS os, list(k ORDER BY shard) AS ks FROM prefs),
 fill(turn, free, step, slot, shard) AS (
-  SELECT 0, list_transform(range({_SLOTS}), x -> true), list_transform(range({_SHARDS}), x -> 0::BIGINT), -1::BIGINT, -1
+  SELECT 0, list_transform(range({_SLOTS}), lambda x: true), list_transform(range({_SHARDS}), lambda x: 0::BIGINT), -1::BIGINT, -1
   UNION ALL
   SELECT turn + 1, list_concat(list_concat(free[1:claimed], [false]), free[claimed + 2:{_SLOTS}]),
          list_concat(list_concat(step[1:s], [pos + 1]), step[s + 2:{_SHARDS}]), claimed, s
@@ -75,7 +75,7 @@ fill(turn, free, step, slot, shard) AS (
     SELECT turn, free, step, s, pos, (os[s + 1] + pos * ks[s + 1]) % {_SLOTS} AS claimed
     FROM (
       SELECT turn, free, step, turn % {_SHARDS} AS s, os, ks,
-             list_filter(range(step[turn % {_SHARDS} + 1], {_SLOTS}), j -> free[(os[turn % {_SHARDS} + 1] + j * ks[turn % {_SHARDS} + 1]) % {_SLOTS} + 1])[1] AS pos
+             list_filter(range(step[turn % {_SHARDS} + 1], {_SLOTS}), lambda j: free[(os[turn % {_SHARDS} + 1] + j * ks[turn % {_SHARDS} + 1]) % {_SLOTS} + 1])[1] AS pos
       FROM fill, orders WHERE turn < {_SLOTS})))
 SELECT doc_id, d.slot::INTEGER AS slot, f.shard::INTEGER AS shard
 FROM (SELECT doc_id, {_DRAW.format(seed=maglev.SEED)} % {_SLOTS} AS slot FROM documents) d JOIN fill f ON f.slot = d.slot"""
