@@ -11,7 +11,7 @@ before they are shuffled, so a group that holds a third of all rows arrives
 as one entry from each task.
 
 *Byte verification.* Digests with more than one row are hits. A bitmap over
-the hits' digests, of a size bounded by ``FILTER_BITS``, is broadcast and lets
+the hits' digests, of a bounded size, is broadcast and lets
 pass the rows that may be hits; only these carry their text, to be grouped by
 the text itself. Texts that differ under one digest are thus kept apart. Here
 too, rows are combined before the shuffle.
@@ -29,13 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cambium.llm.columns import lower_ascii
+from cambium.llm.filters import bitmap_of, may_contain
 from cambium.plans.scratch import written
 
 #: Runs at the lowest level, and how many of them one compaction of the second level merges.
 RUNS, FAN_IN = 256, 16
-#: Bits of the largest filter: 2^26 bits are 8 MB.
-FILTER_BITS = 26
-_PAGE = 32768  # bits in one page of Spark's bitmaps
 
 
 def normalised(text: Column) -> Column:
@@ -43,33 +41,6 @@ def normalised(text: Column) -> Column:
     return lower_ascii(F.coalesce(text, F.lit("")))
 
 
-def _bit(digest: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(1 << bits))
-
-
-def _page(bit: Column) -> Column:
-    return F.floor(bit / _PAGE)
-
-
-def hit_filter(hits: DataFrame, n_hits: int) -> tuple[DataFrame, int]:
-    """A bitmap with a bit for each hit's digest as rows (page, bitmap), and the power of two of its bits.
-
-    At most 2^(FILTER_BITS - 15) rows of 4 KB, whatever the number of hits.
-    """
-    bits = min(FILTER_BITS, max(15, (16 * n_hits).bit_length()))
-    bit = _bit(F.col("digest"), bits)
-    return hits.groupBy(_page(bit).alias("page")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(_PAGE))).alias("bitmap")), bits
-
-
-def may_hit(rows: DataFrame, bitmap: DataFrame, bits: int) -> DataFrame:
-    """Rows whose ``digest`` may be in the filter: all that are, and few others."""
-    out = rows.withColumn("_bit", _bit(F.col("digest"), bits)).withColumn("page", _page(F.col("_bit")))
-    out = out.join(F.broadcast(bitmap), "page")
-    offset = F.pmod(F.col("_bit"), F.lit(_PAGE))
-    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(offset / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return out.where(byte.bitwiseAND(F.pow(F.lit(2), offset % 8).cast("int")) != 0).drop("_bit", "page", "bitmap")
-
-
 def digested(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds ``run`` and ``digest`` (sha-256, binary) to whole rows."""
     return docs.withColumn("digest", F.unhex(F.sha2(normalised(F.col(text_col)), 256))).withColumn("run", F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(RUNS)).cast("int"))
@@ -99,9 +70,9 @@ def compact(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 def collisions(docs: DataFrame, low: DataFrame, top: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digests under which rows differ in their bytes, from the texts of all rows that hit."""
     hits = top.where("n > 1").select("digest")
-    bitmap, bits = hit_filter(hits, hits.count())
+    bitmap, bits = bitmap_of(hits, F.col("digest"), hits.count())
     rows = digested(docs.select(id_col, text_col), id_col, text_col)
-    rows = may_hit(rows, bitmap, bits).select("run", "digest", normalised(F.col(text_col)).alias("text"))
+    rows = may_contain(rows, F.col("digest"), bitmap, bits).select("run", "digest", normalised(F.col(text_col)).alias("text"))
     texts = rows.groupBy("run", "digest", "text").agg(F.lit(1).alias("one"))
     return texts.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("digest")
 

@@ -7,20 +7,55 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cambium.llm import exact_dedup, maglev, mixing
+from cambium.llm import bpe, ctw, exact_dedup, html_extract, licenses, maglev, mixing, ngram_join, spotsigs
+from cambium.llm import quality as quality_model
 from cambium.llm.columns import n_words
 from cambium.sources.tables import table
 
 
+def op1_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scored(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"), ngram_join.Level(3, 9, 10)).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maglev.place(table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "slot", "shard")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.neighbours(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -88,9 +123,33 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        r = 1 AS kept, sha256(t) AS text_sha256
 FROM numbered"""
 
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * common >= 90 * (p.n + q.n - common)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM words UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT w.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id
+FROM words w JOIN reach r ON r.doc_id = w.doc_id LEFT JOIN sizes z ON z.doc_id = w.doc_id GROUP BY w.doc_id"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_context_tree_scores": op1_context_tree_scores,
     "op2_mix_sources": op2_mix_sources,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_shard_placement": op4_shard_placement,
+    "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_license_scan": op6_license_scan,
+    "op7_main_text": op7_main_text,
+    "op8_quality": op8_quality,
+    "op9_spot_fingerprints": op9_spot_fingerprints,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLES: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op4_shard_placement": OP4_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op4_shard_placement": OP4_SQL, "op10_exact_dedup": OP10_SQL}
