@@ -39,10 +39,10 @@ from pyspark.sql import functions as F
 from cambium.llm.words import U64, hashed, one_array, steps, words_of
 from cambium.plans.scratch import written
 
-DEPTH = 4
+DEPTH = 5
 FOLDS = 10
 #: Bytes of text in a block, shards of each kind, and arrays that one merge takes.
-BLOCK_BYTES, SHARDS, FAN = 12 << 20, 64, 256
+BLOCK_BYTES, SHARDS, FAN = 16 << 20, 64, 256
 GRAMS, WORDS = 0, 1
 _END = 0x0A
 
@@ -96,12 +96,23 @@ def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return k[at], np.add.reduceat(c, at)
 
 
-def _blob(x: np.ndarray) -> bytes:
-    return x.tobytes()
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of an array, first bytes first: equal high bytes then compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
-def _array(blob: bytes, kind) -> np.ndarray:
-    return np.frombuffer(blob, kind)
+def _unplaned(blob: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return _planes(np.diff(keys, prepend=U64(0)))
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unplaned(blob, U64), dtype=U64)
 
 
 def shard_of(keys: np.ndarray, kind: int, shards: int) -> np.ndarray:
@@ -133,7 +144,7 @@ def counted(group: pa.Table, shards: int) -> pa.Table:
         for s in range(shards):
             mine = shard == s
             if mine.any():
-                rows.append((kind, s, block, _blob(k[mine]), _blob(c[mine].astype(np.int64))))
+                rows.append((kind, s, block, _pack(k[mine]), _planes(c[mine].astype(np.int64))))
     return _rows(rows, BLOBS)
 
 
@@ -146,7 +157,7 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 
 def _merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return added([_array(x, U64) for x in group["keys"].to_pylist()], [_array(x, np.int64) for x in group["counts"].to_pylist()])
+    return added([_unpack(x) for x in group["keys"].to_pylist()], [_unplaned(x, np.int64) for x in group["counts"].to_pylist()])
 
 
 # --- the tree ----------------------------------------------------------------------------------------------------
@@ -270,7 +281,7 @@ def summary(group: pa.Table) -> pa.Table:
 def _merge_level(group: pa.Table) -> pa.Table:
     keys, counts = _merged(group)
     first = [group[c][0].as_py() for c in ("kind", "shard")]
-    return _rows([(*first, group["parent"][0].as_py(), _blob(keys), _blob(counts))], BLOBS)
+    return _rows([(*first, group["parent"][0].as_py(), _pack(keys), _planes(counts))], BLOBS)
 
 
 ANSWERS_SQL = "kind int, shard int, block long, keys binary, answers binary"
@@ -291,8 +302,8 @@ def _answer_top(top: Top):
 def _asked(group: pa.Table, keys: np.ndarray, values: np.ndarray) -> pa.Table:
     rows = []
     for kind, shard, block, blob in zip(*(group[c].to_pylist() for c in ("kind", "shard", "block", "keys")), strict=True):
-        own = values[np.searchsorted(keys, _array(blob, U64))]
-        rows.append((kind, shard, block, blob, _blob(own.astype(np.float32 if kind == GRAMS else np.float64))))
+        own = values[np.searchsorted(keys, _unpack(blob))]
+        rows.append((kind, shard, block, blob, _planes(own.astype(np.float32 if kind == GRAMS else np.float64))))
     return _rows(rows, ANSWERS)
 
 
@@ -301,8 +312,8 @@ def _answer_down(children: pa.Table, parents: pa.Table) -> pa.Table:
     if not children.num_rows:
         return _rows([], ANSWERS)
     kind = children["kind"][0].as_py()
-    keys = np.concatenate([_array(x, U64) for x in parents["keys"].to_pylist()])
-    values = np.concatenate([_array(x, np.float32 if kind == GRAMS else np.float64) for x in parents["answers"].to_pylist()])
+    keys = np.concatenate([_unpack(x) for x in parents["keys"].to_pylist()])
+    values = np.concatenate([_unplaned(x, np.float32 if kind == GRAMS else np.float64) for x in parents["answers"].to_pylist()])
     return _asked(children, keys, values)
 
 
@@ -327,8 +338,8 @@ def _scores(tokens: int, distinct: int):
         known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for kind, dtype in ((GRAMS, np.float32), (WORDS, np.float64)):
             mine = answers.filter(pc.equal(answers["kind"], kind))
-            keys = np.concatenate([np.zeros(0, U64), *(_array(x, U64) for x in mine["keys"].to_pylist())])
-            values = np.concatenate([np.zeros(0, dtype), *(_array(x, dtype) for x in mine["answers"].to_pylist())])
+            keys = np.concatenate([np.zeros(0, U64), *(_unpack(x) for x in mine["keys"].to_pylist())])
+            values = np.concatenate([np.zeros(0, dtype), *(_unplaned(x, dtype) for x in mine["answers"].to_pylist())])
             order = np.argsort(keys)
             known[kind] = keys[order], values[order].astype(np.float64)
         for b in steps(iter(docs.combine_chunks().to_batches()), "text"):
