@@ -239,7 +239,7 @@ def greedy_separated(df: DataFrame, keys: list[str], order: str, score: str, sep
     """
     import pandas as pd
 
-    schema = df.schema.add("pick", "int")
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, pick int"
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(order, kind="mergesort").reset_index(drop=True)

@@ -81,7 +81,7 @@ def detect(df: DataFrame, keys: list[str], order: str, rule: Rule | None = None)
     """The state machine over each group's rows (keys, order, class)."""
     rule = rule or Rule()
     use = df.select(*keys, order, "class")
-    schema = use.schema.add("decision", "string")
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in use.schema)}, decision string"
     return use.groupBy(*keys).applyInPandas(lambda g: _walk(g, order, (0, 0, False), rule)[0], schema)
 
 
@@ -89,7 +89,7 @@ def detect_stream(df: DataFrame, key: str, order: str, rule: Rule | None = None)
     """The same over a stream: rows of a key arrive in order over the batches, its state is kept between them."""
     rule = rule or Rule()
     use = df.select(key, order, "class")
-    schema = use.schema.add("decision", "string")
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in use.schema)}, decision string"
 
     def run(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = tuple(state.get) if state.exists else (0, 0, False)
