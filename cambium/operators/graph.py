@@ -9,10 +9,16 @@ from cambium.functions.scalars import ratio
 from cambium.plans.scratch import written
 
 
+def without_self_edges(edges: DataFrame, i: str = "i", j: str = "j") -> DataFrame:
+    """``edges``; an error if one leads to itself."""
+    if not edges.where(F.col(i) == F.col(j)).limit(1).isEmpty():
+        raise ValueError("an edge leads to itself")
+    return edges
+
+
 def symmetric(edges: DataFrame, i: str = "i", j: str = "j", *columns: str) -> DataFrame:
-    """Both directions of every edge; a self-edge is an error."""
-    both = edges.select(F.col(i).alias("src"), F.col(j).alias("dst"), *columns).unionByName(edges.select(F.col(j).alias("src"), F.col(i).alias("dst"), *columns))
-    return both.withColumn("src", F.when(F.col("src") == F.col("dst"), F.raise_error(F.lit("self-edge")).cast(both.schema["src"].dataType)).otherwise(F.col("src")))
+    """Both directions of every edge."""
+    return edges.select(F.col(i).alias("src"), F.col(j).alias("dst"), *columns).unionByName(edges.select(F.col(j).alias("src"), F.col(i).alias("dst"), *columns))
 
 
 def weighted_adjacency(edges: DataFrame, weight: str) -> DataFrame:

@@ -261,7 +261,7 @@ def direction(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(d.select("i", "j", X.support("f", "b").alias("support"), X.directionality("f", "b", 0.5).alias("direction"), X.reciprocity("f", "b", 0.5).alias("reciprocity")))
 
 
-PEN = "ln(1 + greatest(abs(pressure), 0) / 0.01)"
+PEN = "CASE WHEN pressure IS NOT NULL THEN ln(1 + abs(pressure) / 0.01) END"
 PEN_N = "exp(-greatest(n, 0) / 2.0)"
 
 
@@ -526,9 +526,9 @@ def duals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("vx14_transport_class", sql("SELECT i, j, CASE WHEN ni <= 1e-12 AND nj <= 1e-12 THEN 'IDENTITY' WHEN ni <= 1e-12 OR nj <= 1e-12 THEN 'ONE_SIDED' WHEN d / (ni * nj) <= -1 + 1e-9 THEN 'ANTIPODAL' ELSE 'ROTATION' END AS status FROM (SELECT i, j, sqrt(list_dot_product(si, si)) * (i % 3) AS ni, sqrt(list_dot_product(sj, sj)) * (j % 3) AS nj, list_dot_product(si, sj) * (i % 3) * (j % 3) AS d FROM pairs)", POINTS, PAIRS))
 def transport(spark: SparkSession, sf: str) -> DataFrame:
-    s = state_pairs(spark, sf).withColumns({k: F.transform(f"state_{k}", lambda v, k=k: v * (F.col(k) % 3)) for k in "ij"} | {"a": F.col("i"), "b": F.col("j")})
-    norm = lambda k: F.sqrt(X.dot(k, k))
-    return s.select(F.col("a").alias("i"), F.col("b").alias("j"), X.transport_class(X.dot("i", "j"), norm("i"), norm("j")).alias("status"))
+    # Multiples of each state, so that zero states occur.
+    s = state_pairs(spark, sf).withColumns({"q": F.transform("state_i", lambda v: v * (F.col("i") % 3)), "r": F.transform("state_j", lambda v: v * (F.col("j") % 3))})
+    return s.select("i", "j", X.transport_class(X.dot("q", "r"), F.sqrt(X.dot("q", "q")), F.sqrt(X.dot("r", "r"))).alias("status"))
 
 
 @query("vx15_16_loop_holonomy")
@@ -662,13 +662,13 @@ def nesting(spark: SparkSession, sf: str) -> DataFrame:
     return partitions.nesting(c.select("cell", "node"), c.select("cell", F.col("region").alias("node")))
 
 
-AGREE = "t AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM lineitem GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER () AS tot FROM t)"
+AGREE = "t AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER () AS tot FROM t)"
 
 
 @query("hi18_ts13_agreement", sql(f"SELECT {r6('sum(n / tot * (log2(na / n) + log2(nb / n)))')} AS vi_bits, {r6('(any_value(tot * (tot - 1) / 2) - (SELECT sum(s * (s - 1) / 2) FROM (SELECT sum(n) AS s FROM t GROUP BY a)) - (SELECT sum(s * (s - 1) / 2) FROM (SELECT sum(n) AS s FROM t GROUP BY b)) + 2 * sum(n * (n - 1) / 2)) / any_value(tot * (tot - 1) / 2)')} AS pair_agreement, {r6('(SELECT avg(j) FROM (SELECT max(n / (na + nb - n)) AS j FROM m GROUP BY a))')} AS mean_best_jaccard FROM m", AGREE))
 def agreement(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("cell"), "l_returnflag", "l_linestatus")
-    return rounded(partitions.agreement(li.select("cell", F.col("l_returnflag").alias("node")), li.select("cell", F.col("l_linestatus").alias("node"))))
+    o = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "cell")
+    return rounded(partitions.agreement(o.select("cell", F.col("o_orderstatus").alias("node")), o.select("cell", F.col("o_orderpriority").alias("node"))))
 
 
 @query("hi19_transitions", sql(f"SELECT region AS parent, count(*) AS children, CAST(sum(n) AS BIGINT) AS mass, {r6('max(n) / sum(n)')} AS largest_share FROM (SELECT node, region, count(*) AS n FROM cells GROUP BY ALL) GROUP BY region HAVING count(*) >= 2", LABELS))
