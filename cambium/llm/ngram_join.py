@@ -7,9 +7,8 @@ most H tokens, H from the band's largest size. The universe of tokens is
 hashed into H + 1 + g segments, so at least g + 1 segments hold the very same
 subset in both sets: the segments' subsets are the index keys.
 
-Some subsets are worthless as keys: empty ones, and those that many sets have
-that are no near copies of one another. Each set leaves these out, at a cost:
-with h left out, h <= g still guarantees a common key. Beyond g, the pair's
+Empty subsets are worthless as keys, for any two sets may have them. Each set
+leaves out its own, h of them, at a cost: h <= g still guarantees a common key. Beyond g, the pair's
 common subsets may all be left out; then its other segments differ in one
 token or more each, at most h - 1 - g of them in more than one. So the first
 2h - g segments of such a set are also indexed by one-deletion neighbourhoods:
@@ -17,13 +16,18 @@ the subset, and the subset without each one of its tokens. A subset's key is a
 sum over tokens, so a neighbour's key takes one subtraction.
 
 *Links.* Members of one key are first compared with the least of them, which
-settles the key if all of them end in one component, as for copies. Only keys
-whose members are still in several components give all pairs across these; if
-such a key has over ``HOT`` members, it is left out as above instead and its
-members fall to one-deletion keys. Every candidate is verified by
-intersecting the sets, and only texts with candidates are read a second time.
-No link between different components is missed, and no pair within one is
-needed.
+settles the key if all of them end in one component, as for most copies. Of
+keys whose members are still in several components, those with few members
+give the pairs across these. The others belong to families of near copies, of
+which many are just too far apart. A family gets a consensus, the tokens that
+over half of its members have, and a member is described by what it has
+besides (a tokens) and what it lacks (b tokens). Members are compared with the
+one nearest the consensus. Two others can only link if ``a1 + a2 + |b1 - b2|``
+is within what their sizes allow, which is looked up among the few values of
+(a, b) that occur, or if they have a token besides in common, which few have.
+Every candidate is verified by intersecting the
+sets, and only texts with candidates are read a second time. No link between
+different components is missed, and no pair within one is needed.
 """
 
 from __future__ import annotations
@@ -44,8 +48,8 @@ from cambium.llm.filters import bitmap_of, may_contain
 from cambium.llm.words import U64, hashed, mix, one_array, shingles, steps, words_of
 from cambium.plans.scratch import written
 
-#: Members of an unsettled key beyond which it is left out for one-deletion keys.
-HOT = 64
+#: Members of an unsettled key up to which all its pairs across components are verified at once.
+FEW = 12
 #: Ratio of a band's bounds.
 RATIO = 1.25
 
@@ -91,35 +95,26 @@ def schemes(level: Level, size: int) -> list[tuple[int, Band]]:
     return [(k, b) for k, b in enumerate(all_bands) if b.high >= size and level.num * b.low <= level.den * size]
 
 
-def keys_of(tokens: np.ndarray, level: Level, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set of token hashes: exact subsets, and one-deletion neighbourhoods where they are due.
-
-    With ``hot`` (exact keys to leave out) only the neighbourhood keys that this makes due.
-    """
-    exact, near = [], []
+def keys_of(tokens: np.ndarray, level: Level) -> np.ndarray:
+    """Keys of a set of token hashes: exact subsets, and one-deletion neighbourhoods where they are due."""
+    keys = [np.zeros(0, U64)]
     token = mix(tokens)
     for k, band in schemes(level, len(tokens)):
         m = band.segments
-        segment = ((tokens >> U64(32)) * U64(m)) >> U64(32)
-        segment = segment.astype(np.int64)
+        segment = (((tokens >> U64(32)) * U64(m)) >> U64(32)).astype(np.int64)
         value = np.bincount(segment, weights=(token & U64(0xFFFFFFFF)).astype(float), minlength=m).astype(U64)
         value += np.bincount(segment, weights=(token >> U64(32)).astype(float), minlength=m).astype(U64) << U64(32)
         full = np.bincount(segment, minlength=m) > 0
         salt = mix(np.arange(m).astype(U64) + U64((k + 1) << 24))
-        key = mix(value ^ salt)
-        if hot is None:
-            exact.append(key[full])
-            left_out = m - int(full.sum())
-        else:
-            left_out = m - int(full.sum()) + int(np.isin(key[full], hot).sum())
-        due = min(m, 2 * left_out - band.slack) if left_out > band.slack else 0
-        if due:
+        keys.append(mix(value ^ salt)[full])
+        left_out = m - int(full.sum())
+        if left_out > band.slack:
+            due = min(m, 2 * left_out - band.slack)
             other = mix(salt + U64(1))
-            near.append(mix(value[:due] ^ other[:due]))
+            keys.append(mix(value[:due] ^ other[:due]))
             inside = segment < due
-            near.append(mix((value[segment[inside]] - token[inside]) ^ other[segment[inside]]))
-    none = np.zeros(0, U64)
-    return np.concatenate([none, *exact]), np.concatenate([none, *near])
+            keys.append(mix((value[segment[inside]] - token[inside]) ^ other[segment[inside]]))
+    return np.concatenate(keys)
 
 
 def sets_of(text: pa.Array, level: Level) -> list[np.ndarray]:
@@ -163,7 +158,7 @@ def _keyed(level: Level):
                 if not len(s) or (p := _print(s)) in seen:
                     continue
                 seen.add(p)
-                mine = np.concatenate(keys_of(s, level))
+                mine = keys_of(s, level)
                 keys.append(mine)
                 nodes.append(_signed(p))
                 counts.append(len(mine))
@@ -184,19 +179,6 @@ def _with_sets(level: Level):
     return run
 
 
-def _neighbourhoods(level: Level):
-    """Neighbourhood keys of sets with keys left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for cid, tokens, hot in zip(*(b.column(i) for i in range(3)), strict=True):
-                _, near = keys_of(tokens.values.to_numpy(zero_copy_only=False).view(U64), level, hot.values.to_numpy(zero_copy_only=False).view(U64))
-                if len(near):
-                    yield pa.RecordBatch.from_arrays([pa.array(near.view(np.int64)), pa.array(np.full(len(near), cid.as_py(), np.int64))], names=["key", "cid"])
-
-    return run
-
-
 class Join:
     """One run of the join over a table; ``rows`` and ``classes`` are written tables."""
 
@@ -234,47 +216,87 @@ class Join:
         right = self.tokens.select(F.col("cid").alias("b"), F.col("tokens").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         union = F.size("x") + F.size("y") - both
-        return pairs.join(right, "b").join(left, "a").where(both * self.level.den >= union * self.level.num).select("a", "b")
+        return pairs.select("a", "b").join(right, "b").join(left, "a").where(both * self.level.den >= union * self.level.num).select("a", "b")
 
     def stars(self, members: DataFrame) -> DataFrame:
         """Each member of a key with the least one."""
         hub = F.min(F.struct("cid", "n")).over(Window.partitionBy("key"))
         out = members.withColumn("hub", hub).where(F.col("cid") != F.col("hub.cid"))
-        return out.where(self.close("n", "hub.n")).select(F.col("hub.cid").alias("a"), F.col("cid").alias("b")).distinct()
+        return out.select(F.col("hub.cid").alias("a"), F.col("cid").alias("b"), self.close("n", "hub.n").alias("close")).distinct()
+
+    def named(self, members: DataFrame, label: DataFrame) -> DataFrame:
+        """Members with their component ``c``."""
+        out = members.join(label.select(F.col("node").alias("cid"), "component"), "cid", "left")
+        return out.withColumn("c", F.coalesce("component", "cid")).drop("component")
 
     def unsettled(self, members: DataFrame, label: DataFrame) -> DataFrame:
         """Members of keys that are in several components, with component ``c`` and the key's members ``size``."""
-        named = members.join(label.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("c", F.coalesce("component", "cid")).drop("component")
         by_key = Window.partitionBy("key")
-        out = named.withColumn("lo", F.min("c").over(by_key)).withColumn("hi", F.max("c").over(by_key)).where("lo <> hi")
+        out = self.named(members, label).withColumn("lo", F.min("c").over(by_key)).withColumn("hi", F.max("c").over(by_key)).where("lo <> hi")
         return out.withColumn("size", F.count("*").over(by_key)).select("key", "cid", "n", "c", "size")
 
-    def across(self, open_: DataFrame, tried: DataFrame) -> DataFrame:
-        """Pairs of members of a key in different components that weren't verified yet."""
+    def across(self, open_: DataFrame) -> DataFrame:
+        """Pairs of members of a key in different components."""
         x = open_.select("key", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
         y = open_.select("key", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-        pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & self.close("na", "nb")).select("a", "b").distinct()
-        return pairs.join(tried, ["a", "b"], "left_anti")
+        return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & self.close("na", "nb")).select("a", "b").distinct()
+
+    def described(self, many: DataFrame) -> DataFrame:
+        """Members (cid, n, c) of the families that keys connect, each with its family, a, b and the tokens besides the consensus."""
+        hub = many.select("cid", F.min("cid").over(Window.partitionBy("key")).alias("hub"))
+        family = components(hub.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), "family").select(F.col("node").alias("cid"), F.col("component").alias("family"))
+        rows = written(many.select("cid", "n", "c").distinct().join(family, "cid").join(self.tokens, "cid"), "family")
+        size = rows.groupBy("family").agg(F.count("*").alias("members"))
+        common = rows.select("family", F.explode("tokens").alias("t")).groupBy("family", "t").agg(F.count("*").alias("k")).join(size, "family").where("2 * k > members")
+        consensus = common.groupBy("family").agg(F.collect_list("t").alias("consensus"))  # at most twice the mean size of a set
+        rows = rows.join(consensus, "family", "left").withColumn("consensus", F.coalesce("consensus", F.array().cast("array<long>")))
+        rows = rows.withColumn("more", F.array_except("tokens", "consensus")).withColumn("a", F.size("more"))
+        return written(rows.select("family", "cid", "n", "c", "more", "a", (F.size("consensus") - (F.col("n") - F.col("a"))).alias("b")), "described")
+
+    def centres(self, d: DataFrame) -> DataFrame:
+        """Members with the one nearest their family's consensus."""
+        mid = d.groupBy("family").agg(F.min_by(F.struct(F.col("cid").alias("cid"), F.col("n").alias("n"), F.col("c").alias("c")), F.struct(F.col("a") + F.col("b"), F.col("cid"))).alias("m"))
+        out = d.join(mid, "family").where((F.col("c") != F.col("m.c")) & self.close("n", "m.n"))
+        return out.select(F.least("cid", "m.cid").alias("a"), F.greatest("cid", "m.cid").alias("b"))
+
+    def near_consensus(self, d: DataFrame) -> DataFrame:
+        """Pairs across components whose (a, b) allow a link without a common token besides the consensus."""
+        kinds = d.groupBy("family", "a", "b", "n").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+        left, right = (kinds.select("family", *[F.col(x).alias(f"{x}{k}") for x in ("a", "b", "n", "lo", "hi")]) for k in (1, 2))
+        apart = F.col("a1") + F.col("a2") + F.abs(F.col("b1") - F.col("b2"))
+        some = F.least("lo1", "lo2") != F.greatest("hi1", "hi2")
+        may = left.join(right, "family").where(some & (apart * (self.level.den + self.level.num) <= (F.col("n1") + F.col("n2")) * (self.level.den - self.level.num)))
+        one, two = (d.select("family", *[F.col(x).alias(f"{x}{k}") for x in ("cid", "c", "a", "b", "n")]) for k in (1, 2))
+        out = may.join(one, ["family", "a1", "b1", "n1"]).join(two, ["family", "a2", "b2", "n2"]).where("cid1 < cid2 and c1 <> c2")
+        return out.select(F.col("cid1").alias("a"), F.col("cid2").alias("b"))
 
     def labels(self) -> DataFrame:
         """(node, component) over class ids, for classes with links."""
         self.tokens = self.load_sets()
-        tried = written(self.stars(self.members), "pairs")
-        links = written(self.verified(tried), "links")
-        label = components(links)
+        first = written(self.stars(self.members), "pairs")
+        self.tried, self.links = first.select("a", "b"), written(self.verified(first.where("close").select("a", "b")), "links")
+        label = components(self.links)
         open_ = written(self.unsettled(self.members, label), "open")
-        hot = open_.where(F.col("size") > HOT)
-        cool = open_.where(F.col("size") <= HOT)
-        if not hot.isEmpty():
-            left_out = hot.groupBy("cid").agg(F.collect_set("key").alias("hot"))
-            near = left_out.join(self.tokens, "cid").select("cid", "tokens", "hot").mapInArrow(_neighbourhoods(self.level), "key long, cid long")
-            near = near.distinct().join(self.classes.select("cid", F.col("n_shingles").alias("n")), "cid")
-            near = written(self.unsettled(near.select("key", "cid", "n"), label), "near")
-            cool = cool.unionByName(near)
-        more = written(self.across(cool, tried), "more")
-        if more.isEmpty():
+        few, many = open_.where(F.col("size") <= FEW), open_.where(F.col("size") > FEW)
+        if many.isEmpty():
+            return label if few.isEmpty() else self.settled(self.across(few), label)
+        d = self.described(many)
+        label = self.settled(self.across(few).unionByName(self.centres(d)), label)
+        d = written(self.named(d.drop("c"), label), "described")
+        besides = d.select(F.explode("more").alias("t"), "family", "cid", "n", "c").select(F.xxhash64("family", "t").alias("key"), "cid", "n", "c")
+        by_key = Window.partitionBy("key")
+        besides = besides.withColumn("lo", F.min("c").over(by_key)).withColumn("hi", F.max("c").over(by_key)).where("lo <> hi")
+        return self.settled(self.near_consensus(d).unionByName(self.across(besides)), label)
+
+    def settled(self, pairs: DataFrame, label: DataFrame) -> DataFrame:
+        """Components after verifying those of the pairs that weren't before."""
+        more = written(pairs.distinct().join(self.tried, ["a", "b"], "left_anti"), "more")
+        self.tried = self.tried.unionByName(more)
+        found = written(self.verified(more), "links")
+        if found.isEmpty():
             return label
-        return components(links.union(self.verified(more)))
+        self.links = self.links.unionByName(found)
+        return components(self.links)
 
 
 def joined(docs: DataFrame, level: Level | None = None) -> DataFrame:
