@@ -104,7 +104,7 @@ def flow_edges(spark: SparkSession, sf: str) -> DataFrame:
 def flow(spark: SparkSession, sf: str) -> DataFrame:
     e = flow_edges(spark, sf)
     start = cells(spark, sf).select("cell", F.col("cell").alias("node"))
-    _, steps = hierarchy.contextual_flow(e, start, hierarchy.Flow(last_fraction=0.1, stages=()), most_steps=3)
+    _, steps = hierarchy.contextual_flow(e, start, hierarchy.Flow(low_quantile=0.1, high_quantile=0.2, last_fraction=0.1, stages=()), most_steps=2)
     return spark.createDataFrame([tuple(s[k] for k in ("step", "nodes_before", "superedges", "merge_allowed", "merges", "nodes_after", "mode")) for s in steps], "step int, nodes_before long, superedges long, merge_allowed long, merges long, nodes_after long, mode string")
 
 
@@ -429,7 +429,7 @@ def top_fraction(spark: SparkSession, sf: str) -> DataFrame:
 @query("so05_06_batch_by_routes")
 def routes(spark: SparkSession, sf: str) -> DataFrame:
     s = supers(spark, sf).select("super_i", "super_j", "n_boundary_edges", F.coalesce("tension", F.lit(1e4)).alias("cost"), F.col("shared").cast("double").alias("merit"))
-    name, batch = selection.batch_by_routes(s, 4)
+    name, batch = selection.batch_by_routes(s, 4, {k: selection.ROUTES[k] for k in ("cost", "merit")})
     return rounded(batch.withColumn("route", F.lit(name)))
 
 
