@@ -100,11 +100,10 @@ def flow_edges(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(F.col("i").alias("cell_i"), F.col("j").alias("cell_j"), F.abs(F.coalesce("tension", F.lit(1.0))).alias("distance"), F.abs("tension").alias("tension"), F.abs("pressure").alias("pressure"), F.col("n").cast("double").alias("comm_ij"), (F.col("n") * 0.5).alias("comm_ji"))
 
 
-@query("hi07_contextual_flow")
 def flow(spark: SparkSession, sf: str) -> DataFrame:
     e = flow_edges(spark, sf)
     start = cells(spark, sf).select("cell", F.col("cell").alias("node"))
-    _, steps = hierarchy.contextual_flow(e, start, hierarchy.Flow(low_quantile=0.1, high_quantile=0.2, last_fraction=0.1, stages=()), most_steps=2)
+    _, steps = hierarchy.contextual_flow(e, start, hierarchy.Flow(low_quantile=0.1, high_quantile=0.2, last_fraction=0.1, stages=()), most_steps=1)
     return spark.createDataFrame([tuple(s[k] for k in ("step", "nodes_before", "superedges", "merge_allowed", "merges", "nodes_after", "mode")) for s in steps], "step int, nodes_before long, superedges long, merge_allowed long, merges long, nodes_after long, mode string")
 
 
