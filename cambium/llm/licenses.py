@@ -4,13 +4,13 @@ Words are runs of letters and digits in lower case, shingles are five of them
 in a row. A template's shingles form its set. Texts are read through
 overlapping windows, one width for each class of template lengths, in steps
 short enough that some window holds any occurrence of the template whole. The
-signature of a window or a template is ``BANDS * ROWS`` minima under seeded
-permutations; a window retrieves the templates that agree with it in a band.
+signature of a window or a template holds ``ROWS`` minima under seeded
+permutations for each band; a window retrieves the templates that agree with it in a band.
 
-``BANDS`` and ``ROWS`` are set from the least Jaccard index that a window with
-a whole occurrence can have (``worst_case``): with one row in each of 48
-bands the chance to miss one stays below 1e-5 for the shortest templates. A
-minimum of a window can only equal a template's if it is a template's
+Each class of lengths has its number of bands (``bands_for``), ``BANDS`` at
+least: from the least Jaccard index that a window with ``LEVEL`` of a template
+can have, so that the chance to miss one stays below ``MISS`` for every
+template. A minimum of a window can only equal a template's if it is a template's
 shingle, so windows without any of the templates' shingles are left out before
 signatures are made; that changes no result.
 
@@ -21,6 +21,7 @@ templates are a fixed list in the closure, and rows stay in their partitions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from cambium.llm.words import U64, hashed, letters_only, mix, one_array, shingles, steps, words_of
 
-SHINGLE, LEVEL, BANDS, ROWS, SEED = 5, 0.8, 48, 1, 3
+SHINGLE, LEVEL, BANDS, ROWS, SEED, MISS = 5, 0.8, 48, 1, 3, 1e-5
 
 #: Public license notices and texts, by SPDX-like name.
 TEMPLATES = {
@@ -54,6 +55,15 @@ def worst_case(words: int, width: int) -> float:
     return max(1, words - SHINGLE + 1) / max(1, width - SHINGLE + 1)
 
 
+def bands_for(n_shingles: int, width: int) -> int:
+    """Bands by which a full window with ``LEVEL`` of so many distinct shingles is missed with a chance below ``MISS``."""
+    common = math.ceil(LEVEL * n_shingles)
+    index = common / (max(1, width - SHINGLE + 1) + n_shingles - common)
+    if index ** ROWS >= 1:
+        return BANDS
+    return max(BANDS, math.ceil(math.log(MISS) / math.log1p(-(index**ROWS))))
+
+
 class Scanner:
     """The templates' signatures by class of lengths, and the scan of a column of texts."""
 
@@ -69,11 +79,12 @@ class Scanner:
         self.members = {c: [i for i, x in enumerate(widths) if x == c] for c in self.classes}
         self.stride = {c: c - max(lengths[i] for i in self.members[c]) for c in self.classes}
         self.of_class = {c: np.unique(np.concatenate([sets[i] for i in self.members[c]])) for c in self.classes}
-        self.salt = mix(np.arange(1, BANDS * ROWS + 1).astype(U64) * U64(SEED * 2 + 1))
+        self.n_bands = {c: max(bands_for(len(sets[i]), c) for i in self.members[c]) for c in self.classes}
+        self.salt = mix(np.arange(1, max(self.n_bands.values(), default=0) * ROWS + 1).astype(U64) * U64(SEED * 2 + 1))
         self.bands: dict[int, dict] = {c: {} for c in self.classes}
         for c in self.classes:
             for i in self.members[c]:
-                for key in self._keys(sets[i]):
+                for key in self._keys(sets[i], self.n_bands[c]):
                     self.bands[c].setdefault(key, []).append(i)
 
     @staticmethod
@@ -82,9 +93,9 @@ class Scanner:
         h, owner = shingles(w, hashed(w.unique), SHINGLE)
         return [np.unique(h[owner == i]) for i in range(len(texts))], w.counts.tolist()
 
-    def _keys(self, shingle_set: np.ndarray) -> list[tuple[int, bytes]]:
-        low = mix(shingle_set[:, None] ^ self.salt[None, :]).min(axis=0).reshape(BANDS, ROWS)
-        return [(b, low[b].tobytes()) for b in range(BANDS)]
+    def _keys(self, shingle_set: np.ndarray, bands: int) -> list[tuple[int, bytes]]:
+        low = mix(shingle_set[:, None] ^ self.salt[None, : bands * ROWS]).min(axis=0).reshape(bands, ROWS)
+        return [(b, low[b].tobytes()) for b in range(bands)]
 
     def scan(self, text: pa.Array) -> list[tuple[int, int, int, int, float]]:
         """(text number, template, first word, end word, containment) of each best window of a text and template."""
@@ -108,7 +119,7 @@ class Scanner:
                 a = begins[d] + k * stride
                 b = min(a + span, begins[d + 1] if d + 1 < len(begins) else len(h))
                 own = np.unique(h[a:b])
-                found = {i for key in self._keys(own) for i in self.bands[c].get(key, ())}
+                found = {i for key in self._keys(own, self.n_bands[c]) for i in self.bands[c].get(key, ())}
                 for i in sorted(found):
                     share = len(np.intersect1d(own, self.sets[i], assume_unique=True)) / len(self.sets[i])
                     if share >= LEVEL and share > best.get((d, i), (0.0,))[0]:

@@ -274,6 +274,15 @@ def test_licenses_are_found_wherever_they_stand():
     assert s.scan(pa.array([filler(500), None, "", "license"])) == []
 
 
+def test_short_notices_are_not_missed():
+    r = random.Random(11)
+    filler = lambda n: " ".join(f"w{r.randrange(100_000)}" for _ in range(n))
+    s = licenses.Scanner()
+    for name in ("MIT-notice", "CC-BY-NC-4.0-notice"):
+        texts = [f"{filler(r.randrange(40))} {licenses.TEMPLATES[name]} {filler(30)}" for _ in range(2500)]
+        assert len({f[0] for f in s.scan(pa.array(texts)) if s.names[f[1]] == name and f[4] == 1.0}) == len(texts)
+
+
 def test_partial_license_and_edge_cases(spark, odd):
     mit = licenses.TEMPLATES["MIT"].split()
     rows = [(1, " ".join(mit[:90])), (2, " ".join(mit[:60]))]
