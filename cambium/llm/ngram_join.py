@@ -42,6 +42,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from cambium.llm.components import components
 from cambium.llm.filters import bitmap_of, may_contain
@@ -329,17 +330,41 @@ def joined(docs: DataFrame, level: Level | None = None) -> DataFrame:
 SALTS = 64
 
 
+def _printed(text: str, level: Level):
+    """Batches with the print of each text's set beside their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, text):
+            prints = pa.array([_print(s) for s in sets_of(one_array(b, text), level)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, prints], names=[*b.schema.names, "print"])
+
+    return run
+
+
 def one_of_each(docs: DataFrame, level: Level | None = None) -> DataFrame:
     """``docs`` with one row of each component, that of the least doc_id, and all rows without words.
 
     Columns stay as they were. Of rows alike in id and set one stays; if a
-    component's ids are all null, one of its rows stays.
+    component's ids are all null, one of its rows stays. Of rows of one component
+    alike in id, the one with the least print stays; components are told apart by
+    their own label, so they may share ids.
     """
+    level = level or Level()
     cols = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(cols))])
     i, t = f"c{cols.index('doc_id')}", f"c{cols.index('text')}"
-    groups = joined(plain.select(F.col(i).alias("doc_id"), F.col(t).alias("text")), level)
-    stays = groups.where("n_shingles > 0").groupBy("component_id").agg(F.lit(1).alias("one")).select(F.col("component_id").alias("_id"))
+    run = Join(plain.select(F.col(i).alias("doc_id"), F.col(t).alias("text")), level)
+    named = run.classes.join(run.labels().withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("print").alias("_print")))
+    stays = written(named.groupBy("component").agg(first.alias("first")).select("first._id", "first._print"), "stays")
     blank = F.coalesce(F.length(F.regexp_replace(F.coalesce(t, F.lit("")), r"[\x20\x09-\x0D]", "")), F.lit(0)) == 0
-    kept = plain.where(~blank).join(stays, plain[i].eqNullSafe(stays["_id"]), "left_semi").dropDuplicates([i])
+    worded = plain.where(~blank)
+    # An id of one row names that row; rows that share an id, or have none, are told apart by their prints.
+    shared = written(run.rows.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("rows")).where("rows > 1").select("_id"), "shared")
+    kept = worded.join(stays.join(shared, "_id", "left_anti"), F.col(i) == F.col("_id"), "left_semi")
+    if not stays.where("_id is null").isEmpty() or not shared.isEmpty():
+        several = worded.where(F.col(i).isNull()).unionByName(worded.join(shared, F.col(i) == F.col("_id"), "left_semi"))
+        several = several.mapInArrow(_printed(t, level), StructType([*several.schema.fields, StructField("print", BinaryType())]))
+        several = several.join(stays, (F.col("print") == F.col("_print")) & F.col(i).eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["print"])
+        kept = kept.unionByName(several.drop("print"))
     return kept.unionByName(plain.where(blank)).toDF(*cols)

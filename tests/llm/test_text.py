@@ -101,6 +101,13 @@ def test_join_edge_cases(spark, odd):
     assert ngram_join.joined(odd.limit(0)).count() == 0
 
 
+def test_components_that_share_ids_or_have_none_keep_a_row_each(spark):
+    text = {k: " ".join(f"{k}{n}" for n in range(30)) for k in "abcdef"}
+    rows = [(None, text["a"]), (None, text["a"]), (None, text["b"]), (7, text["c"]), (7, text["d"]), (7, text["d"]), (8, text["e"]), (None, text["e"] + " x"), (9, text["f"]), (None, ""), (7, " ")]
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.one_of_each(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    assert kept == sorted([(None, text["a"]), (None, text["b"]), (7, text["c"]), (7, text["d"]), (8, text["e"]), (9, text["f"]), (None, ""), (7, " ")], key=str)
+
+
 # --- byte-pair encoding ---
 
 
