@@ -27,7 +27,9 @@ is within what their sizes allow, which is looked up among the few values of
 (a, b) that occur, or if they have a token besides in common, which few have.
 Every candidate is verified by intersecting the
 sets, and only texts with candidates are read a second time. No link between
-different components is missed, and no pair within one is needed.
+different components is missed, and components need no pair within one. Where
+the links themselves are asked for, all pairs of classes that share a key are
+verified, as many as the square of a family's classes.
 """
 
 from __future__ import annotations
@@ -289,6 +291,13 @@ class Join:
         besides = besides.withColumn("lo", F.min("c").over(by_key)).withColumn("hi", F.max("c").over(by_key)).where("lo <> hi")
         return self.settled(self.near_consensus(d).unionByName(self.across(besides)), label)
 
+    def all_links(self) -> DataFrame:
+        """All pairs (a, b) of distinct classes that link, a < b; after ``labels``."""
+        x, y = (self.members.select("key", F.col("cid").alias(k), F.col("n").alias(f"n{k}")) for k in ("a", "b"))
+        pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & self.close("na", "nb")).select("a", "b").distinct()
+        more = written(pairs.join(self.tried, ["a", "b"], "left_anti"), "more")
+        return written(self.links.unionByName(self.verified(more)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+
     def settled(self, pairs: DataFrame, label: DataFrame) -> DataFrame:
         """Components after verifying those of the pairs that weren't before."""
         more = written(pairs.distinct().join(self.tried, ["a", "b"], "left_anti"), "more")
@@ -300,7 +309,7 @@ class Join:
         return components(self.links)
 
 
-def joined(docs: DataFrame, level: Level | None = None) -> DataFrame:
+def joined(docs: DataFrame, level: Level | None = None, links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, class_size and class_links of every row of ``docs``.
 
     The component is the least doc_id that links lead to, the row's own
@@ -308,14 +317,20 @@ def joined(docs: DataFrame, level: Level | None = None) -> DataFrame:
     a shingle is one shingle; without words (null, blank) it has none and
     links with nothing, not even its like. Null ids are above all others. An
     empty table gives no rows. ``class_size`` is the number of rows with an
-    equal set.
+    equal set, ``class_links`` that of other sets that link with the row's;
+    without ``links`` it is left out, and pairs within a known component are
+    not verified.
     """
     run = Join(docs, level or Level())
     label = run.labels().withColumnRenamed("node", "cid")
     named = run.classes.join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    named = named.select("print", "component", "doc_id")
+    degrees = []
+    if links:
+        degree = run.all_links().select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("class_links"))
+        named, degrees = named.join(degree, "cid", "left").withColumn("class_links", F.coalesce("class_links", F.lit(0))), ["class_links"]
+    named = named.select("print", "component", "doc_id", *degrees)
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_print = written(named.join(least, "component").select("print", "component_id"), "named")
+    by_print = written(named.join(least, "component").select("print", "component_id", *degrees), "named")
     # A class may hold a third of all rows: it is found from each of SALTS parts of it.
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     rows = run.rows.withColumn("salt", salt)
@@ -324,7 +339,7 @@ def joined(docs: DataFrame, level: Level | None = None) -> DataFrame:
     spread = spread.select("print", "salt").join(by_print.join(sizes, "print"), "print")
     out = rows.join(spread, ["print", "salt"], "left")
     blank = F.col("n_shingles") == 0
-    return out.select("doc_id", "n_shingles", F.when(blank, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(blank, 1).otherwise(F.col("class_size")).alias("class_size"))
+    return out.select("doc_id", "n_shingles", F.when(blank, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(blank, 1).otherwise(F.col("class_size")).alias("class_size"), *[F.coalesce(k, F.lit(0)).alias(k) for k in degrees])
 
 
 SALTS = 64

@@ -23,7 +23,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.joined(table(spark, sf_dir, "documents"), ngram_join.Level(3, 9, 10)).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.joined(table(spark, sf_dir, "documents"), ngram_join.Level(3, 9, 10), links=False).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:

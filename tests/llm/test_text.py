@@ -79,6 +79,14 @@ def test_join_equals_brute_force(spark, level, copies):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, level)
 
 
+def test_links_are_counted_within_components(spark):
+    level, rows = ngram_join.Level(5, 8, 10), families(9, 4, 14)
+    sets = {d: frozenset(tuple(w[i : i + level.n]) for i in range(max(1, len(w) - level.n + 1))) for d, w in ((d, t.split()) for d, t in rows)}
+    links = {s: sum(o != s and level.den * len(s & o) >= level.num * len(s | o) for o in set(sets.values())) for s in set(sets.values())}
+    got = {r.doc_id: r.class_links for r in ngram_join.joined(spark.createDataFrame(rows, DOCS), level).collect()}
+    assert got == {d: links[s] for d, s in sets.items()} and max(got.values()) > 2
+
+
 def test_keys_of_linked_sets_meet():
     """Any two sets at the level or above share a key, also where segments are empty."""
     r = np.random.default_rng(3)
