@@ -594,7 +594,7 @@ def harmonic(spark: SparkSession, sf: str) -> DataFrame:
     adj = graph.weighted_adjacency(contacts(spark, sf).select("i", "j", F.col("n").cast("double").alias("n")), "n")
     nodes = graph_nodes(spark, sf)
     anchors = table(spark, sf, "supplier").where("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("node"), F.col("s_acctbal").alias("value"))
-    return rounded(graph.harmonic_fill(adj, anchors, nodes, rounds=20, tolerance=1e-3))
+    return rounded(graph.harmonic_fill(adj, anchors, nodes))
 
 
 TRI = "SELECT a.i AS u, a.j AS v, b.j AS w FROM contacts a JOIN contacts b ON b.i = a.j JOIN contacts c ON c.i = a.i AND c.j = b.j"

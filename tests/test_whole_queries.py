@@ -1,5 +1,6 @@
 """Queries that no SQL checks, against brute force on whole small tables."""
 
+import inspect
 import os
 
 import pytest
@@ -37,3 +38,16 @@ def test_batch_is_the_best_of_all_routes(spark, monkeypatch, best, rows):
     got = QUERIES["so05_06_batch_by_routes"](spark, SF).collect()
     assert name == best and {r.route for r in got} == {name}
     assert sorted((r.super_i, r.super_j) for r in got) == sorted((e["super_i"], e["super_j"]) for e in made[name])
+
+
+def test_harmonic_fill_runs_to_the_operators_tolerance(spark, monkeypatch):
+    fill, given = table_queries.graph.harmonic_fill, {}
+
+    def seen(adjacency, anchors, nodes, *args, **kwargs):
+        given.update(inspect.signature(fill).bind(adjacency, anchors, nodes, *args, **kwargs).arguments)
+        return nodes
+
+    monkeypatch.setattr(table_queries.graph, "harmonic_fill", seen)
+    QUERIES["gr07_harmonic_fill"](spark, SF)
+    default = {k: v.default for k, v in inspect.signature(fill).parameters.items()}
+    assert given.get("rounds", default["rounds"]) == 500 and given.get("tolerance", default["tolerance"]) == 1e-7
