@@ -352,6 +352,13 @@ def within(spark: SparkSession, sf: str) -> DataFrame:
     return joins.within_range(p, s, [], "p_size", "lo", "hi", 4.0).groupBy("span").agg(F.count("*").alias("n"))
 
 
+@query("jn12_within_range_whole")
+def within_whole(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").select("p_partkey", "p_size")
+    s = p.select(F.col("p_partkey").alias("span"), F.col("p_size").alias("lo"), (F.col("p_size") + F.col("p_partkey") % 4).alias("hi"))
+    return joins.within_range(p, s, [], "p_size", "lo", "hi", 4.0).groupBy("span").agg(F.count("*").alias("n"))
+
+
 FRONT = "SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM part o WHERE o.p_brand = p.p_brand AND o.p_size >= p.p_size AND o.p_retailprice >= p.p_retailprice AND (o.p_size > p.p_size OR o.p_retailprice > p.p_retailprice))"
 
 
@@ -397,6 +404,14 @@ def matched_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(m.select("c_custkey", "match", F.col("rank").cast("long").alias("rank"), "gap"))
 
 
+@query("jn17_matched_candidates_whole")
+def matched_rows_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers of one market segment as cases, all others as controls."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    m = joins.matched_candidates(c.where("c_mktsegment = 'BUILDING'"), c.where("c_mktsegment <> 'BUILDING'"), ["c_nationkey"], "c_acctbal", "c_custkey", 3)
+    return rounded(m.select("c_custkey", "match", F.col("rank").cast("long").alias("rank"), "gap"))
+
+
 @query("jn19_assignment")
 def assigned(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
@@ -489,6 +504,12 @@ def prior(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(vectors.functional_prior(s))
 
 
+@query("vx03_functional_prior_whole")
+def prior_whole(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "lineitem").select((F.col("l_linenumber") % 2).alias("layer"), F.col("l_orderkey").alias("set"), F.col("l_suppkey").alias("member"))
+    return rounded(vectors.functional_prior(s))
+
+
 @query("vx04_communication", sql(f"SELECT i, j, {r6('avg(f)')} AS comm_ij, {r6('avg(b)')} AS comm_ji, count(*) AS n_kinds, {r6('ln(1 + avg(f) + avg(b))')} AS comm_strength, {r6('greatest(0, least(1, 1 - abs(avg(f) - avg(b)) / (avg(f) + avg(b) + 1e-12)))')} AS comm_reciprocity FROM (SELECT i, j, kind, avg(f) AS f, avg(b) AS b FROM flux GROUP BY ALL) GROUP BY i, j", POINTS, PAIRS, REG, FLUX))
 def communication(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(vectors.communication(vectors.channel_flux(state_pairs(spark, sf), REGISTRY), ["i", "j"]))

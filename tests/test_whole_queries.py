@@ -2,6 +2,7 @@
 
 import inspect
 import os
+import statistics
 
 import pytest
 
@@ -51,3 +52,32 @@ def test_harmonic_fill_runs_to_the_operators_tolerance(spark, monkeypatch):
     QUERIES["gr07_harmonic_fill"](spark, SF)
     default = {k: v.default for k, v in inspect.signature(fill).parameters.items()}
     assert given.get("rounds", default["rounds"]) == 500 and given.get("tolerance", default["tolerance"]) == 1e-7
+
+
+def test_joins_and_prior_take_all_rows(spark):
+    part = spark.read.parquet(f"{SF}/part.parquet").select("p_partkey", "p_size").collect()
+    got = {r.span: r.n for r in QUERIES["jn12_within_range_whole"](spark, SF).collect()}
+    assert got == {p.p_partkey: sum(p.p_size <= q.p_size <= p.p_size + p.p_partkey % 4 for q in part) for p in part}
+    people = spark.read.parquet(f"{SF}/customer.parquet").collect()
+    found = {(r.c_custkey, r.rank): r.match for r in QUERIES["jn17_matched_candidates_whole"](spark, SF).collect()}
+    want = {}
+    for c in people:
+        near = sorted((abs(c.c_acctbal - o.c_acctbal), o.c_custkey) for o in people if o.c_nationkey == c.c_nationkey and o.c_mktsegment != "BUILDING")
+        want |= {(c.c_custkey, k + 1): m for k, (_, m) in enumerate(near[:3]) if c.c_mktsegment == "BUILDING"}
+    assert found == want and found
+    sets = {}
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_linenumber", "l_orderkey", "l_suppkey").collect():
+        sets.setdefault((r.l_linenumber % 2, r.l_orderkey), set()).add(r.l_suppkey)
+    w = {0: {}, 1: {}}
+    for (layer, _), s in sets.items():
+        for i, j in ((i, j) for i in s for j in s if i != j):
+            w[layer][i, j] = w[layer].get((i, j), 0.0) + 1 / (len(s) - 1)
+    mean = {}
+    for pairs in w.values():
+        degree = {}
+        for (i, _), x in pairs.items():
+            degree[i] = degree.get(i, 0.0) + x
+        for e, x in pairs.items():
+            mean[e] = mean.get(e, 0.0) + x / statistics.median(degree.values()) / 2
+    prior = {(r.i, r.j): r.w for r in QUERIES["vx03_functional_prior_whole"](spark, SF).where("i <> j").collect()}
+    assert prior == pytest.approx(mean, abs=2e-6)
