@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +35,26 @@ contacts AS (
   FROM offers a JOIN offers b ON a.p = b.p AND a.s < b.s GROUP BY a.s, b.s)"""
 
 
+#: The rows of ``lineitem`` that make contacts: those of the SQL, or all inside a query of ``over_all_rows``.
+ROWS: ContextVar[str] = ContextVar("ROWS", default="l_quantity >= 49 AND l_discount >= 0.08")
+
+
+def over_all_rows(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with the contacts of all rows of ``lineitem``."""
+
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = ROWS.set("true")
+        try:
+            return fn(spark, sf_dir)
+        finally:
+            ROWS.reset(token)
+
+    return run
+
+
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 49 AND l_discount >= 0.08")
+    li = table(spark, sf_dir, "lineitem").where(ROWS.get())
     offers = li.groupBy(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).agg(F.avg("l_extendedprice").alias("price"), F.avg("l_discount").alias("disc"))
     a = offers.select("p", F.col("s").alias("i"), F.col("price").alias("pi"), F.col("disc").alias("di"))
     b = offers.select("p", F.col("s").alias("j"), F.col("price").alias("pj"), F.col("disc").alias("dj"))

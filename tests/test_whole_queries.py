@@ -81,3 +81,26 @@ def test_joins_and_prior_take_all_rows(spark):
             mean[e] = mean.get(e, 0.0) + x / statistics.median(degree.values()) / 2
     prior = {(r.i, r.j): r.w for r in QUERIES["vx03_functional_prior_whole"](spark, SF).where("i <> j").collect()}
     assert prior == pytest.approx(mean, abs=2e-6)
+
+
+def test_contacts_of_all_rows(spark):
+    offers = {}
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_suppkey").collect():
+        offers.setdefault(r.l_partkey, set()).add(r.l_suppkey)
+    shared = {}
+    for s in offers.values():
+        for i, j in ((i, j) for i in s for j in s if i != j):
+            shared[i, j] = shared.get((i, j), 0) + 1
+    assert {(r.src, r.dst): r.w for r in QUERIES["gr01_03_adjacency_whole"](spark, SF).collect()} == shared
+    loops = [(u, v, w) for u, v in shared if u < v for w in {k for e in shared for k in e} if v < w and (v, w) in shared and (u, w) in shared]
+    assert sorted(tuple(r) for r in QUERIES["gr08_triangles_whole"](spark, SF).collect()) == sorted(loops)
+    assert QUERIES["gr01_03_adjacency"](spark, SF).count() < len(shared)
+
+
+def test_queries_without_sql_take_all_contacts(spark, monkeypatch):
+    """The batch is chosen among the relations of all contacts."""
+    chosen = {}
+    monkeypatch.setattr(table_queries.selection, "batch_by_routes", lambda s, cap: chosen.update(n=s.agg({"n_boundary_edges": "sum"}).first()[0]) or ("cost", s))
+    QUERIES["so05_06_batch_by_routes"](spark, SF)
+    all_ = QUERIES["ag01_relation_summary_whole"](spark, SF).agg({"n_boundary_edges": "sum"}).first()[0]
+    assert chosen["n"] == all_ > QUERIES["ag01_relation_summary"](spark, SF).agg({"n_boundary_edges": "sum"}).first()[0]
