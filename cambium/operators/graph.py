@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cambium.functions.scalars import ratio
-from cambium.plans.scratch import written
+from cambium.scratch import written
 
 
 def without_self_edges(edges: DataFrame, i: str = "i", j: str = "j") -> DataFrame:

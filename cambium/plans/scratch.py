@@ -1,39 +1,3 @@
-"""Tables written once to the folder that the whole cluster shares.
+"""Moved to ``cambium.scratch``."""
 
-Lineage is cut by writing a table and reading it back. The folder is
-``spark.checkpoint.dir``; only where the session names none (tests on one
-machine) is a folder of our own set.
-"""
-
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session, without a trailing slash."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    return base.rstrip("/")
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable where no folder was set."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    The copy is plain Parquet, so a lost executor costs a reread and never a
-    recomputation of what made it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cambium/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from cambium.scratch import dropped, ensure_checkpoint_dir, shared_dir, shuffles_freed, temporary, written  # noqa: F401
