@@ -1,3 +1,3 @@
 """Moved to ``cambium.scratch``."""
 
-from cambium.scratch import dropped, ensure_checkpoint_dir, shared_dir, shuffles_freed, temporary, written  # noqa: F401
+from cambium.scratch import dropped, ensure_checkpoint_dir, shared_dir, temporary, written  # noqa: F401

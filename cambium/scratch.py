@@ -48,7 +48,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/cambium/{tag}-{uuid.uuid4().hex}"
     if (made := _MADE.get()) is not None:
         made.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_deleted(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -70,9 +71,7 @@ def dropped(df: DataFrame) -> None:
 def temporary(spark: SparkSession) -> Iterator[list[DataFrame]]:
     """Delete the tables written inside the block at its end, but those put into the list it gives.
 
-    Whatever is built on other tables must itself be written by then. Shuffle
-    files of what ran inside go too, as soon as the driver has collected its
-    garbage, which the end of the block asks for.
+    Whatever is built on other tables must itself be written by then.
     """
     made: list[str] = []
     stay: list[DataFrame] = []
@@ -87,9 +86,15 @@ def temporary(spark: SparkSession) -> Iterator[list[DataFrame]]:
                 _delete(spark, path)
         if (outer := _MADE.get()) is not None:
             outer.extend(keep)
-        shuffles_freed(spark)
 
 
-def shuffles_freed(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished queries: it does when the driver's garbage is collected."""
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside delete their shuffle files at their end, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
