@@ -9,12 +9,28 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
 
 #: Bytes of text that one step of an operator holds in columnar form, a longer single text excepted.
 STEP_BYTES = 6 << 20
+#: Bytes of one Arrow batch that Spark hands to a worker, a longer single row excepted.
+BATCH_BYTES = 8 << 20
 U64 = np.uint64
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session told to send Arrow batches of ``BATCH_BYTES`` at most.
+
+    The setting is the session's, for Spark reads it when a plan runs; a lesser one stays.
+    """
+    conf = df.sparkSession.conf
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(conf.get(key).rstrip("bB"))
+    if now <= 0 or now > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 @dataclass
 class Words:
     """``ids[first[i]:first[i + 1]]`` are text i's words as indexes of ``unique``."""
@@ -33,7 +49,10 @@ class Words:
 
 
 def steps(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose texts come to about ``most`` bytes; a row is never divided."""
+    """The same rows in batches whose texts come to about ``most`` bytes; a row is never divided.
+
+    What Arrow has set free goes back to the system after each batch: workers live on and would keep it.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -42,6 +61,8 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES)
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def words_of(text: pa.Array) -> Words:

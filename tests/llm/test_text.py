@@ -137,9 +137,37 @@ def test_broken_joins_are_repaired(monkeypatch):
     c = bpe.Codec(tokenizer_path())
     text = " ".join(random.Random(2).choice(["alpha", "beta", "gamma"]) + str(k) for k in range(500))
     want = c.column(pa.array([text, "short"]))
-    monkeypatch.setattr(c, "_broken_joins", lambda *_: [0])
-    got = c.column(pa.array([text, "short"]))
-    assert got[0].tolist() == want[0].tolist() and got[1].to_pylist() == want[1].to_pylist() and got[2].to_pylist() == want[2].to_pylist()
+    # A window whose ends don't agree at first must grow, also into the one before it.
+    agreed, tries = c._agreed, []
+    monkeypatch.setattr(c, "_agreed", lambda w, a, b: tries.append((a, b)) or (agreed(w, a, b) if b - a >= 32 else None))
+    for joins in ([64], [3, 64, 70, 498]):
+        monkeypatch.setattr(c, "_broken_joins", lambda *_, joins=joins: {0: joins})
+        got = c.column(pa.array([text, "short"]))
+        assert got[0].tolist() == want[0].tolist() and got[1].to_pylist() == want[1].to_pylist() and got[2].to_pylist() == want[2].to_pylist()
+    assert max(b - a for a, b in tries) >= 32
+
+
+def test_a_wrong_chunk_is_found_at_its_join():
+    """The check of joins sees ids that differ from what both sides give together."""
+    c = bpe.Codec(tokenizer_path())
+    text = pa.array([" ".join(f"word{k}" for k in range(400))])
+    w = bpe.words_of(text)
+    starts, doc = bpe.cut(w, bpe.hashed128(w.unique)[:, 0])
+    assert len(starts) > 2 and c._broken_joins(w, starts, doc) == {}
+    c.pieces(w.unique)
+    c.words.ids.flat[c.words.ids.first[c.words.place[w.unique[int(w.ids[starts[1]])].as_py()]]] += 1
+    assert int(starts[1]) in c._broken_joins(w, starts, doc)[0]
+
+
+def test_equal_passages_are_encoded_once(monkeypatch):
+    c = bpe.Codec(tokenizer_path())
+    passage = " ".join(f"w{k % 97}x{k}" for k in range(3000))
+    c.column(pa.array([f"one two {passage} three"]))
+    asked = []
+    whole = c._encoded_chunks
+    monkeypatch.setattr(c, "_encoded_chunks", lambda w, s, which: asked.append(len(which)) or whole(w, s, which))
+    n, ids, _ = c.column(pa.array([f"another text that holds {passage} and ends"]))
+    assert sum(asked) <= 4 and ids[0].as_py() == " ".join(map(str, c.tok.encode(f"another text that holds {passage} and ends", add_special_tokens=False).ids))
 
 
 def test_encoding_keeps_rows(spark, odd):
