@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cambium.plans.scratch import written
+from cambium.scratch import dropped, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link each node's neighbours (large: the larger ones; small: the smaller ones and itself) to the least of them."""
+    """Link each node's neighbours (large: the larger ones; small: the smaller ones and itself) to the least of them.
+
+    A node's least neighbour is found by an aggregate, which combines before
+    the shuffle, and joined back: a hub's links may be dealt over many tasks.
+    """
     if large:
         edges = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = F.least("a", F.min("b").over(Window.partitionBy("a")))
-    out = edges.withColumn("m", least)
+    least = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    out = edges.join(least, "a")
     if large:
         out = out.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = out.select("b", "m").union(out.select("a", "m")).toDF("a", "b")
+        out = out.select("b", "m").union(least.select("a", "m")).toDF("a", "b")
     return out.where("a <> b").distinct()
 
 
@@ -27,14 +31,16 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, component) of all nodes with a link; ``edges`` has (a, b) of long. A component is its least node.
 
     Every round is written to the shared folder, so plans stay short and a
-    lost executor costs one round at most.
+    lost executor costs one round at most; the round before is deleted.
     """
     now = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), tag)
     while True:
+        here = now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         # Done when all are stars: no node has a lesser neighbour and is one itself, and none has two.
-        inner = now.groupBy("a").agg(F.count("*").alias("k")).select("a", "k", F.lit(0).alias("low")).unionByName(now.select(F.col("b").alias("a"), F.lit(0).alias("k"), F.lit(1).alias("low")).distinct())
+        inner = here.groupBy("a").agg(F.count("*").alias("k")).select("a", "k", F.lit(0).alias("low")).unionByName(here.select(F.col("b").alias("a"), F.lit(0).alias("k"), F.lit(1).alias("low")).distinct())
         if inner.groupBy("a").agg(F.sum("k").alias("k"), F.max("low").alias("low")).where("k > 1 or (k > 0 and low > 0)").isEmpty():
             break
-        now = written(_star(_star(now, True), False), tag).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.union(now.select("b", "b")).distinct()
+        before, now = now, written(_star(_star(here, True), False), tag)
+        dropped(before)
+    stars = here.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return stars.union(here.select("b", "b")).distinct()

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cambium.llm.words import U64, hashed, letters_only, mix, one_array, shingles, steps, words_of
+from cambium.llm.words import U64, hashed, in_small_batches, letters_only, mix, one_array, shingles, steps, words_of
 
 SHINGLE, LEVEL, BANDS, ROWS, SEED, MISS = 5, 0.8, 48, 1, 3, 1e-5
 
@@ -150,4 +150,4 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFra
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, license string, first_word long, end_word long, containment double")
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, license string, first_word long, end_word long, containment double")

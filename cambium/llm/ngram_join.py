@@ -15,21 +15,24 @@ token or more each, at most h - 1 - g of them in more than one. So the first
 the subset, and the subset without each one of its tokens. A subset's key is a
 sum over tokens, so a neighbour's key takes one subtraction.
 
-*Links.* Members of one key are first compared with the least of them, which
-settles the key if all of them end in one component, as for most copies. Of
-keys whose members are still in several components, those with few members
-give the pairs across these. The others belong to families of near copies, of
-which many are just too far apart. A family gets a consensus, the tokens that
-over half of its members have, and a member is described by what it has
-besides (a tokens) and what it lacks (b tokens). Members are compared with the
-one nearest the consensus. Two others can only link if ``a1 + a2 + |b1 - b2|``
-is within what their sizes allow, which is looked up among the few values of
-(a, b) that occur, or if they have a token besides in common, which few have.
-Every candidate is verified by intersecting the
+*Links.* Each class is first compared with the least one that shares a key with
+it, which settles the key if all its members end in one component, as for most
+copies. Of keys whose members are still in several components, those with few
+members give the pairs across these. The others belong to families of near
+copies, of which many are just too far apart. A family gets a consensus, the
+tokens that over half of its members have, and each member is written as its
+difference from it, what it has besides and what it lacks. Two sets differ as
+their differences do, so the join is made on these short sets: the member
+nearest the consensus is compared with all, which covers every pair that
+needs no token in common, and the other pairs meet in a prefix of their
+differences, rare tokens first. Every candidate is verified by intersecting the
 sets, and only texts with candidates are read a second time. No link between
 different components is missed, and components need no pair within one. Where
 the links themselves are asked for, all pairs of classes that share a key are
 verified, as many as the square of a family's classes.
+
+Tokens are 64-bit hashes of shingles, and equality of sets goes by a 128-bit
+hash of the tokens: both stand for the texts in every comparison.
 """
 
 from __future__ import annotations
@@ -48,8 +51,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from cambium.llm.components import components
 from cambium.llm.filters import bitmap_of, may_contain
-from cambium.llm.words import U64, hashed, mix, one_array, shingles, steps, words_of
-from cambium.plans.scratch import written
+from cambium.llm.words import U64, hashed, in_small_batches, mix, one_array, shingles, steps, words_of
+from cambium.scratch import temporary, written
 
 #: Members of an unsettled key up to which all its pairs across components are verified at once.
 FEW = 12
@@ -189,7 +192,7 @@ class Join:
         self.level = level
         kind = docs.schema["doc_id"].dataType.simpleString()
         self.docs = docs.select("doc_id", "text")
-        text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        text = in_small_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
         self.rows = written(text.mapInArrow(_described(level), f"doc_id {kind}, n_shingles long, print binary, node long"), "sets")
         classes = self.rows.where("n_shingles > 0").groupBy("print", "node", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
         self.classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -222,10 +225,10 @@ class Join:
         return pairs.select("a", "b").join(right, "b").join(left, "a").where(both * self.level.den >= union * self.level.num).select("a", "b")
 
     def stars(self, members: DataFrame) -> DataFrame:
-        """Each member of a key with the least one."""
-        hub = F.min(F.struct("cid", "n")).over(Window.partitionBy("key"))
-        out = members.withColumn("hub", hub).where(F.col("cid") != F.col("hub.cid"))
-        return out.select(F.col("hub.cid").alias("a"), F.col("cid").alias("b"), self.close("n", "hub.n").alias("close")).distinct()
+        """Each class with the least class that shares a key with it."""
+        hubs = members.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("hub"))
+        out = members.join(hubs, "key").where(F.col("cid") != F.col("hub.cid")).groupBy("cid", "n").agg(F.min("hub").alias("hub"))
+        return out.where(self.close("n", "hub.n")).select(F.col("hub.cid").alias("a"), F.col("cid").alias("b"))
 
     def named(self, members: DataFrame, label: DataFrame) -> DataFrame:
         """Members with their component ``c``."""
@@ -234,9 +237,9 @@ class Join:
 
     def unsettled(self, members: DataFrame, label: DataFrame) -> DataFrame:
         """Members of keys that are in several components, with component ``c`` and the key's members ``size``."""
-        by_key = Window.partitionBy("key")
-        out = self.named(members, label).withColumn("lo", F.min("c").over(by_key)).withColumn("hi", F.max("c").over(by_key)).where("lo <> hi")
-        return out.withColumn("size", F.count("*").over(by_key)).select("key", "cid", "n", "c", "size")
+        out = self.named(members, label)
+        keys = out.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+        return out.join(keys, "key").select("key", "cid", "n", "c", "size")
 
     def across(self, open_: DataFrame) -> DataFrame:
         """Pairs of members of a key in different components."""
@@ -245,39 +248,61 @@ class Join:
         return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & self.close("na", "nb")).select("a", "b").distinct()
 
     def described(self, many: DataFrame) -> DataFrame:
-        """Members (cid, n, c) of the families that keys connect, each with its family, a, b and the tokens besides the consensus."""
-        hub = many.select("cid", F.min("cid").over(Window.partitionBy("key")).alias("hub"))
-        family = components(hub.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct(), "family").select(F.col("node").alias("cid"), F.col("component").alias("family"))
-        rows = written(many.select("cid", "n", "c").distinct().join(family, "cid").join(self.tokens, "cid"), "family")
+        """Members (family, cid, n) of the families that keys connect, each with its difference from the family's consensus.
+
+        ``diff`` holds the tokens that either the member or the consensus has,
+        ``w`` is e * (den + num) - n * (den - num) for e of them. Two members
+        have ``w1 + w2 <= 2 * (den + num) * common`` exactly if they link, where
+        ``common`` counts the tokens in both differences.
+        """
+        hubs = many.groupBy("key").agg(F.min("cid").alias("hub"))
+        hub = many.join(hubs, "key").where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
+        family = components(hub, "family").select(F.col("node").alias("cid"), F.col("component").alias("family"))
+        rows = written(many.select("cid", "n").distinct().join(family, "cid").join(self.tokens, "cid"), "family")
         size = rows.groupBy("family").agg(F.count("*").alias("members"))
         common = rows.select("family", F.explode("tokens").alias("t")).groupBy("family", "t").agg(F.count("*").alias("k")).join(size, "family").where("2 * k > members")
         consensus = common.groupBy("family").agg(F.collect_list("t").alias("consensus"))  # at most twice the mean size of a set
         rows = rows.join(consensus, "family", "left").withColumn("consensus", F.coalesce("consensus", F.array().cast("array<long>")))
-        rows = rows.withColumn("more", F.array_except("tokens", "consensus")).withColumn("a", F.size("more"))
-        return written(rows.select("family", "cid", "n", "c", "more", "a", (F.size("consensus") - (F.col("n") - F.col("a"))).alias("b")), "described")
+        rows = rows.withColumn("diff", F.concat(F.array_except("tokens", "consensus"), F.array_except("consensus", "tokens")))
+        w = F.size("diff") * (self.level.den + self.level.num) - F.col("n") * (self.level.den - self.level.num)
+        return written(rows.select("family", "cid", "n", "diff", w.alias("w")), "described")
 
     def centres(self, d: DataFrame) -> DataFrame:
-        """Members with the one nearest their family's consensus."""
-        mid = d.groupBy("family").agg(F.min_by(F.struct(F.col("cid").alias("cid"), F.col("n").alias("n"), F.col("c").alias("c")), F.struct(F.col("a") + F.col("b"), F.col("cid"))).alias("m"))
-        out = d.join(mid, "family").where((F.col("c") != F.col("m.c")) & self.close("n", "m.n"))
+        """Members with the one of least ``w``: any two with w1 + w2 <= 0 link, and so does each of them with this one."""
+        mid = d.groupBy("family").agg(F.min(F.struct("w", "cid", "n")).alias("m"))
+        out = d.join(mid, "family").where((F.col("cid") != F.col("m.cid")) & self.close("n", "m.n"))
         return out.select(F.least("cid", "m.cid").alias("a"), F.greatest("cid", "m.cid").alias("b"))
 
     def near_consensus(self, d: DataFrame) -> DataFrame:
-        """Pairs across components whose (a, b) allow a link without a common token besides the consensus."""
-        kinds = d.groupBy("family", "a", "b", "n").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-        left, right = (kinds.select("family", *[F.col(x).alias(f"{x}{k}") for x in ("a", "b", "n", "lo", "hi")]) for k in (1, 2))
-        apart = F.col("a1") + F.col("a2") + F.abs(F.col("b1") - F.col("b2"))
-        some = F.least("lo1", "lo2") != F.greatest("hi1", "hi2")
-        may = left.join(right, "family").where(some & (apart * (self.level.den + self.level.num) <= (F.col("n1") + F.col("n2")) * (self.level.den - self.level.num)))
-        one, two = (d.select("family", *[F.col(x).alias(f"{x}{k}") for x in ("cid", "c", "a", "b", "n")]) for k in (1, 2))
-        out = may.join(one, ["family", "a1", "b1", "n1"]).join(two, ["family", "a2", "b2", "n2"]).where("cid1 < cid2 and c1 <> c2")
-        return out.select(F.col("cid1").alias("a"), F.col("cid2").alias("b"))
+        """Pairs across components (column ``c``) that may link by common tokens of their differences.
+
+        With tokens from rare to frequent in the family, two differences that
+        have at least o tokens in common share one among the first e - o + 1
+        of each. The member of lesser w needs o >= w / (den + num) of any such
+        partner, the other one o >= (w + least w of the family) / 2 (den + num).
+        """
+        k = self.level.den + self.level.num
+        least = d.groupBy("family").agg(F.min("w").alias("least"))
+        each = d.select("family", "cid", F.explode("diff").alias("t"))
+        often = each.groupBy("family", "t").agg(F.count("*").alias("f")).where("f > 1")  # tokens of one member lead nowhere
+        order = each.join(often, ["family", "t"]).groupBy("family", "cid").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("shared"))
+        d = d.join(least, "family").join(order, ["family", "cid"]).withColumn("e", F.size("diff")).withColumn("alone", F.col("e") - F.size("shared"))
+        low = F.greatest(F.lit(1), F.ceil(F.col("w") / k))
+        high = F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("least")) / (2 * k)))
+        # The first e - o + 1 tokens, of which those that no other member has come first.
+        sides = []
+        for o in (low, high):
+            first = F.greatest(F.lit(0), F.col("e") - o + 1 - F.col("alone")).cast("int")
+            sides.append(d.select("family", "cid", "n", "c", "w", F.explode(F.slice("shared", 1, first)).alias("s")).select("family", F.col("s.t").alias("t"), "cid", "n", "c", "w"))
+        one, two = (x.select("family", "t", *[F.col(y).alias(f"{y}{i}") for y in ("cid", "n", "c", "w")]) for i, x in enumerate(sides, 1))
+        out = one.join(two, ["family", "t"]).where((F.struct("w1", "cid1") < F.struct("w2", "cid2")) & (F.col("c1") != F.col("c2")) & self.close("n1", "n2"))
+        return out.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct()
 
     def labels(self) -> DataFrame:
         """(node, component) over class ids, for classes with links."""
         self.tokens = self.load_sets()
-        first = written(self.stars(self.members), "pairs")
-        self.tried, self.links = first.select("a", "b"), written(self.verified(first.where("close").select("a", "b")), "links")
+        self.tried = written(self.stars(self.members), "pairs")
+        self.links = written(self.verified(self.tried), "links")
         label = components(self.links)
         open_ = written(self.unsettled(self.members, label), "open")
         few, many = open_.where(F.col("size") <= FEW), open_.where(F.col("size") > FEW)
@@ -285,11 +310,7 @@ class Join:
             return label if few.isEmpty() else self.settled(self.across(few), label)
         d = self.described(many)
         label = self.settled(self.across(few).unionByName(self.centres(d)), label)
-        d = written(self.named(d.drop("c"), label), "described")
-        besides = d.select(F.explode("more").alias("t"), "family", "cid", "n", "c").select(F.xxhash64("family", "t").alias("key"), "cid", "n", "c")
-        by_key = Window.partitionBy("key")
-        besides = besides.withColumn("lo", F.min("c").over(by_key)).withColumn("hi", F.max("c").over(by_key)).where("lo <> hi")
-        return self.settled(self.near_consensus(d).unionByName(self.across(besides)), label)
+        return self.settled(self.near_consensus(self.named(d, label)), label)
 
     def all_links(self) -> DataFrame:
         """All pairs (a, b) of distinct classes that link, a < b; after ``labels``."""
@@ -321,16 +342,18 @@ def joined(docs: DataFrame, level: Level | None = None, links: bool = True) -> D
     without ``links`` it is left out, and pairs within a known component are
     not verified.
     """
-    run = Join(docs, level or Level())
-    label = run.labels().withColumnRenamed("node", "cid")
-    named = run.classes.join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    degrees = []
-    if links:
-        degree = run.all_links().select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("class_links"))
-        named, degrees = named.join(degree, "cid", "left").withColumn("class_links", F.coalesce("class_links", F.lit(0))), ["class_links"]
-    named = named.select("print", "component", "doc_id", *degrees)
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_print = written(named.join(least, "component").select("print", "component_id", *degrees), "named")
+    with temporary(docs.sparkSession) as stay:
+        run = Join(docs, level or Level())
+        label = run.labels().withColumnRenamed("node", "cid")
+        named = run.classes.join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        degrees = []
+        if links:
+            degree = run.all_links().select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("class_links"))
+            named, degrees = named.join(degree, "cid", "left").withColumn("class_links", F.coalesce("class_links", F.lit(0))), ["class_links"]
+        named = named.select("print", "component", "doc_id", *degrees)
+        least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        by_print = written(named.join(least, "component").select("print", "component_id", *degrees), "named")
+        stay += [run.rows, by_print]
     # A class may hold a third of all rows: it is found from each of SALTS parts of it.
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     rows = run.rows.withColumn("salt", salt)
@@ -368,14 +391,16 @@ def one_of_each(docs: DataFrame, level: Level | None = None) -> DataFrame:
     cols = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(cols))])
     i, t = f"c{cols.index('doc_id')}", f"c{cols.index('text')}"
-    run = Join(plain.select(F.col(i).alias("doc_id"), F.col(t).alias("text")), level)
-    named = run.classes.join(run.labels().withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("print").alias("_print")))
-    stays = written(named.groupBy("component").agg(first.alias("first")).select("first._id", "first._print"), "stays")
+    with temporary(docs.sparkSession) as stay:
+        run = Join(plain.select(F.col(i).alias("doc_id"), F.col(t).alias("text")), level)
+        named = run.classes.join(run.labels().withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("print").alias("_print")))
+        stays = written(named.groupBy("component").agg(first.alias("first")).select("first._id", "first._print"), "stays")
+        # An id of one row names that row; rows that share an id, or have none, are told apart by their prints.
+        shared = written(run.rows.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("rows")).where("rows > 1").select("_id"), "shared")
+        stay += [stays, shared]
     blank = F.coalesce(F.length(F.regexp_replace(F.coalesce(t, F.lit("")), r"[\x20\x09-\x0D]", "")), F.lit(0)) == 0
     worded = plain.where(~blank)
-    # An id of one row names that row; rows that share an id, or have none, are told apart by their prints.
-    shared = written(run.rows.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("rows")).where("rows > 1").select("_id"), "shared")
     kept = worded.join(stays.join(shared, "_id", "left_anti"), F.col(i) == F.col("_id"), "left_semi")
     if not stays.where("_id is null").isEmpty() or not shared.isEmpty():
         several = worded.where(F.col(i).isNull()).unionByName(worded.join(shared, F.col(i) == F.col("_id"), "left_semi"))

@@ -6,9 +6,9 @@ into ``DIMS`` places, plus a place for word pairs that the text had before. A
 feature's value is its share of the text's words, so a text's length does not
 enter. Labels, languages, sources and ids are no features.
 
-The model is fitted on the driver from a sample of labelled rows whose
-expected size is ``TRAIN_ROWS`` whatever the table's size, drawn by a hash of
-the id; the features are computed by the executors. Scoring is one narrow pass
+The model is fitted on the driver from a sample of ``TRAIN_ROWS`` labelled
+rows at most, whatever the table's size, drawn by a hash of the id; the
+features are computed by the executors and read in parts of bounded bytes. Scoring is one narrow pass
 over the texts with the weights (``DIMS`` floats) in the closure.
 """
 
@@ -21,13 +21,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cambium.llm.columns import draw60
-from cambium.llm.words import U64, hashed, mix, one_array, steps, words_of
+from cambium.llm.words import U64, hashed, in_small_batches, mix, one_array, steps, words_of
+from cambium.scratch import written
 
 DIMS = 1 << 18
-#: Expected number of labelled rows that the model is fitted on, at most.
+#: Labelled rows that the model is fitted on, at most.
 TRAIN_ROWS = 4000
+#: Bytes of features that the driver holds at once.
+PART_BYTES = 32 << 20
 FOLDS, THRESHOLD, EPOCHS, SEED = 5, 0.3, 4, 11
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.002, 0.001
 _RUN = re.compile(rb"(.)\1+", re.S)
@@ -71,8 +75,8 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in steps(batches, "text"):
         doc, place, value = features(one_array(b, "text"))
         ends = np.searchsorted(doc, np.arange(b.num_rows + 1))
-        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (place.astype(np.int32), value.astype(np.float32))]
-        yield pa.RecordBatch.from_arrays([one_array(b, "draw"), one_array(b, "quality"), *lists], names=["draw", "quality", "place", "value"])
+        blobs = [pa.array([x[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary()) for x in (place.astype(np.int32), value.astype(np.float32))]
+        yield pa.RecordBatch.from_arrays([one_array(b, "draw"), one_array(b, "quality"), *blobs], names=["draw", "quality", "place", "value"])
 
 
 class Ftrl:
@@ -104,23 +108,40 @@ def in_fold(doc_id: Column, folds: int = FOLDS) -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights learnt from labelled rows outside the held-out fold; the last is the intercept.
 
-    Rows with a null label or id teach nothing. Without any labelled row all weights are 0.
+    The sample is the ``rows`` labels of least draw, fewer if there are no
+    more. Rows with a null label or id teach nothing; a label that occurs
+    twice teaches twice. Without any labelled row all weights are 0. The
+    driver holds one part of the sample's features at a time, of about
+    ``PART_BYTES`` (a single text's are never divided).
     """
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~in_fold(F.col("doc_id"))).select("doc_id", "quality", draw60(F.lit(SEED), F.col("doc_id")).alias("draw"))
-    share = min(1.0, rows / max(1, usable.count()))
-    sample = usable.where(F.col("draw") < int(share * (1 << 60)))
-    examples = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("draw", "quality", "text")
-    got = examples.mapInArrow(_sparse, "draw long, quality int, place array<int>, value array<float>").toArrow().sort_by("draw")
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~in_fold(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"), draw60(F.lit(SEED), F.col("doc_id")).alias("draw"))
+    sample = usable.orderBy("draw", "doc_id", "quality").limit(rows)
+    examples = in_small_batches(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("draw", "quality", "text"))
+    got = written(examples.mapInArrow(_sparse, "draw long, quality int, place binary, value binary"), "sample")
+    size = got.agg(F.sum(F.octet_length("place") + F.octet_length("value"))).first()[0] or 0
+    parts = got.repartitionByRange(-(-size // PART_BYTES) or 1, "draw").sortWithinPartitions("draw", "quality", "place", "value")
     model = Ftrl()
-    place, value = got["place"].combine_chunks(), got["value"].combine_chunks()
-    first = np.concatenate([[0], np.cumsum(np.asarray(got["place"].to_pandas().map(len), dtype=np.int64))]) if len(got) else np.zeros(1, np.int64)
-    p, v, y = np.asarray(place.flatten()), np.asarray(value.flatten(), dtype=np.float64), np.asarray(got["quality"])
     for epoch in range(EPOCHS):
-        for i in np.random.default_rng(epoch).permutation(len(got)):
-            model.learn(p[first[i] : first[i + 1]], v[first[i] : first[i + 1]], int(y[i] > 0))
+        for i, part in enumerate(_parts(parts)):
+            for k in np.random.default_rng([epoch, i]).permutation(len(part)):
+                place, value, y = part[k]
+                model.learn(np.frombuffer(place, np.int32), np.frombuffer(value, np.float32).astype(float), int(y > 0))
     return model.weights().astype(np.float32)
 
 
+def _parts(rows: DataFrame) -> Iterator[list[tuple[bytes, bytes, int]]]:
+    """The rows in order, in lists of about ``PART_BYTES``."""
+    part, size = [], 0
+    for _, y, place, value in rows.toLocalIterator():
+        part.append((bytes(place), bytes(value), y))
+        size += len(place) + len(value)
+        if size >= PART_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def scores(text: pa.Array, weights: np.ndarray) -> np.ndarray:
     doc, place, value = features(text)
     dot = np.bincount(doc, weights=weights[place] * value, minlength=len(text)) + weights[-1]
@@ -128,26 +149,32 @@ def scores(text: pa.Array, weights: np.ndarray) -> np.ndarray:
 
 
 def scored(docs: DataFrame, weights: np.ndarray, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of every row with its ``_score``. Null and blank texts get the intercept's score."""
+    """The columns ``keep`` of every row with its ``_score``. Null and blank texts get the intercept's score.
+
+    Only ``keep`` and the text go to the workers, the text once.
+    """
+    rows = in_small_batches(docs.select(*dict.fromkeys([*keep, text_col])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, "_text"):
-            out = pa.array(scores(one_array(b, "_text"), weights))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), out], names=[*keep, "_score"])
+        for b in steps(batches, text_col):
+            out = pa.array(scores(one_array(b, text_col), weights))
+            yield pa.RecordBatch.from_arrays([*(one_array(b, k) for k in keep), out], names=[*keep, "_score"])
 
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
-    return rows.mapInArrow(run, f"{schema + ', ' if schema else ''}_score double")
+    return rows.mapInArrow(run, StructType([*(rows.schema[k] for k in keep), StructField("_score", DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of ``docs``."""
+    """doc_id, held_out, score and predicted of every row of ``docs``.
+
+    Equal texts score alike, whatever their ids; rows that repeat are returned as often. Texts of any length are
+    scored whole, blank ones by the intercept. A score of exactly ``THRESHOLD`` is accepted. An empty table gives no rows.
+    """
     out = scored(docs.select("doc_id", "text"), train(docs, labels), ["doc_id"])
     return out.select("doc_id", in_fold(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, with their columns as they were."""
+    """The rows of ``docs`` that the classifier doesn't reject, with their columns as they were; none of an empty table."""
     cols = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(cols))])
     out = scored(plain, train(docs, labels), plain.columns, f"c{cols.index('text')}")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cambium.llm.words import U64, hashed, letters_only, mix, words_of
+from cambium.llm.words import U64, hashed, in_small_batches, letters_only, mix, words_of
 
 CHAIN, DISTANCE, GAP = 2, 1, 12
 #: Anchors: frequent function words of English, French, German and Spanish.
@@ -114,7 +114,7 @@ def neighbours(docs: DataFrame, rows: int = ROWS_A_RANGE) -> DataFrame:
     ghosts = d.join(F.broadcast(ghosts), "range").where(F.col("doc_id").eqNullSafe(F.col("head"))).select(F.col("before").alias("range"), F.lit(True).alias("ghost"), "doc_id", "text")
     dealt = d.select("range", F.lit(False).alias("ghost"), "doc_id", "text").union(ghosts)
     dealt = dealt.repartition(parts, "range").sortWithinPartitions("range", "ghost", F.desc_nulls_last("doc_id"), F.desc("text"))
-    return dealt.mapInArrow(_compared, schema)
+    return in_small_batches(dealt).mapInArrow(_compared, schema)
 
 
 def _range_of(doc_id: Column, cuts: list[int]) -> Column:
