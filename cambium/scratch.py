@@ -38,8 +38,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def written(df: DataFrame, tag: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; ``options`` are the Parquet writer's.
 
     The copy is plain Parquet, so a lost executor costs a reread and never a
     recomputation of what made it.
@@ -49,7 +49,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     if (made := _MADE.get()) is not None:
         made.append(path)
     with _shuffles_deleted(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
