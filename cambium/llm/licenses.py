@@ -2,17 +2,19 @@
 
 Words are runs of letters and digits in lower case, shingles are five of them
 in a row. A template's shingles form its set. Texts are read through
-overlapping windows, one width for each class of template lengths, in steps
-short enough that some window holds any occurrence of the template whole. The
-signature of a window or a template holds ``ROWS`` minima under seeded
-permutations for each band; a window retrieves the templates that agree with it in a band.
-
-Each class of lengths has its number of bands (``bands_for``), ``BANDS`` at
-least: from the least Jaccard index that a window with ``LEVEL`` of a template
-can have, so that the chance to miss one stays below ``MISS`` for every
-template. A minimum of a window can only equal a template's if it is a template's
-shingle, so windows without any of the templates' shingles are left out before
-signatures are made; that changes no result.
+overlapping windows, one width for each class of template lengths, at steps
+short enough that some window holds any occurrence whole, even one that is
+longer than the template by ``STRETCH``. Windows are runs of blocks of
+``BLOCK`` shingles, so a signature is made once for each block and a window's
+is the least of its blocks'.
+
+A signature has one minimum under a seeded permutation for each band, and a
+window retrieves the templates that agree with it in a band. A band has one
+row: a window that holds ``LEVEL`` of a template beside other words has a
+Jaccard index of a tenth to a half (``worst_case``), at which bands of more rows
+would need more minima for the same guarantee. Their number (``bands_for``)
+follows from that index, so that the chance to miss a template is below
+``MISS``.
 
 Retrieved templates are verified exactly: the distinct shingles of the
 template in the window over all distinct shingles of the template. The
@@ -28,40 +30,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cambium.llm.license_texts import TEMPLATES
 from cambium.llm.words import U64, hashed, in_small_batches, letters_only, mix, one_array, shingles, steps, words_of
 
-SHINGLE, LEVEL, BANDS, ROWS, SEED, MISS = 5, 0.8, 48, 1, 3, 1e-5
+SHINGLE, BLOCK, LEVEL, STRETCH, SEED, MISS = 5, 8, 0.8, 1.25, 3, 1e-5
 
-#: Public license notices and texts, by SPDX-like name.
-TEMPLATES = {
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT-notice": "Released under the MIT License.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-}
 
+def worst_case(n_distinct: int, span: int) -> float:
+    """Least Jaccard index of a template of so many distinct shingles and a window of ``span`` shingles that holds ``LEVEL`` of it."""
+    common = math.ceil(LEVEL * n_distinct)
+    return common / (max(span, common) + n_distinct - common)
 
-def worst_case(words: int, width: int) -> float:
-    """Least Jaccard index of a template of so many words and a window that holds it, all shingles distinct."""
-    return max(1, words - SHINGLE + 1) / max(1, width - SHINGLE + 1)
 
+def bands_for(index: float) -> int:
+    """Bands of one row by which a pair with this Jaccard index is missed with a chance below ``MISS``."""
+    return 1 if index >= 1 else math.ceil(math.log(MISS) / math.log1p(-index))
 
-def bands_for(n_shingles: int, width: int) -> int:
-    """Bands by which a full window with ``LEVEL`` of so many distinct shingles is missed with a chance below ``MISS``."""
-    common = math.ceil(LEVEL * n_shingles)
-    index = common / (max(1, width - SHINGLE + 1) + n_shingles - common)
-    if index ** ROWS >= 1:
-        return BANDS
-    return max(BANDS, math.ceil(math.log(MISS) / math.log1p(-(index**ROWS))))
+
+class Windows:
+    """Windows of one class of lengths: their blocks, and how far one is from the next."""
+
+    def __init__(self, longest: int):
+        """``longest``: shingles of the longest template, a power of two."""
+        reach = int(longest * STRETCH)
+        self.step = max(1, reach // (2 * BLOCK))
+        self.wide = -(-(self.step * BLOCK + reach - 1) // BLOCK)
+        self.span = self.wide * BLOCK
 
 
 class Scanner:
@@ -69,23 +63,17 @@ class Scanner:
 
     def __init__(self, templates: dict[str, str] | None = None):
         self.names = list(TEMPLATES if templates is None else templates)
-        sets, lengths = self._sets([(templates or TEMPLATES)[k] for k in self.names])
+        self.sets, lengths = self._sets([(templates or TEMPLATES)[k] for k in self.names])
         if any(n == 0 for n in lengths):
             raise ValueError("a template has no words")
-        self.sets = sets
-        #: Window width by template: the power of two from twice the template's words on.
-        widths = [max(2 * SHINGLE, 1 << int(2 * n - 1).bit_length()) for n in lengths]
-        self.classes = sorted(set(widths))
-        self.members = {c: [i for i, x in enumerate(widths) if x == c] for c in self.classes}
-        self.stride = {c: c - max(lengths[i] for i in self.members[c]) for c in self.classes}
-        self.of_class = {c: np.unique(np.concatenate([sets[i] for i in self.members[c]])) for c in self.classes}
-        self.n_bands = {c: max(bands_for(len(sets[i]), c) for i in self.members[c]) for c in self.classes}
-        self.salt = mix(np.arange(1, max(self.n_bands.values(), default=0) * ROWS + 1).astype(U64) * U64(SEED * 2 + 1))
-        self.bands: dict[int, dict] = {c: {} for c in self.classes}
-        for c in self.classes:
-            for i in self.members[c]:
-                for key in self._keys(sets[i], self.n_bands[c]):
-                    self.bands[c].setdefault(key, []).append(i)
+        classes: dict[int, list[int]] = {}
+        for i, n in enumerate(lengths):
+            classes.setdefault(1 << (max(1, n - SHINGLE + 1) - 1).bit_length(), []).append(i)
+        self.classes = [(Windows(n), members) for n, members in sorted(classes.items())]
+        self.n_bands = [max(bands_for(worst_case(len(self.sets[i]), w.span)) for i in members) for w, members in self.classes]
+        self.odd = mix(np.arange(1, max(self.n_bands, default=0) + 1).astype(U64) * U64(2 * SEED + 1)) | U64(1)
+        #: Each template's minimum in each band.
+        self.low = [np.array([self._permuted(s, b).min() for b in range(len(self.odd))], np.uint32) for s in self.sets]
 
     @staticmethod
     def _sets(texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
@@ -93,9 +81,34 @@ class Scanner:
         h, owner = shingles(w, hashed(w.unique), SHINGLE)
         return [np.unique(h[owner == i]) for i in range(len(texts))], w.counts.tolist()
 
-    def _keys(self, shingle_set: np.ndarray, bands: int) -> list[tuple[int, bytes]]:
-        low = mix(shingle_set[:, None] ^ self.salt[None, : bands * ROWS]).min(axis=0).reshape(bands, ROWS)
-        return [(b, low[b].tobytes()) for b in range(bands)]
+    def _permuted(self, h: np.ndarray, band: int) -> np.ndarray:
+        return ((h * self.odd[band]) >> U64(32)).astype(np.uint32)
+
+    def retrieved(self, h: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(template, texts, first shingles and spans within the text) of all windows that agree with it in a band."""
+        blocks = -(-sizes // BLOCK)
+        text = np.repeat(np.arange(len(sizes)), blocks)
+        first_block = np.concatenate([[0], np.cumsum(blocks)])[:-1]
+        cuts = begins[text] + BLOCK * (np.arange(len(text)) - first_block[text])
+        if not len(cuts):
+            return
+        plans = []
+        for w, members in self.classes:
+            many = np.where(sizes > 0, 1 + np.maximum(0, -(-(blocks - w.wide) // w.step)), 0)
+            of = np.repeat(np.arange(len(sizes)), many)
+            start = w.step * (np.arange(len(of)) - (np.cumsum(many) - many)[of])
+            a = first_block[of] + start
+            plans.append((of, start, np.stack([a, np.minimum(a + w.wide, first_block[of] + blocks[of])], axis=1).ravel(), [np.zeros(len(of), bool) for _ in members]))
+        for band in range(len(self.odd)):
+            low = np.append(np.minimum.reduceat(self._permuted(h, band), cuts), np.uint32(0xFFFFFFFF))
+            for (_, members), n_bands, (_, _, edges, found) in zip(self.classes, self.n_bands, plans, strict=True):
+                if band < n_bands:
+                    mine = np.minimum.reduceat(low, edges)[::2]
+                    for i, hit in zip(members, found, strict=True):
+                        hit |= mine == self.low[i][band]
+        for (w, members), (of, start, _, found) in zip(self.classes, plans, strict=True):
+            for i, hit in zip(members, found, strict=True):
+                yield i, of[hit], start[hit] * BLOCK, np.full(int(hit.sum()), w.span)
 
     def scan(self, text: pa.Array) -> list[tuple[int, int, int, int, float]]:
         """(text number, template, first word, end word, containment) of each best window of a text and template."""
@@ -103,29 +116,16 @@ class Scanner:
         if not len(w.ids):
             return []
         h, owner = shingles(w, hashed(w.unique), SHINGLE)
-        begins = np.searchsorted(owner, np.arange(len(text)))  # of each text's first shingle
+        begins = np.searchsorted(owner, np.arange(len(text) + 1))
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for c in self.classes:
-            known, stride = self.of_class[c], self.stride[c]
-            at = np.searchsorted(known, h)
-            hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == h)
-            if not len(hit):
-                continue
-            place = hit - begins[owner[hit]]
-            span = c - SHINGLE + 1  # shingles in a window
-            first, last = np.maximum(0, -(-(place - span + 1) // stride)), place // stride
-            windows = {(d, k) for d, a, b in zip(owner[hit].tolist(), first.tolist(), last.tolist(), strict=True) for k in range(a, b + 1)}
-            for d, k in sorted(windows):
-                a = begins[d] + k * stride
-                b = min(a + span, begins[d + 1] if d + 1 < len(begins) else len(h))
-                own = np.unique(h[a:b])
-                found = {i for key in self._keys(own, self.n_bands[c]) for i in self.bands[c].get(key, ())}
-                for i in sorted(found):
-                    share = len(np.intersect1d(own, self.sets[i], assume_unique=True)) / len(self.sets[i])
-                    if share >= LEVEL and share > best.get((d, i), (0.0,))[0]:
-                        inside = np.flatnonzero(np.isin(h[a:b], self.sets[i]))
-                        start = k * stride + int(inside[0])
-                        best[d, i] = (share, start, min(k * stride + int(inside[-1]) + SHINGLE, int(w.counts[d])))
+        for i, texts, starts, spans in self.retrieved(h, begins[:-1], np.diff(begins)):
+            for d, start, span in zip(texts.tolist(), starts.tolist(), spans.tolist(), strict=True):
+                own = h[begins[d] + start : min(begins[d] + start + span, begins[d + 1])]
+                inside = np.isin(own, self.sets[i])
+                share = len(np.unique(own[inside])) / len(self.sets[i])
+                if share >= LEVEL and share > best.get((d, i), (0.0,))[0]:
+                    where = np.flatnonzero(inside)
+                    best[d, i] = (share, start + int(where[0]), min(start + int(where[-1]) + SHINGLE, int(w.counts[d])))
         return [(d, i, a, b, share) for (d, i), (share, a, b) in sorted(best.items())]
 
 
@@ -135,7 +135,8 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFra
     The span is that of the template's shingles in the text's best window, in
     words, the first such window on ties. Null and blank texts, and texts of
     fewer than five words unless a template is that very sequence, give none.
-    Equal rows give equal rows.
+    Texts of any length are scanned whole. Equal rows give equal rows, and an
+    empty table gives none.
     """
     scanner = Scanner(templates)
 
