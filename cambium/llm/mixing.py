@@ -103,15 +103,21 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     Whole repetitions return the row as it is; a fraction of one returns the
     words up to the fraction, with ``n_chars`` of that text where the column
     exists. Columns stay as in ``docs``. Rows are told apart by (doc_id,
-    source, size); rows alike in all three share their taken words evenly as
-    repetitions of any of them are the same.
+    source, size) and a hash of their text; rows alike in these share their
+    taken words evenly, the first of them one word more as far as words are
+    left over. Null texts and texts without words have no size and are left
+    out; an empty table gives an empty table.
     """
     cols = docs.columns
     sized = docs.withColumn("_size", n_words(F.col("text"))).withColumn("_tie", F.xxhash64("doc_id", "text"))
     plan = mix(sized.select(F.struct("doc_id", "_tie").alias("doc_id"), "source", F.col("_size").alias("size")), **how)
     plan = plan.groupBy(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id._tie").alias("_t"), F.col("source").alias("_source")).agg(F.sum("taken").alias("_all"), F.count("*").alias("_rows"))
     same = sized["doc_id"].eqNullSafe(plan["_id"]) & (sized["_tie"] == plan["_t"]) & sized["source"].eqNullSafe(plan["_source"])
-    out = sized.join(plan, same).withColumn("_taken", F.floor(F.col("_all") / F.col("_rows")))
+    out = sized.join(plan, same).withColumn("_over", F.col("_all") % F.col("_rows")).withColumn("_taken", F.floor(F.col("_all") / F.col("_rows")))
+    # Only rows alike with words left over need a place among their like.
+    place = F.row_number().over(Window.partitionBy("_id", "_t", "_source").orderBy(F.lit(0)))
+    uneven = out.where("_over > 0").withColumn("_taken", F.col("_taken") + (place <= F.col("_over")).cast("long"))
+    out = out.where("_over = 0").unionByName(uneven)
     copies = F.when(F.col("_size") > 0, F.ceil(F.col("_taken") / F.col("_size"))).otherwise(0).cast("int")
     out = out.withColumn("_n", copies).where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     rest = (F.col("_taken") - (F.col("_i") - 1) * F.col("_size")).cast("int")
