@@ -12,14 +12,15 @@ training texts never reached, the mixture ends at the last node they did.
 
 *Counting.* Documents are dealt over blocks of bounded bytes. A block counts
 its distinct byte strings of ``DEPTH + 1`` (and its distinct words) and sends
-them, as sorted arrays, to shards by the two bytes before the last; nothing
+them, as sorted arrays, to shards by the three bytes before the last; nothing
 moves for each position of a text. Strings of texts outside the training
 fold go along with count 0, as the strings whose probability will be asked.
+The number of shards grows with the data.
 
 *Merging.* A shard adds up the arrays of at most ``FAN`` blocks at a time, in
-as many levels as that takes. At the top it has whole subtrees from depth 2
-on. The two uppermost levels have at most 256 * 255 nodes, whatever the data;
-only these sums go to the driver.
+as many levels as that takes. At the top it has whole subtrees from depth
+``TOP`` on. The levels above have at most 256 ** 2 * 255 nodes, whatever the
+data, and in practice as many as pairs of bytes occur; only these sums go to the driver.
 
 *Answering.* Each array goes back the way it came, with a probability for each
 string, and each block scores its own documents.
@@ -39,10 +40,10 @@ from pyspark.sql import functions as F
 from cambium.llm.words import U64, hashed, one_array, steps, words_of
 from cambium.scratch import written
 
-DEPTH = 5
+DEPTH, TOP = 5, 3
 FOLDS = 10
-#: Bytes of text in a block, shards of each kind, and arrays that one merge takes.
-BLOCK_BYTES, SHARDS, FAN = 16 << 20, 64, 256
+#: Bytes of text in a block and, on average, of all text for each shard; least number of shards; arrays that one merge takes.
+BLOCK_BYTES, SHARD_BYTES, SHARDS, FAN = 16 << 20, 8 << 20, 64, 256
 GRAMS, WORDS = 0, 1
 _END = 0x0A
 
@@ -116,8 +117,8 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def shard_of(keys: np.ndarray, kind: int, shards: int) -> np.ndarray:
-    """Shard by the two context bytes next to the predicted one, or by a word's hash."""
-    top = keys >> U64(8 * (DEPTH - 1)) if kind == GRAMS else keys >> U64(20)
+    """Shard by the ``TOP`` context bytes next to the predicted one, or by a word's hash."""
+    top = keys >> U64(8 * (DEPTH + 1 - TOP)) if kind == GRAMS else keys >> U64(20)
     return ((top * U64(0x9E3779B97F4A7C15)) >> U64(32)) % U64(shards)
 
 
@@ -205,7 +206,7 @@ class Level:
         self.one = (ones + 0.5) / (self.n + 1.0)
 
 
-def subtree(keys: np.ndarray, counts: np.ndarray, top: int = 2) -> list[Level]:
+def subtree(keys: np.ndarray, counts: np.ndarray, top: int = TOP) -> list[Level]:
     """Levels of depth ``top`` to DEPTH, in this order."""
     symbol, levels, under = keys & U64(255), [], None
     for d in range(DEPTH, top - 1, -1):
@@ -219,63 +220,72 @@ def subtree(keys: np.ndarray, counts: np.ndarray, top: int = 2) -> list[Level]:
     return levels[::-1]
 
 
-class Top:
-    """Depths 0 and 1, from sums over all shards: dense arrays of 256 and 256 * 256 nodes."""
+class Upper:
+    """Depths 0 to ``TOP - 1``, from sums over all shards: ``levels[d]`` has the nodes that occur."""
 
-    def __init__(self, rows: list[tuple[int, int, float, int, int]]):
-        """rows: (last byte, node of the byte, log of the children's mixtures, zeros, ones)."""
-        zeros, ones, below = (np.zeros((256, 256)) for _ in range(3))
-        for byte, heap, s, a, b in rows:
-            zeros[byte, heap], ones[byte, heap], below[byte, heap] = a, b, s
-        one = Level(np.arange(65536), zeros.ravel(), ones.ravel(), below.ravel())
-        none = Level(np.arange(256), zeros.sum(0), ones.sum(0), np.where(one.n > 0, one.pw, 0).reshape(256, 256).sum(0))
-        self.one = [x.reshape(256, 256) for x in (one.n, one.share, one.one)]
-        self.none = [none.n, none.share, none.one]
+    def __init__(self, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray):
+        """Nodes (context << 8 | first bits) of depth ``TOP - 1``, sorted, with the log of their children's mixtures."""
+        self.levels = [Level(node, zeros, ones, below)]
+        for _ in range(TOP - 1):
+            under = self.levels[0]
+            parent = ((under.node >> U64(16)) << U64(8)) | (under.node & U64(255))
+            up, where = np.unique(parent, return_inverse=True)
+            sums = [np.bincount(where, weights=x, minlength=len(up)) for x in (zeros, ones, under.pw)]
+            zeros, ones = sums[0], sums[1]
+            self.levels.insert(0, Level(up, *sums))
 
 
-def log_probability(keys: np.ndarray, counts: np.ndarray, top: Top) -> np.ndarray:
+def log_probability(keys: np.ndarray, counts: np.ndarray, upper: Upper) -> np.ndarray:
     """log10 probability of each string's last byte after the others."""
-    levels = subtree(keys, counts)
+    levels = [*upper.levels, *subtree(keys, counts)]
     symbol, out = keys & U64(255), np.zeros(len(keys))
-    last = (keys >> U64(8 * DEPTH)).astype(np.int64)
+    # A context's strings stand together: each level is looked up once for all strings with the same context.
+    contexts = []
+    for d in range(len(levels)):
+        context = keys >> U64(8 * (DEPTH - d + 1)) if d else np.zeros(len(keys), U64)
+        contexts.append(context << U64(8))
     for k in range(8):
-        heap = (U64(1 << k) | (symbol >> U64(8 - k))).astype(np.int64)
-        path = [(self_n[heap], share[heap], one[heap]) for self_n, share, one in (top.none,)]
-        path += [(self_n[last, heap], share[last, heap], one[last, heap]) for self_n, share, one in (top.one,)]
-        for d, level in enumerate(levels, 2):
-            at = np.searchsorted(level.node, ((keys >> U64(8 * (DEPTH - d + 1))) << U64(8)) | heap.astype(U64))
-            path.append((level.n[at], level.share[at], level.one[at]))
-        p = np.full(len(keys), 0.5)
-        for n, share, one in reversed(path):
-            deeper = np.where(share < 1, share * one + (1 - share) * p, one)
-            p = np.where(n > 0, np.where(np.isnan(p), one, deeper), np.nan)
-        p = np.where(np.isnan(p), 0.5, p)
+        heap = U64(1 << k) | (symbol >> U64(8 - k))
         bit = (symbol >> U64(7 - k)) & U64(1)
+        p = np.full(len(keys), np.nan)  # of the next bit being 1, nan below the last node with training strings
+        for context, level in zip(reversed(contexts), reversed(levels), strict=True):
+            at = np.minimum(np.searchsorted(level.node, context | heap), max(len(level.node) - 1, 0))
+            if not len(level.node):
+                continue
+            n, share, one = level.n[at], level.share[at], level.one[at]
+            seen = (n > 0) & (level.node[at] == (context | heap))
+            p = np.where(seen, np.where(np.isnan(p), one, share * one + (1 - share) * p), np.nan)
+        p = np.where(np.isnan(p), 0.5, p)
         out += np.log10(np.where(bit == 1, p, 1 - p))
     return out
 
 
 # --- merging and answering ---------------------------------------------------------------------------------------
 
-SUMS_SQL = "byte int, heap int, below double, zeros long, ones long"
+SUMS_SQL = "kind int, node long, below double, zeros long, ones long"
+
+
+def upper_sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of some whole subtrees: the nodes above them, log of their children's mixtures, zeros and ones."""
+    first = subtree(keys, counts)[0]
+    parent = ((first.node >> U64(16)) << U64(8)) | (first.node & U64(255))
+    node, where = np.unique(parent, return_inverse=True)
+    mine, zeros, ones = bit_nodes(keys >> U64(8 * (DEPTH - TOP + 2)), keys & U64(255), counts)
+    assert (mine == node).all()
+    return node, np.bincount(where, weights=first.pw, minlength=len(node)), zeros, ones
 
 
 def summary(group: pa.Table) -> pa.Table:
-    """What the top needs of a shard. Words: one row with byte -1, N in ``zeros`` and V in ``ones``."""
+    """What the top needs of a shard. Words: one row with N in ``zeros`` and V in ``ones``."""
     keys, counts = _merged(group)
-    kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]
-    names = ["byte", "heap", "below", "zeros", "ones"]
+    kinds = [pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+    names = ["kind", "node", "below", "zeros", "ones"]
     if group["kind"][0].as_py() == WORDS:
-        values = [[-1], [0], [0.0], [int(counts.sum())], [int((counts > 0).sum())]]
-        return pa.table([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=names)
-    two = subtree(keys, counts)[0]
-    byte, heap = (two.node >> U64(16)).astype(np.int64), (two.node & U64(255)).astype(np.int64)
-    key, where = np.unique(byte * 256 + heap, return_inverse=True)
-    node, zeros, ones = bit_nodes(keys >> U64(8 * DEPTH), keys & U64(255), counts)
-    node = ((node >> U64(8)) << U64(8) | (node & U64(255))).astype(np.int64)
-    below = np.bincount(where, weights=two.pw, minlength=len(key))
-    assert (node == key).all()
-    return pa.table([pa.array(v, t) for v, t in zip([key // 256, key % 256, below, zeros, ones], kinds, strict=True)], names=names)
+        values = [[WORDS], [0], [0.0], [int(counts.sum())], [int((counts > 0).sum())]]
+    else:
+        node, below, zeros, ones = upper_sums(keys, counts)
+        values = [np.full(len(node), GRAMS), node.astype(np.int64), below, zeros, ones]
+    return pa.table([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=names)
 
 
 def _merge_level(group: pa.Table) -> pa.Table:
@@ -288,12 +298,12 @@ ANSWERS_SQL = "kind int, shard int, block long, keys binary, answers binary"
 ANSWERS = pa.schema([(n, BLOBS.field(n).type if n in BLOBS.names else pa.binary()) for n in ("kind", "shard", "block", "keys", "answers")])
 
 
-def _answer_top(top: Top):
+def _answer_top(upper: Upper):
     """Answers for the arrays that a shard merged last: probabilities of strings, counts of words."""
 
     def run(group: pa.Table) -> pa.Table:
         keys, counts = _merged(group)
-        values = log_probability(keys, counts, top) if group["kind"][0].as_py() == GRAMS else counts.astype(float)
+        values = log_probability(keys, counts, upper) if group["kind"][0].as_py() == GRAMS else counts.astype(float)
         return _asked(group, keys, values)
 
     return run
@@ -326,10 +336,13 @@ def answered(blobs: DataFrame, blocks: int, fan: int = FAN) -> tuple[DataFrame,
         answers = keyed.groupBy("kind", "shard", "parent").cogroup(got.withColumnRenamed("block", "parent").groupBy("kind", "shard", "parent")).applyInArrow(_answer_down, ANSWERS_SQL)
         return answers, tokens, distinct
     sums = blobs.groupBy("kind", "shard").applyInArrow(summary, SUMS_SQL)
-    sums = sums.groupBy("byte", "heap").agg(F.sum("below"), F.sum("zeros"), F.sum("ones")).collect()  # at most 256 * 255 + 1 rows
-    words = [r for r in sums if r[0] < 0]
-    top = Top([tuple(r) for r in sums if r[0] >= 0])
-    return blobs.groupBy("kind", "shard").applyInArrow(_answer_top(top), ANSWERS_SQL), *(words[0][3:5] if words else (0, 0))
+    got = sums.groupBy("kind", "node").agg(F.sum("below").alias("below"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow().sort_by("node")  # one row for each pair of bytes and first bits, and one for words
+    words = got.filter(pc.equal(got["kind"], WORDS)).to_pylist()
+    grams = got.filter(pc.equal(got["kind"], GRAMS))
+    node, below, zeros, ones = (np.asarray(grams[c]) for c in ("node", "below", "zeros", "ones"))
+    upper = Upper(node.astype(U64), zeros, ones, below)
+    tokens, distinct = (words[0]["zeros"], words[0]["ones"]) if words else (0, 0)
+    return blobs.groupBy("kind", "shard").applyInArrow(_answer_top(upper), ANSWERS_SQL), tokens, distinct
 
 
 def _scores(tokens: int, distinct: int):
@@ -365,7 +378,7 @@ def _scores(tokens: int, distinct: int):
 OUT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
 
 
-def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shards: int = SHARDS, fan: int = FAN) -> DataFrame:
+def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shards: int | None = None, fan: int = FAN) -> DataFrame:
     """Scores of every document by the model that the training fold teaches.
 
     Null and blank texts have one token, the end. Without training texts every
@@ -377,6 +390,7 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shards: int = SHARDS
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
+    shards = shards or max(SHARDS, -(-size // SHARD_BYTES))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     blobs = written(rows.groupBy("block").applyInArrow(lambda g: counted(g, shards), BLOBS_SQL), "grams")
     answers, tokens, distinct = answered(blobs, blocks, fan)

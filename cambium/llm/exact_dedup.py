@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cambium.llm.columns import lower_ascii
-from cambium.llm.filters import bitmap_of, may_contain
+from cambium.llm.filters import bitmap_of, flagged, may_contain
 from cambium.scratch import written
 
 #: Rows of a run, the least number of runs, and how many of them one compaction of the second level merges.
@@ -71,9 +71,10 @@ class Index:
     def collisions(self) -> DataFrame:
         """Digests under which rows differ in their bytes, from the texts of all rows that hit."""
         hits = self.top.where("n > 1").select("digest")
-        bitmap, bits = bitmap_of(hits, F.col("digest"), hits.count())
+        #: A bitmap over the digests of several rows, and its bits.
+        self.filter = bitmap_of(hits, F.col("digest"), hits.count())
         rows = self.digested(self.docs.select(self.id, self.text))
-        rows = may_contain(rows, F.col("digest"), bitmap, bits).select("run", "digest", normalised(F.col(self.text)).alias("text"))
+        rows = may_contain(rows, F.col("digest"), *self.filter).select("run", "digest", normalised(F.col(self.text)).alias("text"))
         texts = rows.groupBy("run", "digest", "text").agg(F.lit(1).alias("one"))
         return texts.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b").select("digest")
 
@@ -120,7 +121,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Digest = sha256) -> DataFrame:
     """``docs`` with one row of each group of equal texts, that with the largest id; columns as they were.
 
-    Rows outside the filter are unique and pass as they are; the others are
+    Rows outside the filter are unique and pass as they are, without a shuffle; the others are
     joined with their group on (run, digest). Rows alike in id and text are
     one row in the result. An empty table gives an empty table.
     """
@@ -136,8 +137,10 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         best = odd.groupBy("_norm").agg(F.max(F.struct(i)).alias("_best"))
         odd = odd.join(best, "_norm").where(F.col(i).eqNullSafe(F.col(f"_best.{i}"))).dropDuplicates(["_norm"]).select(*named.values())
         rows = rows.join(index.differ, "digest", "left_anti")
-    out = rows.join(stays.withColumn("_hit", F.lit(True)), ["run", "digest"], "left")
-    single = out.where(F.col("_hit").isNull())
-    several = out.where(F.col("_hit") & F.col(i).eqNullSafe(F.col("_keep"))).dropDuplicates(["digest"])
-    kept = single.unionByName(several).select(*named.values())
+    # Rows that the filter rules out are unique; only the others, hits and a few that merely look so, are shuffled.
+    rows = flagged(rows, F.col("digest"), *index.filter)
+    single = rows.where("not _maybe")
+    maybe = rows.where("_maybe").join(stays.withColumn("_hit", F.lit(True)), ["run", "digest"], "left")
+    maybe = maybe.where(F.col("_hit").isNull() | F.col(i).eqNullSafe(F.col("_keep"))).dropDuplicates(["digest"])
+    kept = single.select(*named.values()).unionByName(maybe.select(*named.values()))
     return (kept if odd is None else kept.unionByName(odd)).toDF(*docs.columns)

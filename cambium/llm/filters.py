@@ -28,10 +28,15 @@ def bitmap_of(keys: DataFrame, key: Column, n_keys: int, most: int = FILTER_BITS
     return keys.groupBy(_page(bit).alias("page")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(_PAGE))).alias("bitmap")), bits
 
 
-def may_contain(rows: DataFrame, key: Column, bitmap: DataFrame, bits: int) -> DataFrame:
-    """Rows whose key may be in the filter: all that are, and few others."""
+def flagged(rows: DataFrame, key: Column, bitmap: DataFrame, bits: int, name: str = "_maybe") -> DataFrame:
+    """All rows with a column ``name``: whether their key may be in the filter. True for all that are, and for few others."""
     out = rows.withColumn("_bit", _bit(key, bits)).withColumn("_page", _page(F.col("_bit")))
-    out = out.join(F.broadcast(bitmap.withColumnRenamed("page", "_page").withColumnRenamed("bitmap", "_bitmap")), "_page")
+    out = out.join(F.broadcast(bitmap.withColumnRenamed("page", "_page").withColumnRenamed("bitmap", "_bitmap")), "_page", "left")
     offset = F.pmod(F.col("_bit"), F.lit(_PAGE))
     byte = F.conv(F.hex(F.substring("_bitmap", (F.floor(offset / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return out.where(byte.bitwiseAND(F.pow(F.lit(2), offset % 8).cast("int")) != 0).drop("_bit", "_page", "_bitmap")
+    return out.withColumn(name, F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), offset % 8).cast("int")) != 0, F.lit(False))).drop("_bit", "_page", "_bitmap")
+
+
+def may_contain(rows: DataFrame, key: Column, bitmap: DataFrame, bits: int) -> DataFrame:
+    """Rows whose key may be in the filter: all that are, and few others."""
+    return flagged(rows, key, bitmap, bits).where("_maybe").drop("_maybe")

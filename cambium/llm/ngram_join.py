@@ -26,7 +26,7 @@ their differences do, so the join is made on these short sets: the member
 nearest the consensus is compared with all, which covers every pair that
 needs no token in common, and the other pairs meet in a prefix of their
 differences, rare tokens first. Every candidate is verified by intersecting the
-sets, and only texts with candidates are read a second time. No link between
+sets or, which is the same, the differences; only texts with candidates are read a second time. No link between
 different components is missed, and components need no pair within one. Where
 the links themselves are asked for, all pairs of classes that share a key are
 verified, as many as the square of a family's classes.
@@ -55,7 +55,7 @@ from cambium.llm.words import U64, hashed, in_small_batches, mix, one_array, shi
 from cambium.scratch import temporary, written
 
 #: Members of an unsettled key up to which all its pairs across components are verified at once.
-FEW = 12
+FEW = 4
 #: Ratio of a band's bounds.
 RATIO = 1.25
 
@@ -267,10 +267,14 @@ class Join:
         w = F.size("diff") * (self.level.den + self.level.num) - F.col("n") * (self.level.den - self.level.num)
         return written(rows.select("family", "cid", "n", "diff", w.alias("w")), "described")
 
-    def centres(self, d: DataFrame) -> DataFrame:
-        """Members with the one of least ``w``: any two with w1 + w2 <= 0 link, and so does each of them with this one."""
-        mid = d.groupBy("family").agg(F.min(F.struct("w", "cid", "n")).alias("m"))
-        out = d.join(mid, "family").where((F.col("cid") != F.col("m.cid")) & self.close("n", "m.n"))
+    def alike(self, w1: str, w2: str, diff1: str, diff2: str) -> Column:
+        """Whether two members of a family link, from their differences."""
+        return F.col(w1) + F.col(w2) <= 2 * (self.level.den + self.level.num) * F.size(F.array_intersect(diff1, diff2))
+
+    def centre_links(self, d: DataFrame) -> DataFrame:
+        """Links with the member of least ``w``: any two with w1 + w2 <= 0 link, and so does each of them with this one."""
+        mid = d.groupBy("family").agg(F.min(F.struct("w", "cid", "diff")).alias("m"))
+        out = d.join(mid, "family").where((F.col("cid") != F.col("m.cid")) & self.alike("w", "m.w", "diff", "m.diff"))
         return out.select(F.least("cid", "m.cid").alias("a"), F.greatest("cid", "m.cid").alias("b"))
 
     def near_consensus(self, d: DataFrame) -> DataFrame:
@@ -286,7 +290,8 @@ class Join:
         each = d.select("family", "cid", F.explode("diff").alias("t"))
         often = each.groupBy("family", "t").agg(F.count("*").alias("f")).where("f > 1")  # tokens of one member lead nowhere
         order = each.join(often, ["family", "t"]).groupBy("family", "cid").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("shared"))
-        d = d.join(least, "family").join(order, ["family", "cid"]).withColumn("e", F.size("diff")).withColumn("alone", F.col("e") - F.size("shared"))
+        order = written(order, "order")
+        d = d.select("family", "cid", "n", "c", "w", F.size("diff").alias("e")).join(least, "family").join(order, ["family", "cid"]).withColumn("alone", F.col("e") - F.size("shared"))
         low = F.greatest(F.lit(1), F.ceil(F.col("w") / k))
         high = F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("least")) / (2 * k)))
         # The first e - o + 1 tokens, of which those that no other member has come first.
@@ -309,8 +314,12 @@ class Join:
         if many.isEmpty():
             return label if few.isEmpty() else self.settled(self.across(few), label)
         d = self.described(many)
-        label = self.settled(self.across(few).unionByName(self.centres(d)), label)
-        return self.settled(self.near_consensus(self.named(d, label)), label)
+        label = self.settled(self.across(few), label, self.centre_links(d))
+        pairs = written(self.near_consensus(self.named(d, label)), "near")
+        x, y = (d.select(F.col("cid").alias(k), F.col("w").alias(f"w{k}"), F.col("diff").alias(f"d{k}")) for k in ("a", "b"))
+        found = written(pairs.join(x, "a").join(y, "b").where(self.alike("wa", "wb", "da", "db")).select("a", "b"), "links")
+        self.links = self.links.unionByName(found)
+        return components(self.links)
 
     def all_links(self) -> DataFrame:
         """All pairs (a, b) of distinct classes that link, a < b; after ``labels``."""
@@ -319,11 +328,12 @@ class Join:
         more = written(pairs.join(self.tried, ["a", "b"], "left_anti"), "more")
         return written(self.links.unionByName(self.verified(more)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
 
-    def settled(self, pairs: DataFrame, label: DataFrame) -> DataFrame:
-        """Components after verifying those of the pairs that weren't before."""
+    def settled(self, pairs: DataFrame, label: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """Components after verifying those of the pairs that weren't before, and with links that are ``known``."""
         more = written(pairs.distinct().join(self.tried, ["a", "b"], "left_anti"), "more")
         self.tried = self.tried.unionByName(more)
-        found = written(self.verified(more), "links")
+        found = self.verified(more)
+        found = written(found if known is None else found.unionByName(known), "links")
         if found.isEmpty():
             return label
         self.links = self.links.unionByName(found)

@@ -123,3 +123,31 @@ def test_placement(spark):
         slot = int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % maglev.SLOTS
         assert (r.slot, r.shard) == (slot, table[slot])
     assert maglev.place(df.limit(0)).count() == 0
+
+
+def test_texts_that_share_a_digest_are_told_apart(spark):
+    rows = [(1, "A b", "s"), (2, "a B", "s"), (3, "xx", "s"), (4, "yyy", "s"), (5, "yyy", "s"), (5, "yyy", "s"), (None, "q q", "s"), (None, None, "s"), (7, "", "s")]
+    df = spark.createDataFrame(rows, DOCS)
+    by_length = lambda t: F.unhex(F.lpad(F.hex(F.length(t)), 8, "0"))
+    plain = lambda **how: sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df, **how).collect()), key=str)
+    assert plain(digest=by_length) == plain()
+    assert sorted(map(tuple, exact_dedup.without_copies(df, digest=by_length).collect()), key=str) == sorted(map(tuple, exact_dedup.without_copies(df).collect()), key=str)
+
+
+def test_runs_are_looked_up_by_digest(spark):
+    df = spark.createDataFrame([(k, f"text {k % 30}", "s") for k in range(90)], DOCS)
+    index = exact_dedup.Index(df, "doc_id", "text", exact_dedup.sha256)
+    got = exact_dedup.lookup(index.entries, [hashlib.sha256(b"text 7").digest(), hashlib.sha256(b"none").digest()])
+    assert sorted(r.id for r in got.collect()) == [7, 37, 67]
+
+
+def test_rows_alike_share_every_word_of_their_target(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g", "s")] * 3 + [(2, "x y", "t"), (3, None, "t"), (None, "n", None), (None, "n", None)], DOCS)
+    got = mixing.mixed_documents(df.withColumn("_taken", F.lit(1)))
+    plan = mixing.mix(df.select("doc_id", "source", F.size(F.split(F.coalesce("text", F.lit("")), " ")).alias("size")).where("doc_id <> 3 or doc_id is null"))
+    want = {r.source: r.taken for r in plan.groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+    words = Counter()
+    for r in got.collect():
+        words[r.source] += len(r.text.split())
+    assert got.columns == [*df.columns, "_taken"] and {k: v for k, v in want.items() if v} == dict(words)
+    assert mixing.mixed_documents(df.limit(0)).count() == 0 and exact_dedup.without_copies(df.limit(0)).count() == 0
