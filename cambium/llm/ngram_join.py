@@ -52,7 +52,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from cambium.llm.components import components
 from cambium.llm.filters import bitmap_of, may_contain
 from cambium.llm.words import U64, hashed, in_small_batches, mix, one_array, shingles, steps, words_of
-from cambium.scratch import temporary, written
+from cambium.scratch import dropped, temporary, written
 
 #: Members of an unsettled key up to which all its pairs across components are verified at once.
 FEW = 4
@@ -217,9 +217,11 @@ class Join:
         return F.least(a, b) * self.level.den >= F.greatest(a, b) * self.level.num
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link."""
-        left = self.tokens.select(F.col("cid").alias("a"), F.col("tokens").alias("x"))
-        right = self.tokens.select(F.col("cid").alias("b"), F.col("tokens").alias("y"))
+        """The pairs (a, b) that link; ``pairs`` is a written table. Only sets that a pair may need are shuffled."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        tokens = may_contain(self.tokens, F.col("cid"), *bitmap_of(ids, F.col("cid"), ids.count()))
+        left = tokens.select(F.col("cid").alias("a"), F.col("tokens").alias("x"))
+        right = tokens.select(F.col("cid").alias("b"), F.col("tokens").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         union = F.size("x") + F.size("y") - both
         return pairs.select("a", "b").join(right, "b").join(left, "a").where(both * self.level.den >= union * self.level.num).select("a", "b")
@@ -258,14 +260,16 @@ class Join:
         hubs = many.groupBy("key").agg(F.min("cid").alias("hub"))
         hub = many.join(hubs, "key").where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
         family = components(hub, "family").select(F.col("node").alias("cid"), F.col("component").alias("family"))
-        rows = written(many.select("cid", "n").distinct().join(family, "cid").join(self.tokens, "cid"), "family")
+        whole = rows = written(many.select("cid", "n").distinct().join(family, "cid").join(self.tokens, "cid"), "family")
         size = rows.groupBy("family").agg(F.count("*").alias("members"))
         common = rows.select("family", F.explode("tokens").alias("t")).groupBy("family", "t").agg(F.count("*").alias("k")).join(size, "family").where("2 * k > members")
         consensus = common.groupBy("family").agg(F.collect_list("t").alias("consensus"))  # at most twice the mean size of a set
         rows = rows.join(consensus, "family", "left").withColumn("consensus", F.coalesce("consensus", F.array().cast("array<long>")))
         rows = rows.withColumn("diff", F.concat(F.array_except("tokens", "consensus"), F.array_except("consensus", "tokens")))
         w = F.size("diff") * (self.level.den + self.level.num) - F.col("n") * (self.level.den - self.level.num)
-        return written(rows.select("family", "cid", "n", "diff", w.alias("w")), "described")
+        out = written(rows.select("family", "cid", "n", "diff", w.alias("w")), "described")
+        dropped(whole)
+        return out
 
     def alike(self, w1: str, w2: str, diff1: str, diff2: str) -> Column:
         """Whether two members of a family link, from their differences."""

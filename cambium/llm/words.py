@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,9 +13,9 @@ import xxhash
 from pyspark.sql import DataFrame
 
 #: Bytes of text that one step of an operator holds in columnar form, a longer single text excepted.
-STEP_BYTES = 6 << 20
+STEP_BYTES = 3 << 20
 #: Bytes of one Arrow batch that Spark hands to a worker, a longer single row excepted.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 U64 = np.uint64
 
 
@@ -51,8 +52,9 @@ class Words:
 def steps(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts come to about ``most`` bytes; a row is never divided.
 
-    What Arrow has set free goes back to the system after each batch: workers live on and would keep it.
+    What has been set free goes back to the system after each batch: workers live on and would keep it.
     """
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -63,6 +65,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES)
             yield batch.slice(a, b - a)
         del batch
         pa.default_memory_pool().release_unused()
+        trim(0)
 
 
 def words_of(text: pa.Array) -> Words:
