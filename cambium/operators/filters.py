@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cambium.functions.scalars import c, finite
+from cambium.functions.scalars import c, finite, mean_of_present
 
 
 def met(p: Column) -> Column:
@@ -28,6 +28,35 @@ def boundary_gates(molecular_z: float, support: float, tension_z: float, pressur
     return gates | ({} if reciprocity is None else {"pass_reciprocity": F.col("reciprocity") >= reciprocity})
 
 
+def effective_gates(df: DataFrame, limits: dict[str, float], version: str) -> DataFrame:
+    """Gates on a relation's effective states, and the mean of their margins as ``ordering_merit``.
+
+    ``strength``: communication by strength and reciprocity. ``support``: by
+    support, and reciprocity only where it is supported. ``open``: by support
+    alone. Limits: molecular, support_fraction, tension_z, delta_p_z, strength, reciprocity.
+    """
+    if version not in ("strength", "support", "open"):
+        raise ValueError(version)
+    x = F.col
+    gates = {
+        "pass_molecular": x("molecular_distance") <= limits["molecular"], "pass_mechanics_support": x("mechanics_support_fraction") >= limits["support_fraction"],
+        "pass_tension": x("abs_tension_z") <= limits["tension_z"], "pass_delta_p": x("abs_delta_p_z") <= limits["delta_p_z"],
+    }
+    inside = lambda name, most: (F.lit(most) - x(name)) / (most + 1e-12)
+    margins = [inside("molecular_distance", limits["molecular"]), inside("abs_tension_z", limits["tension_z"]), inside("abs_delta_p_z", limits["delta_p_z"]), x("mechanics_support_fraction") - limits["support_fraction"]]
+    if version == "strength":
+        gates |= {"pass_communication_strength": x("comm_strength") >= limits["strength"], "pass_communication_reciprocity": x("comm_reciprocity") >= limits["reciprocity"]}
+        margins += [(x("comm_strength") - limits["strength"]) / (abs(limits["strength"]) + 1), x("comm_reciprocity") - limits["reciprocity"]]
+    else:
+        there = met(x("comm_supported"))
+        gates["pass_communication_support"] = there
+        margins.append(F.when(there, F.log1p("comm_support")).otherwise(-1.0))
+        if version == "support":
+            gates["pass_communication_reciprocity"] = there & (x("comm_reciprocity") >= limits["reciprocity"])
+            margins.append(F.when(there, x("comm_reciprocity") - limits["reciprocity"]).otherwise(-1.0))
+    return conjunctive_gate(df, gates).withColumn("ordering_merit", mean_of_present(*margins))
+
+
 def below_cost(df: DataFrame, cost: str, threshold: Column) -> DataFrame:
     """``merge_allowed``: a finite cost at or below the threshold."""
     return df.withColumn("merge_allowed", met(finite(cost) <= threshold))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cambium.functions.scalars import ratio
-from cambium.scratch import written
+from cambium.scratch import dropped, written
 
 
 def without_self_edges(edges: DataFrame, i: str = "i", j: str = "j") -> DataFrame:
@@ -129,8 +129,11 @@ def loop_status(loops: DataFrame, registry: DataFrame, nodes: str = "nodes") ->
     return got.groupBy("loop_id").agg(F.count("*").alias("n_edges"), F.count_if(ok).alias("n_resolved"), F.bool_and(ok).alias("fully_resolved"))
 
 
-def shortest_paths(directed: DataFrame, sources: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(source, node, cost) of least directed cost from a bounded set of sources: relaxation until nothing changes."""
+def shortest_paths(directed: DataFrame, sources: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """(source, node, cost) of least directed cost from a bounded set of sources: relaxation until nothing changes.
+
+    Raises an error where that takes more than ``most_rounds`` rounds, as with costs below 0.
+    """
     best = written(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost")), "paths")
     arcs = written(directed.select("src", "dst", F.col("cost").alias("_c")), "arcs")
     front = best
@@ -141,8 +144,8 @@ def shortest_paths(directed: DataFrame, sources: DataFrame, most_rounds: int = 6
         best = both.select("source", "node", "cost")
         front = both.where(F.col("old").isNull() | (F.col("cost") < F.col("old"))).select("source", "node", "cost")
         if front.limit(1).isEmpty():
-            break
-    return best
+            return best
+    raise ValueError(f"least costs still change after {most_rounds} rounds")
 
 
 def path_asymmetry(paths: DataFrame) -> DataFrame:
@@ -153,25 +156,23 @@ def path_asymmetry(paths: DataFrame) -> DataFrame:
 
 
 def harmonic_fill(adjacency: DataFrame, anchors: DataFrame, nodes: DataFrame, prior: float = 0.0, rounds: int = 500, tolerance: float = 1e-7) -> DataFrame:
-    """Values of nodes without an anchor as weighted means of their neighbours: Jacobi rounds, written down every ten.
+    """Values of nodes without an anchor as weighted means of their neighbours: Jacobi rounds, each written down.
 
-    Columns: node, value, hops to the nearest anchor (up to 64) and confidence
-    exp(-hops / 8); a node that no anchor reaches keeps the prior, confidence 0.
+    Columns: node, value, hops to the nearest anchor (up to 64), confidence
+    exp(-hops / 8), and whether the values stopped changing within ``rounds``; a
+    node that no anchor reaches keeps the prior, confidence 0.
     """
-    now = written(nodes.select("node").distinct().join(anchors.select("node", F.col("value").cast("double").alias("anchor")), "node", "left").select("node", "anchor", F.coalesce("anchor", F.lit(float(prior))).alias("value"), F.when(F.col("anchor").isNotNull(), 0).alias("hops")), "harmonic")
+    now = written(nodes.select("node").distinct().join(anchors.select("node", F.col("value").cast("double").alias("anchor")), "node", "left").select("node", "anchor", F.coalesce("anchor", F.lit(float(prior))).alias("value"), F.when(F.col("anchor").isNotNull(), 0).alias("hops"), F.lit(0.0).alias("_d")), "harmonic")
     adj = written(adjacency.select("src", "dst", "w"), "harmonic")
-    for k in range(rounds):
+    still = False
+    for _ in range(rounds):
         around = adj.join(now.select(F.col("node").alias("dst"), "value", "hops"), "dst").groupBy(F.col("src").alias("node")).agg(ratio(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("_v"), F.min("hops").alias("_h"))
         moved = now.join(around, "node", "left").select("node", "anchor", F.coalesce("anchor", "_v", "value").alias("value"), F.least("hops", F.when(F.col("_h") < 64, F.col("_h") + 1)).alias("hops"), F.abs(F.coalesce("anchor", "_v", "value") - F.col("value")).alias("_d"))
-        if k % 10 < 9:
-            now = moved.drop("_d")
-            continue
-        moved = written(moved, "harmonic")
-        if (moved.agg(F.max("_d")).first()[0] or 0.0) < tolerance:
-            now = moved.drop("_d")
+        before, now = now, written(moved, "harmonic")
+        dropped(before)
+        if still := (now.agg(F.max("_d")).first()[0] or 0.0) < tolerance:
             break
-        now = moved.drop("_d")
-    return now.select("node", "value", "hops", F.when(F.col("hops").isNotNull(), F.exp(-F.col("hops") / 8.0)).otherwise(0.0).alias("confidence"))
+    return now.select("node", "value", "hops", F.when(F.col("hops").isNotNull(), F.exp(-F.col("hops") / 8.0)).otherwise(0.0).alias("confidence"), F.lit(still).alias("converged"))
 
 
 def grow_region(edges: DataFrame, points: DataFrame, target: int) -> DataFrame:

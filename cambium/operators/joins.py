@@ -88,15 +88,20 @@ def pareto_front(df: DataFrame, keys: list[str], ident: str, metrics: list[str],
     """Rows that no row of their group dominates (as good in all metrics and better in one).
 
     ``nulls``: ``ineligible`` leaves out rows with a NULL metric, ``worst``
-    counts NULL as minus infinity. Only the best row of the sum can survive
-    beside others of a lower sum, so candidates are compared with rows of
-    larger sums of ranks only.
+    counts NULL as minus infinity. Two metrics take one running maximum over
+    the distinct values of the first; with more, rows are held against the
+    distinct combinations of metrics in their group.
     """
     if nulls == "worst":
         m = df.withColumns({f"_m{k}": F.coalesce(F.col(x).cast("double"), F.lit(float("-inf"))) for k, x in enumerate(metrics)})
     else:
         m = df.where(reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in metrics])).withColumns({f"_m{k}": F.col(x).cast("double") for k, x in enumerate(metrics)})
     own = [f"_m{k}" for k in range(len(metrics))]
+    if len(own) == 2:
+        best = m.groupBy(*keys, "_m0").agg(F.max("_m1").alias("_best"))
+        above = F.max("_best").over(Window.partitionBy(*keys).orderBy(F.desc("_m0")).rowsBetween(Window.unboundedPreceding, -1))
+        kept = best.withColumn("_above", above).where("_above is null or _above < _best").select(*keys, F.col("_m0"), F.col("_best").alias("_m1"))
+        return m.join(kept, [*keys, *own], "left_semi").drop(*own)
     other = m.select(*keys, *[F.col(x).alias(f"o{x}") for x in own]).distinct()
     as_good = reduce(lambda a, b: a & b, [F.col(f"o{x}") >= F.col(x) for x in own])
     better = reduce(lambda a, b: a | b, [F.col(f"o{x}") > F.col(x) for x in own])

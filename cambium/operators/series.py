@@ -278,31 +278,73 @@ def overlap_dedup(df: DataFrame, keys: list[str], low: str, high: str, order: li
 def persistence_basins(df: DataFrame, keys: list[str], order: str, score: str, factor: float = 1.75, floor: float = 0.08, width: int = 3, shoulder: int = 4) -> DataFrame:
     """Basins around local minima of ``score``: as far as it stays within max(factor * s0, s0 + floor), at least ``width`` rows.
 
-    Depth is the median of the shoulders' medians, ``shoulder`` rows on either side, minus s0.
+    The first and last row may be minima too. A row without a score ends a
+    basin. Depth is the median of the shoulders' medians, ``shoulder`` rows on
+    either side, minus s0; it is NULL without any shoulder. A key is one
+    series of landmarks, whose minima are joined with its rows.
     """
-    import numpy as np
-    import pandas as pd
+    w = over(keys, order)
+    rows = df.select(*keys, F.col(score).cast("double").alias("_s"), F.row_number().over(w).cast("int").alias("_p"), is_local_extremum(score, w, 1).alias("_low"))
+    low = rows.where("_low and _s is not null").select(*keys, F.col("_p").alias("centre"), F.col("_s").alias("bottom"), F.greatest(factor * F.col("_s"), F.col("_s") + floor).alias("_limit"))
+    beyond = F.col("_s").isNull() | (F.col("_s") > F.col("_limit"))
+    reach = low.join(rows, keys).groupBy(*keys, "centre", "bottom").agg(
+        F.coalesce(F.max(F.when(beyond & (F.col("_p") < F.col("centre")), F.col("_p"))), F.lit(0)).alias("_before"),
+        F.coalesce(F.min(F.when(beyond & (F.col("_p") > F.col("centre")), F.col("_p"))), F.max("_p") + 1).alias("_after"),
+    )
+    wide = reach.where(F.col("_after") - F.col("_before") - 1 >= width)
+    half = lambda side: F.percentile(F.when(side, F.col("_s")), F.lit(0.5))
+    out = wide.join(rows, keys).groupBy(*keys, "centre", "bottom", "_before", "_after").agg(
+        half(F.col("_p").between(F.col("_before") - (shoulder - 1), F.col("_before"))).alias("_l"), half(F.col("_p").between(F.col("_after"), F.col("_after") + (shoulder - 1))).alias("_r"),
+    )
+    level = F.coalesce((F.col("_l") + F.col("_r")) / 2, "_l", "_r")
+    return out.select(*keys, "centre", (F.col("_before") + 1).alias("entry"), (F.col("_after") - 1).alias("exit"), "bottom", (level - F.col("bottom")).alias("depth"))
 
-    kinds = {n: df.schema[n].dataType.simpleString() for n in keys}
-    schema = ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", centre int, entry int, exit int, bottom double, depth double"
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        s = g.sort_values(order, kind="mergesort")[score].to_numpy(float)
-        rows = []
-        for i in range(1, len(s) - 1):
-            if not (s[i] <= s[i - 1] and s[i] <= s[i + 1]):
-                continue
-            limit, a, b = max(factor * s[i], s[i] + floor), i, i
-            while a > 0 and s[a - 1] <= limit:
-                a -= 1
-            while b < len(s) - 1 and s[b + 1] <= limit:
-                b += 1
-            sides = [x for x in (s[max(0, a - shoulder) : a], s[b + 1 : b + 1 + shoulder]) if len(x) and np.isfinite(x).any()]
-            if b - a + 1 >= width and sides:
-                rows.append((i + 1, a + 1, b + 1, s[i], float(np.median([np.nanmedian(x) for x in sides])) - s[i]))
-        out = pd.DataFrame(rows, columns=["centre", "entry", "exit", "bottom", "depth"])
-        for n in reversed(keys):
-            out.insert(0, n, g[n].iloc[0])
-        return out
+def _ratio(a: Column, b: Column) -> Column:
+    return F.when(b > 1e-15, a / b)
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+
+def causal_features(df: DataFrame, keys: list[str], order: str, x: str, lags: tuple[int, ...] = (1, 2, 4), recent: int = 3, history: int = 8, closure_max: float = 0.5, velocity_max: float = 0.6, acceleration_max: float = 0.6) -> DataFrame:
+    """Ratios of recent to earlier medians of velocity, acceleration and displacements; every row sees earlier rows only.
+
+    Velocity is the displacement by one row over the step of ``order``,
+    acceleration its change over the step. Recent is the trailing frame of
+    ``recent`` rows, history the ``history`` rows before it. Closure ratios set the
+    displacement by each lag against its history.
+    """
+    w = over(keys, order)
+    hist = w.rowsBetween(-(recent - 1) - history, -recent)
+    now = w.rowsBetween(-(recent - 1), 0)
+    step = F.col(order) - F.lag(order).over(w)
+    out = df.withColumn("_v", _ratio(F.abs(F.col(x) - F.lag(x).over(w)), step))
+    out = out.withColumn("_a", _ratio(F.abs(F.col("_v") - F.lag("_v").over(w)), step))
+    for lag in lags:
+        out = out.withColumn(f"_d{lag}", F.abs(F.col(x) - F.lag(x, lag).over(w)))
+    middle = lambda n, frame: F.percentile(F.col(n), F.lit(0.5)).over(frame)
+    for n, name in (("_v", "velocity_ratio"), ("_a", "acceleration_ratio")):
+        out = out.withColumn(name, _ratio(middle(n, now), middle(n, hist)))
+    for lag in lags:
+        out = out.withColumn(f"_c{lag}", _ratio(F.col(f"_d{lag}"), middle(f"_d{lag}", hist)))
+    closures = F.filter(F.array(*[f"_c{lag}" for lag in lags]), lambda v: v.isNotNull())
+    out = out.withColumn("_c", F.array_sort(closures)).withColumn("resolved_closure_lags", F.size("_c"))
+    n = F.col("resolved_closure_lags")
+    mid = (F.get("_c", F.floor((n - 1) / 2).cast("int")) + F.get("_c", F.floor(n / 2).cast("int"))) / 2
+    support = F.when(n > 0, F.size(F.filter("_c", lambda v: v <= closure_max)) / n).otherwise(F.lit(0.0))
+    slow = F.coalesce((F.col("velocity_ratio") <= velocity_max) & (F.col("acceleration_ratio") <= acceleration_max), F.lit(False))
+    out = out.withColumns({"closure_median_ratio": F.when(n > 0, mid), "closure_support": support, "slowdown": slow})
+    return out.select(*df.columns, "velocity_ratio", "acceleration_ratio", "closure_median_ratio", "closure_support", "resolved_closure_lags", "slowdown")
+
+
+def gate_table(features: DataFrame, velocity_max: float = 0.6, acceleration_max: float = 0.6, closure_max: float = 0.5, support: float = 0.6, least_lags: int = 2) -> DataFrame:
+    """The gates of ``causal_features`` one by one, their count, and the root mean square of ratio over limit, of those that are known."""
+    limits = {"velocity_ratio": velocity_max, "acceleration_ratio": acceleration_max, "closure_median_ratio": closure_max}
+    ok = lambda p: F.coalesce(p, F.lit(False))
+    out = features.withColumns({
+        "pass_velocity": ok(F.col("velocity_ratio") <= velocity_max), "pass_acceleration": ok(F.col("acceleration_ratio") <= acceleration_max),
+        "pass_closure": ok(F.col("closure_support") >= support), "pass_resolution": F.col("resolved_closure_lags") >= least_lags,
+    })
+    gates = [F.col(g).cast("int") for g in ("pass_velocity", "pass_acceleration", "pass_closure", "pass_resolution")]
+    known = [F.col(n).isNotNull().cast("int") for n in limits]
+    squares = [F.coalesce(F.pow(F.col(n) / m, 2), F.lit(0.0)) for n, m in limits.items()]
+    count = sum(known[1:], known[0])
+    return out.withColumns({"gate_count": sum(gates[1:], gates[0]), "plateau_distance": F.when(count > 0, F.sqrt(sum(squares[1:], squares[0]) / count))})

@@ -174,13 +174,25 @@ def reversal_bound(rho: float) -> float:
 
 
 def rotate(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The least rotation that takes direction a to direction b, applied to x (rows); undefined for opposite ones."""
-    u, w = a / np.linalg.norm(a), b / np.linalg.norm(b)
-    k = float(u @ w)
-    if k <= -1 + 1e-9:
+    """The least rotation that takes direction a to direction b, applied to x (rows); undefined for opposite ones.
+
+    Written in the orthonormal basis (p, q) of the plane of a and b, so that
+    nothing is divided by 1 + cos and directions that are nearly opposite keep
+    their digits.
+    """
+    p, w = a / np.linalg.norm(a), b / np.linalg.norm(b)
+    cos = float(np.clip(p @ w, -1.0, 1.0))
+    if cos <= -1 + 1e-9:
         raise ValueError("opposite directions have no least rotation")
-    s = u + w
-    return x - np.outer(x @ s, s) / (1 + k) + 2 * np.outer(x @ u, w)
+    rest = w - cos * p
+    sin = float(np.linalg.norm(rest))
+    if sin <= 1e-14:
+        return x.copy()
+    plane = np.stack([p, rest / sin])
+    length = np.hypot(cos, sin)
+    turn = np.array([[cos, sin], [-sin, cos]]) / length
+    inside = x @ plane.T
+    return x + (inside @ turn - inside) @ plane
 
 
 def loop_holonomy(q: dict[int, np.ndarray], loop: list[int]) -> dict:

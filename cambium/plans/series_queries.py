@@ -139,7 +139,14 @@ def extrema(spark: SparkSession, sf: str) -> DataFrame:
     return series(spark, sf).select("sample", "bucket", S.is_local_extremum("y", w(), 2).alias("low"), S.is_local_extremum("y", w(), 2, False).alias("high"))
 
 
-@query("wn17_18_persistence_basins")
+BASINS = """pr AS (SELECT sample, y AS s, CAST(row_number() OVER (PARTITION BY sample ORDER BY bucket) AS INTEGER) AS p, y <= min(y) OVER (PARTITION BY sample ORDER BY bucket ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS low FROM traj),
+lw AS (SELECT sample, p AS centre, s AS bottom, greatest(1.2 * s, s + 4.0) AS lim FROM pr WHERE low),
+rc AS (SELECT l.sample, centre, bottom, coalesce(max(CASE WHEN s > lim AND p < centre THEN p END), 0) AS b, coalesce(min(CASE WHEN s > lim AND p > centre THEN p END), max(p) + 1) AS a FROM lw l JOIN pr USING (sample) GROUP BY ALL),
+md AS (SELECT r.sample, centre, bottom, b, a, quantile_cont(CASE WHEN p BETWEEN b - 3 AND b THEN s END, 0.5) AS l, quantile_cont(CASE WHEN p BETWEEN a AND a + 3 THEN s END, 0.5) AS r FROM rc r JOIN pr USING (sample) WHERE a - b - 1 >= 2 GROUP BY ALL),
+bs AS (SELECT sample, centre, CAST(b + 1 AS INTEGER) AS entry, CAST(a - 1 AS INTEGER) AS "exit", bottom, coalesce((l + r) / 2, l, r) - bottom AS depth FROM md)"""
+
+
+@query("wn17_18_persistence_basins", sql(f'SELECT sample, centre, entry, "exit", {r6("bottom")} AS bottom, {r6("depth")} AS depth FROM bs', BASINS))
 def persistence(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(S.persistence_basins(series(spark, sf), KEYS, "bucket", "y", 1.2, 4.0, 2))
 
@@ -156,7 +163,16 @@ def basins(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(b.select("sample", *[F.col(n).cast("long").alias(n) for n in ("centre", "entry", "exit")], "bottom", "depth", F.col("lifetime").cast("long")))
 
 
-@query("wn20_interval_dedup")
+# The best interval left is kept unless one kept before overlaps it; one list of intervals for each sample.
+DEDUP = """ls AS (SELECT sample, list({'c': centre, 'a': entry, 'b': "exit"} ORDER BY bottom, depth DESC, centre) AS e FROM bs GROUP BY sample),
+pk(sample, k, kept) AS (SELECT sample, 1::BIGINT, []::BIGINT[] FROM ls UNION ALL
+  SELECT p.sample, k + 1, CASE WHEN len(list_filter(kept, lambda j: greatest(0, least(e[j].b, e[k].b) - greatest(e[j].a, e[k].a) + 1) / (e[j].b - e[j].a + e[k].b - e[k].a + 2 - greatest(0, least(e[j].b, e[k].b) - greatest(e[j].a, e[k].a) + 1)) >= 0.65)) > 0 THEN kept ELSE list_append(kept, k) END
+  FROM pk p JOIN ls USING (sample) WHERE k <= len(e)),
+fin AS (SELECT sample, arg_max(kept, k) AS kept FROM pk GROUP BY sample),
+ch AS (SELECT sample, e[u].c AS centre FROM (SELECT f.sample, e, unnest(kept) AS u FROM fin f JOIN ls USING (sample)))"""
+
+
+@query("wn20_interval_dedup", sql(f'SELECT sample, centre, entry, "exit", {r6("bottom")} AS bottom, {r6("depth")} AS depth FROM bs SEMI JOIN ch USING (sample, centre)', BASINS, DEDUP).replace("WITH ", "WITH RECURSIVE ", 1))
 def dedup(spark: SparkSession, sf: str) -> DataFrame:
     b = S.persistence_basins(series(spark, sf), KEYS, "bucket", "y", 1.2, 4.0, 2)
     return rounded(S.overlap_dedup(b, KEYS, "entry", "exit", [("bottom", True), ("depth", False), ("centre", True)], 0.65))
@@ -211,7 +227,16 @@ def stable(spark: SparkSession, sf: str) -> DataFrame:
     return at(series(spark, sf), stability=S.stability("y", w(), 5))
 
 
-@query("hi14_terminal_rule")
+RECENT, EARLIER = "OVER (PARTITION BY sample ORDER BY bucket ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)", "OVER (PARTITION BY sample ORDER BY bucket ROWS BETWEEN 9 PRECEDING AND 5 PRECEDING)"
+KNOWN = {b: f"count({b}) {RECENT} >= 3 AND count({b}) {EARLIER} >= 3 AND coalesce(quantile_cont({b}, 0.5) {EARLIER} > 0, false)" for b in ("speed", "level", "cnt")}
+SLOW = {b: f"{k} AND coalesce(quantile_cont({b}, 0.5) {RECENT} <= 1.05 * (quantile_cont({b}, 0.5) {EARLIER}) AND max({b}) {RECENT} <= 1.5 * (quantile_cont({b}, 0.5) {EARLIER}), false)" for b, k in KNOWN.items()}
+TERMINAL = f"""hx AS (SELECT *, abs((y - lag(y) {W})) / (bucket - lag(bucket) {W}))) AS speed, abs(y) AS level, n::DOUBLE AS cnt FROM traj),
+hk AS (SELECT sample, bucket, {" + ".join(f"({k})::INT" for k in KNOWN.values())} AS resolved_blocks, {" + ".join(f"({k})::INT" for k in SLOW.values())} AS slow_blocks,
+  coalesce(max(n) {RECENT} - min(n) {RECENT} <= 3.0 * (quantile_cont(abs(n), 0.5) {RECENT}), false) AS stable, row_number() {W}) AS r FROM hx),
+hc AS (SELECT *, resolved_blocks >= 2 AND slow_blocks >= 0.5 * resolved_blocks AND stable AND r >= 12 AS candidate FROM hk)"""
+
+
+@query("hi14_terminal_rule", sql(f"SELECT sample, bucket, resolved_blocks, slow_blocks, candidate, sum(candidate::INT) {W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 AS confirmed FROM hc", TERMINAL))
 def terminal(spark: SparkSession, sf: str) -> DataFrame:
     from cambium.operators.hierarchy import terminal_rule
 
@@ -219,12 +244,37 @@ def terminal(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(terminal_rule(h, KEYS, "bucket", ["speed", "level", "count"], ["n"], slow=1.05, least_blocks=2, spread=3.0, share=0.5).select("sample", "bucket", "resolved_blocks", "slow_blocks", "candidate", "confirmed"))
 
 
-@query("st01_landmark_classes")
+def classes_sql(low: float) -> list[str]:
+    """Votes of nine settings and the class of each landmark."""
+    speed = lambda k: f"abs((y - lag(y, {k}) {W})) / (bucket - lag(bucket, {k}) {W})))"
+    votes = " UNION ALL ".join(f"SELECT sample, bucket, 's{k}w{n}' AS setting, quantile_cont(d{k}, 0.5) {W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS speed FROM dv" for k in (1, 2, 3) for n in (3, 5, 7))
+    return [
+        "dv AS (SELECT sample, bucket, " + ", ".join(f"{speed(k)} AS d{k}" for k in (1, 2, 3)) + " FROM traj)", f"vt AS ({votes})",
+        f"vq AS (SELECT sample, setting, quantile_cont(speed, {low}) AS lo, quantile_cont(speed, 0.9) AS hi FROM vt GROUP BY ALL)",
+        "vc AS (SELECT sample, bucket, count(*) AS settings, count(speed) AS known, count(*) FILTER (speed <= lo) AS slow, count(*) FILTER (speed >= hi) AS fast FROM vt JOIN vq USING (sample, setting) GROUP BY ALL)",
+        f"""cl AS (SELECT *, CASE WHEN row_number() {W}) <= 8 THEN 'WARMUP' WHEN known * 2 < settings THEN 'UNRESOLVED' WHEN fast * 2 > known THEN 'FAST_CHANGE' WHEN slow * 2 > known THEN 'LOW_FLOW' ELSE 'REGULAR' END AS "class" FROM vc)""",
+    ]
+
+
+@query("st01_landmark_classes", sql('SELECT sample, bucket, settings, known, slow, fast, "class" FROM cl', *classes_sql(0.25)))
 def classes(spark: SparkSession, sf: str) -> DataFrame:
     return detectors.classified(detectors.votes(series(spark, sf), KEYS, "bucket", "y"), KEYS, "bucket").select("sample", "bucket", "settings", "known", "slow", "fast", "class")
 
 
-@query("st02_03_detector_replay")
+# The state machine row by row: run, confirming rows, whether a confirmation is open, whether it was completed.
+MACHINE = f"""nr AS (SELECT sample, bucket, "class", row_number() {W}) AS r FROM cl),
+ma(sample, r, run, held, op, st, decision) AS (SELECT DISTINCT sample, 0::BIGINT, 0, 0, false, false, '' FROM nr UNION ALL
+  SELECT m.sample, m.r + 1,
+    CASE WHEN st THEN run WHEN op THEN CASE WHEN "class" = 'LOW_FLOW' THEN run ELSE 0 END WHEN "class" = 'LOW_FLOW' THEN run + 1 ELSE 0 END,
+    CASE WHEN st THEN held WHEN op AND "class" = 'LOW_FLOW' THEN held + 1 ELSE 0 END,
+    st OR (op AND "class" = 'LOW_FLOW') OR (NOT op AND "class" = 'LOW_FLOW' AND run + 1 >= 2),
+    st OR (op AND "class" = 'LOW_FLOW' AND held + 1 >= 1),
+    CASE WHEN st THEN 'STOPPED' WHEN NOT op THEN CASE WHEN "class" = 'LOW_FLOW' AND run + 1 >= 2 THEN 'ENTER_CONFIRMATION' ELSE 'CONTINUE' END
+         WHEN "class" <> 'LOW_FLOW' THEN 'CONFIRMATION_FAILED' WHEN held + 1 >= 1 THEN 'STOP_CONFIRMED' ELSE 'CONFIRMING' END
+  FROM ma m JOIN nr n ON n.sample = m.sample AND n.r = m.r + 1)"""
+
+
+@query("st02_03_detector_replay", sql('SELECT sample, bucket, "class", decision FROM ma JOIN nr USING (sample, r)', *classes_sql(0.5), MACHINE).replace("WITH ", "WITH RECURSIVE ", 1))
 def replay(spark: SparkSession, sf: str) -> DataFrame:
     c = detectors.classified(detectors.votes(series(spark, sf), KEYS, "bucket", "y"), KEYS, "bucket", low=0.5)
     return detectors.detect(c, KEYS, "bucket", detectors.Rule(2, 1))
@@ -277,3 +327,30 @@ def drift(spark: SparkSession, sf: str) -> DataFrame:
 def lsi(spark: SparkSession, sf: str) -> DataFrame:
     p = S.Window.partitionBy("sample")
     return at(series(spark, sf), level=ratio(F.col("y") - F.min("y").over(p), F.max("y").over(p) - F.min("y").over(p)))
+
+
+NOW, HIST = "ROWS BETWEEN 2 PRECEDING AND CURRENT ROW", "ROWS BETWEEN 10 PRECEDING AND 3 PRECEDING"
+
+
+def mid(x: str, frame: str) -> str:
+    return f"(quantile_cont({x}, 0.5) {W} {frame}))"
+
+
+FEATURES = f"""fa AS (SELECT *, abs(y - lag(y) {W})) / (bucket - lag(bucket) {W})) AS v, {", ".join(f"abs(y - lag(y, {k}) {W})) AS d{k}" for k in (1, 2, 4))} FROM traj),
+fb AS (SELECT *, abs(v - lag(v) {W})) / (bucket - lag(bucket) {W})) AS a FROM fa),
+fc AS (SELECT sample, bucket, {mid("v", NOW)} / nullif({mid("v", HIST)}, 0) AS velocity_ratio, {mid("a", NOW)} / nullif({mid("a", HIST)}, 0) AS acceleration_ratio, {", ".join(f"d{k} / nullif({mid(f'd{k}', HIST)}, 0) AS c{k}" for k in (1, 2, 4))} FROM fb),
+fd AS (SELECT *, (c1 IS NOT NULL)::INT + (c2 IS NOT NULL)::INT + (c4 IS NOT NULL)::INT AS resolved_closure_lags, list_median([c1, c2, c4]) AS closure_median_ratio, coalesce(((c1 <= 0.5)::INT::DOUBLE), 0) + coalesce(((c2 <= 0.5)::INT::DOUBLE), 0) + coalesce(((c4 <= 0.5)::INT::DOUBLE), 0) AS below FROM fc),
+fe AS (SELECT *, CASE WHEN resolved_closure_lags > 0 THEN below / resolved_closure_lags ELSE 0 END AS closure_support, coalesce(velocity_ratio <= 0.6 AND acceleration_ratio <= 0.6, false) AS slowdown FROM fd)"""
+
+
+@query("wn22_causal_features", sql(f"SELECT sample, bucket, {r6('velocity_ratio')} AS velocity_ratio, {r6('acceleration_ratio')} AS acceleration_ratio, {r6('closure_median_ratio')} AS closure_median_ratio, {r6('closure_support')} AS closure_support, resolved_closure_lags, slowdown FROM fe", FEATURES))
+def causal(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(S.causal_features(series(spark, sf), KEYS, "bucket", "y").drop("n", "y"))
+
+
+@query("wn23_gate_table", sql(f"""SELECT sample, bucket, coalesce(velocity_ratio <= 0.6, false) AS pass_velocity, coalesce(acceleration_ratio <= 0.6, false) AS pass_acceleration, closure_support >= 0.6 AS pass_closure, resolved_closure_lags >= 2 AS pass_resolution,
+  coalesce(velocity_ratio <= 0.6, false)::INT + coalesce(acceleration_ratio <= 0.6, false)::INT + (closure_support >= 0.6)::INT + (resolved_closure_lags >= 2)::INT AS gate_count,
+  {r6("sqrt((coalesce((velocity_ratio / 0.6) ** 2, 0) + coalesce((acceleration_ratio / 0.6) ** 2, 0) + coalesce((closure_median_ratio / 0.5) ** 2, 0)) / nullif((velocity_ratio IS NOT NULL)::INT + (acceleration_ratio IS NOT NULL)::INT + (closure_median_ratio IS NOT NULL)::INT, 0))")} AS plateau_distance FROM fe""", FEATURES))
+def gates(spark: SparkSession, sf: str) -> DataFrame:
+    g = S.gate_table(S.causal_features(series(spark, sf), KEYS, "bucket", "y"))
+    return rounded(g.select("sample", "bucket", "pass_velocity", "pass_acceleration", "pass_closure", "pass_resolution", "gate_count", "plateau_distance"))

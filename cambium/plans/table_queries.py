@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from cambium.functions import scalars as X
 from cambium.operators import aggregates as A
 from cambium.operators import audits, filters, geometry, graph, hierarchy, joins, partitions, selection, statistics, vectors
-from cambium.plans.bindings import CONTACTS, LABELS, MASSES, MERGES, POINTS, cells, contacts, masses, merges, over_all_rows, points
-from cambium.plans.registry import ORACLES, QUERIES, query
+from cambium.plans.bindings import CONTACTS, LABELS, MASSES, MERGES, POINTS, cells, contacts, masses, merges, points
+from cambium.plans.registry import query
 from cambium.plans.series_queries import r6, rounded
 from cambium.sources.sinks import table_digest
 from cambium.sources.tables import table
@@ -345,15 +345,8 @@ def nearest_log(spark: SparkSession, sf: str) -> DataFrame:
     return joins.nearest(c, m, ["g"], "c_custkey", "mass", [F.asc("mass")], log=True).select("c_custkey", F.col("r_mass").alias("mass"))
 
 
-@query("jn12_within_range", sql("SELECT span, count(*) AS n FROM (SELECT p_partkey AS span, p_size AS lo, p_size + p_partkey % 4 AS hi FROM part WHERE p_partkey % 50 = 0) s JOIN part p ON p.p_size BETWEEN lo AND hi GROUP BY span", "one AS (SELECT 1)"))
+@query("jn12_within_range", sql("SELECT span, count(*) AS n FROM (SELECT p_partkey AS span, p_size AS lo, p_size + p_partkey % 4 AS hi FROM part) s JOIN part p ON p.p_size BETWEEN lo AND hi GROUP BY span", "one AS (SELECT 1)"))
 def within(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").select("p_partkey", "p_size")
-    s = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("span"), F.col("p_size").alias("lo"), (F.col("p_size") + F.col("p_partkey") % 4).alias("hi"))
-    return joins.within_range(p, s, [], "p_size", "lo", "hi", 4.0).groupBy("span").agg(F.count("*").alias("n"))
-
-
-@query("jn12_within_range_whole")
-def within_whole(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select("p_partkey", "p_size")
     s = p.select(F.col("p_partkey").alias("span"), F.col("p_size").alias("lo"), (F.col("p_size") + F.col("p_partkey") % 4).alias("hi"))
     return joins.within_range(p, s, [], "p_size", "lo", "hi", 4.0).groupBy("span").agg(F.count("*").alias("n"))
@@ -397,15 +390,8 @@ def radius(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(joins.grid_pairs(points(spark, sf), ["sample"], "id", "x", "y", 0.05).select("a", "b", "distance"))
 
 
-@query("jn17_matched_candidates", sql(f"SELECT c_custkey, match, rank, {r6('gap')} AS gap FROM (SELECT a.c_custkey, b.c_custkey AS match, abs(a.c_acctbal - b.c_acctbal) AS gap, row_number() OVER (PARTITION BY a.c_custkey ORDER BY abs(a.c_acctbal - b.c_acctbal), b.c_custkey) AS rank FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey WHERE a.c_custkey % 25 = 0 AND b.c_custkey % 25 <> 0) WHERE rank <= 3", "one AS (SELECT 1)"))
+@query("jn17_matched_candidates", sql(f"SELECT c_custkey, match, rank, {r6('gap')} AS gap FROM (SELECT a.c_custkey, b.c_custkey AS match, abs(a.c_acctbal - b.c_acctbal) AS gap, row_number() OVER (PARTITION BY a.c_custkey ORDER BY abs(a.c_acctbal - b.c_acctbal), b.c_custkey) AS rank FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey WHERE a.c_mktsegment = 'BUILDING' AND b.c_mktsegment <> 'BUILDING') WHERE rank <= 3", "one AS (SELECT 1)"))
 def matched_rows(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    m = joins.matched_candidates(c.where("c_custkey % 25 = 0"), c.where("c_custkey % 25 <> 0"), ["c_nationkey"], "c_acctbal", "c_custkey", 3)
-    return rounded(m.select("c_custkey", "match", F.col("rank").cast("long").alias("rank"), "gap"))
-
-
-@query("jn17_matched_candidates_whole")
-def matched_rows_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Customers of one market segment as cases, all others as controls."""
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     m = joins.matched_candidates(c.where("c_mktsegment = 'BUILDING'"), c.where("c_mktsegment <> 'BUILDING'"), ["c_nationkey"], "c_acctbal", "c_custkey", 3)
@@ -440,8 +426,24 @@ def top_fraction(spark: SparkSession, sf: str) -> DataFrame:
     return selection.top_fraction(masses(spark, sf), ["sample"], [F.desc("mass"), F.asc("id")], 0.1).select("sample", "id")
 
 
-@query("so05_06_batch_by_routes")
-@over_all_rows
+def routes_sql(cap: int) -> list[str]:
+    """For each route the sequential greedy choice, and the scores that choose among them."""
+    out = ["e AS (SELECT super_i, super_j, n_boundary_edges, coalesce(tension, 1e4) AS cost, shared::DOUBLE AS merit FROM super)"]
+    for name, order in selection.ROUTES.items():
+        by = ", ".join([*(f"{c} {'ASC' if up else 'DESC'}" for c, up in order), "super_i", "super_j"])
+        taken = f"list_contains(used, e[k].i) OR list_contains(used, e[k].j) OR len(taken) = {cap}"
+        out += [
+            f"o_{name} AS (SELECT *, row_number() OVER (ORDER BY {by}) AS r FROM e)",
+            f"s_{name} AS (SELECT list({{'r': r, 'i': super_i, 'j': super_j}} ORDER BY r) AS e FROM o_{name})",
+            f"p_{name}(k, used, taken) AS (SELECT 1::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL SELECT k + 1, CASE WHEN {taken} THEN used ELSE list_concat(used, [e[k].i, e[k].j]) END, CASE WHEN {taken} THEN taken ELSE list_append(taken, k) END FROM p_{name}, s_{name} WHERE k <= len(e))",
+            f"b_{name} AS (SELECT '{name}' AS route, o.* EXCLUDE (r) FROM o_{name} o WHERE list_contains((SELECT arg_max(taken, k) FROM p_{name}), r))",
+        ]
+    out.append("b AS (" + " UNION ALL ".join(f"SELECT * FROM b_{n}" for n in selection.ROUTES) + ")")
+    out.append("best AS (SELECT route FROM (SELECT route, count(*) AS n, round(sum(cost), 12) AS s, max(cost) AS m, round(sum(merit), 12) AS q FROM b GROUP BY route) ORDER BY n DESC, s, m, q DESC, route LIMIT 1)")
+    return out
+
+
+@query("so05_06_batch_by_routes", sql(f"SELECT super_i, super_j, n_boundary_edges, {r6('cost')} AS cost, {r6('merit')} AS merit, route FROM b WHERE route = (SELECT route FROM best)", CONTACTS, LABELS, SUPER, *routes_sql(4)))
 def routes(spark: SparkSession, sf: str) -> DataFrame:
     s = supers(spark, sf).select("super_i", "super_j", "n_boundary_edges", F.coalesce("tension", F.lit(1e4)).alias("cost"), F.col("shared").cast("double").alias("merit"))
     name, batch = selection.batch_by_routes(s, 4)
@@ -496,17 +498,11 @@ def cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("vx03_functional_prior", sql(f"SELECT i, j, {r6('w')} AS w, {r6('-w / sqrt(di * dj)')} AS laplacian FROM (SELECT w.i, w.j, w.w, a.d AS di, b.d AS dj FROM w JOIN d a ON a.i = w.i JOIN d b ON b.i = w.j) UNION ALL SELECT i, i, 0, 1 FROM d",
-  "sets AS (SELECT DISTINCT l_linenumber % 2 AS layer, l_orderkey AS s, l_suppkey AS m FROM lineitem WHERE l_orderkey % 10 = 0), sz AS (SELECT *, count(*) OVER (PARTITION BY layer, s) AS k FROM sets)",
+  "sets AS (SELECT DISTINCT l_linenumber % 2 AS layer, l_orderkey AS s, l_suppkey AS m FROM lineitem), sz AS (SELECT *, count(*) OVER (PARTITION BY layer, s) AS k FROM sets)",
   "l AS (SELECT a.layer, a.m AS i, b.m AS j, sum(1.0 / (a.k - 1)) AS w FROM sz a JOIN sz b ON a.layer = b.layer AND a.s = b.s AND a.m <> b.m GROUP BY ALL)",
   "md AS (SELECT layer, quantile_cont(d, 0.5) AS md FROM (SELECT layer, i, sum(w) AS d FROM l GROUP BY ALL) GROUP BY layer)",
   "w AS (SELECT i, j, sum(w / md) / (SELECT count(DISTINCT layer) FROM sets) AS w FROM l JOIN md USING (layer) GROUP BY ALL), d AS (SELECT i, sum(w) AS d FROM w GROUP BY i)"))
 def prior(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "lineitem").where("l_orderkey % 10 = 0").select((F.col("l_linenumber") % 2).alias("layer"), F.col("l_orderkey").alias("set"), F.col("l_suppkey").alias("member"))
-    return rounded(vectors.functional_prior(s))
-
-
-@query("vx03_functional_prior_whole")
-def prior_whole(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "lineitem").select((F.col("l_linenumber") % 2).alias("layer"), F.col("l_orderkey").alias("set"), F.col("l_suppkey").alias("member"))
     return rounded(vectors.functional_prior(s))
 
@@ -553,7 +549,6 @@ def transport(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("vx15_16_loop_holonomy")
-@over_all_rows
 def holonomy(spark: SparkSession, sf: str) -> DataFrame:
     loops = contacts_graph(spark, sf)
     t = graph.triangles(loops).select(F.concat_ws(";", "u", "v", "w").alias("loop_id"), F.array("u", "v", "w").alias("nodes"))
@@ -613,7 +608,6 @@ def diffuse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("gr07_harmonic_fill")
-@over_all_rows
 def harmonic(spark: SparkSession, sf: str) -> DataFrame:
     adj = graph.weighted_adjacency(contacts(spark, sf).select("i", "j", F.col("n").cast("double").alias("n")), "n")
     nodes = graph_nodes(spark, sf)
@@ -640,13 +634,16 @@ def loops(spark: SparkSession, sf: str) -> DataFrame:
     return graph.loop_status(t, contacts(spark, sf).select("i", "j", F.col("tension").isNotNull().alias("resolved")))
 
 
-@query("gr11_shortest_paths")
-@over_all_rows
+# Least costs over 1, 2, 4, 8 and 16 arcs; on these graphs no least path is longer.
+ARCS = "d0 AS (SELECT i AS s, j AS t, n::DOUBLE AS c FROM contacts UNION ALL SELECT j, i, n + 0.5 FROM contacts UNION ALL SELECT s_suppkey, s_suppkey, 0.0 FROM supplier)"
+TWICE = [f"d{k + 1} AS (SELECT a.s, b.t, min(a.c + b.c) AS c FROM d{k} a JOIN d{k} b ON b.s = a.t GROUP BY ALL)" for k in range(4)]
+
+
+@query("gr11_shortest_paths", sql(f"SELECT a.s AS source, a.t AS node, {r6('a.c')} AS cost, {r6('b.c')} AS back, {r6('abs(a.c - b.c) / (a.c + b.c)')} AS asymmetry FROM d4 a JOIN d4 b ON b.s = a.t AND b.t = a.s WHERE a.s < a.t", CONTACTS, ARCS, *TWICE))
 def paths(spark: SparkSession, sf: str) -> DataFrame:
     c = contacts(spark, sf)
     d = c.select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("n").cast("double").alias("cost")).unionByName(c.select(F.col("j").alias("src"), F.col("i").alias("dst"), (F.col("n") + 0.5).alias("cost")))
-    sources = graph_nodes(spark, sf).orderBy("node").limit(8)
-    return rounded(graph.path_asymmetry(graph.shortest_paths(d, sources)))
+    return rounded(graph.path_asymmetry(graph.shortest_paths(d, graph_nodes(spark, sf))))
 
 
 @query("gr12_raster_adjacency", sql("SELECT least(a.label, b.label) AS i, greatest(a.label, b.label) AS j, count(*) AS length FROM px a JOIN px b ON (b.y = a.y AND b.x = a.x + 1) OR (b.x = a.x AND b.y = a.y + 1) WHERE a.label <> b.label GROUP BY ALL", "px AS (SELECT p_partkey // 40 AS y, p_partkey % 40 AS x, p_size // 10 AS label FROM part WHERE p_size // 10 <> 0)"))
@@ -771,7 +768,12 @@ def outlines(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(geometry.outlines(points(spark, sf), "sample", "id").select("sample", "area", "perimeter"))
 
 
-@query("ge04_circle_fit")
+MOMENTS = """m AS (SELECT sample, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM points GROUP BY sample),
+c AS (SELECT p.sample, any_value(mx) AS mx, any_value(my) AS my, any_value(n) AS n, sum((x - mx) ** 2) AS uu, sum((y - my) ** 2) AS vv, sum((x - mx) * (y - my)) AS uv, sum((x - mx) * ((x - mx) ** 2 + (y - my) ** 2)) AS uz, sum((y - my) * ((x - mx) ** 2 + (y - my) ** 2)) AS vz FROM points p JOIN m USING (sample) GROUP BY p.sample),
+f AS (SELECT *, (uz * vv - vz * uv) / (2 * (uu * vv - uv * uv)) AS a, (vz * uu - uz * uv) / (2 * (uu * vv - uv * uv)) AS b FROM c)"""
+
+
+@query("ge04_circle_fit", sql(f"SELECT sample, n, {r6('a + mx')} AS cx, {r6('b + my')} AS cy, {r6('sqrt(a * a + b * b + (uu + vv) / n)')} AS radius, {r6('1 / sqrt(a * a + b * b + (uu + vv) / n)')} AS curvature FROM f", POINTS, MOMENTS))
 def circles(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(geometry.circle_fit(points(spark, sf), ["sample"]))
 
@@ -787,7 +789,6 @@ def stress(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("me05_pressure_potential")
-@over_all_rows
 def potential(spark: SparkSession, sf: str) -> DataFrame:
     c = contacts(spark, sf).select("i", "j", F.col("pressure").alias("y"))
     cc = graph.components(contacts_graph(spark, sf), graph_nodes(spark, sf))
@@ -878,10 +879,3 @@ def exact_copy(spark: SparkSession, sf: str) -> DataFrame:
 @query("snk06_table_digest")
 def digest(spark: SparkSession, sf: str) -> DataFrame:
     return table_digest(table(spark, sf, "customer"))
-
-
-# --- contacts of all rows -------------------------------------------------------------------------------------------------------
-
-# The SQL over contacts reads a subset of lineitem; each of its queries runs over all rows too, by another name and without SQL.
-for _name in [n for n, text in ORACLES.items() if CONTACTS in text]:
-    query(f"{_name}_whole")(over_all_rows(QUERIES[_name]))

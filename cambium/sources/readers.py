@@ -90,11 +90,16 @@ def read_outlines(df: DataFrame) -> DataFrame:
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(feature, ring order, x, y) of the outer rings of polygons."""
-    schema = "features array<struct<properties:map<string,string>, geometry:struct<type:string, coordinates:array<array<array<double>>>>>>"
+    """(feature, part, ring order, x, y) of the outer rings of polygons and of every part of multipolygons; other kinds are an error."""
+    schema = "features array<struct<properties:map<string,string>, geometry:struct<type:string, coordinates:string>>>"
     f = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.posexplode("features").alias("feature", "f"))
-    ring = f.where("f.geometry.type = 'Polygon'").select("feature", F.posexplode(F.col("f.geometry.coordinates")[0]).alias("o", "p"))
-    return ring.select("feature", "o", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    one = F.array(F.from_json(text, "array<array<array<double>>>"))
+    many = F.from_json(text, "array<array<array<array<double>>>>")
+    bad = F.raise_error(F.concat(F.lit("neither Polygon nor MultiPolygon: "), kind)).cast("array<array<array<array<double>>>>")
+    parts = f.select("feature", F.posexplode(F.when(kind == "Polygon", one).when(kind == "MultiPolygon", many).otherwise(bad)).alias("part", "rings"))
+    ring = parts.select("feature", "part", F.posexplode(F.col("rings")[0]).alias("o", "p"))
+    return ring.select("feature", "part", "o", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
 def sampled_rows(df: DataFrame, most: int, total: int, seed: int = 1729) -> DataFrame:

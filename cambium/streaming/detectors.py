@@ -46,29 +46,33 @@ def classified(long: DataFrame, keys: list[str], order: str, low: float = 0.25,
 
 @dataclass(frozen=True)
 class Rule:
-    """Rows of low flow that make a candidate, and further ones that confirm it."""
+    """Stable rows in a row that open a confirmation, and further ones that complete it."""
 
     persist: int = 3
     confirm: int = 2
 
 
-def advance(state: tuple[int, int, bool], kind: str, rule: Rule) -> tuple[tuple[int, int, bool], str]:
-    """One row: low flow lengthens the run, unresolved rows keep it, anything else resets; confirmed runs stop for good."""
-    run, held, stopped = state
+#: Stable rows so far, confirming rows so far, whether a confirmation is open, whether it was completed.
+State = tuple[int, int, bool, bool]
+START: State = (0, 0, False, False)
+
+
+def advance(state: State, kind: str, rule: Rule) -> tuple[State, str]:
+    """One row: only low flow is stable. Any other row, unresolved ones too, resets the run or fails the open confirmation."""
+    run, held, open_, stopped = state
+    stable = kind == "LOW_FLOW"
     if stopped:
         return state, "STOPPED"
-    if kind == "LOW_FLOW":
-        run += 1
-        held = held + 1 if run > rule.persist else 0
-        if held >= rule.confirm:
-            return (run, held, True), "CONFIRMED"
-        return (run, held, False), "CANDIDATE" if run >= rule.persist else "WATCH"
-    if kind in ("UNRESOLVED", "WARMUP"):
-        return state, "WAIT"
-    return (0, 0, False), "RESET" if run else "ACTIVE"
-
-
-def _walk(g: pd.DataFrame, order: str, state: tuple[int, int, bool], rule: Rule) -> tuple[pd.DataFrame, tuple[int, int, bool]]:
+    if not open_:
+        run = run + 1 if stable else 0
+        return ((run, 0, True, False), "ENTER_CONFIRMATION") if run >= rule.persist else ((run, 0, False, False), "CONTINUE")
+    if not stable:
+        return START, "CONFIRMATION_FAILED"
+    held += 1
+    return ((run, held, True, True), "STOP_CONFIRMED") if held >= rule.confirm else ((run, held, True, False), "CONFIRMING")
+
+
+def _walk(g: pd.DataFrame, order: str, state: State, rule: Rule) -> tuple[pd.DataFrame, State]:
     g = g.sort_values(order, kind="mergesort")
     said = []
     for kind in g["class"]:
@@ -82,7 +86,7 @@ def detect(df: DataFrame, keys: list[str], order: str, rule: Rule | None = None)
     rule = rule or Rule()
     use = df.select(*keys, order, "class")
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in use.schema)}, decision string"
-    return use.groupBy(*keys).applyInPandas(lambda g: _walk(g, order, (0, 0, False), rule)[0], schema)
+    return use.groupBy(*keys).applyInPandas(lambda g: _walk(g, order, START, rule)[0], schema)
 
 
 def detect_stream(df: DataFrame, key: str, order: str, rule: Rule | None = None) -> DataFrame:
@@ -92,9 +96,9 @@ def detect_stream(df: DataFrame, key: str, order: str, rule: Rule | None = None)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in use.schema)}, decision string"
 
     def run(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else (0, 0, False)
+        now = tuple(state.get) if state.exists else START
         out, now = _walk(pd.concat(list(frames)), order, now, rule)
         state.update(now)
         yield out
 
-    return use.groupBy(key).applyInPandasWithState(run, schema, "run int, held int, stopped boolean", "append", GroupStateTimeout.NoTimeout)
+    return use.groupBy(key).applyInPandasWithState(run, schema, "run int, held int, open boolean, stopped boolean", "append", GroupStateTimeout.NoTimeout)

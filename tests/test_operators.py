@@ -104,6 +104,105 @@ def test_rotation_and_holonomy():
     assert h["orthogonality_error"] < 1e-9 and h["angle_max"] == pytest.approx(back["angle_max"])
 
 
+def test_rotation_between_nearly_opposite_directions_keeps_its_digits():
+    a, b = np.array([1.0, 0.0, 0.0]), np.array([-math.cos(1e-3), math.sin(1e-3), 0.0])
+    x = np.array([[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.3, -0.2, 5.0]])
+    got = vectors.rotate(a, b, x)
+    assert np.allclose(got[0], b, atol=1e-14) and np.allclose(got @ got.T, x @ x.T, atol=1e-13) and got[2, 2] == 5.0
+    with pytest.raises(ValueError):
+        vectors.rotate(a, -a, x)
+
+
+def test_basins_keep_the_ends_and_those_without_shoulders(spark):
+    rows = [("a", k, v) for k, v in enumerate([1.0, 1.1, 5.0, 9.0, 5.0, 1.0, 1.2])] + [("b", k, 2.0) for k in range(4)] + [("c", 0, None)]
+    got = {(r.s, r.centre): r for r in S.persistence_basins(spark.createDataFrame(rows, "s string, t int, v double"), ["s"], "t", "v", 1.5, 0.1, 2).collect()}
+    assert (got["a", 1].entry, got["a", 1].exit, got["a", 1].depth) == (1, 2, 4.0) and (got["a", 6].entry, got["a", 6].exit) == (6, 7)
+    assert got["b", 2].entry == 1 and got["b", 2].exit == 4 and got["b", 2].depth is None
+
+
+def test_least_costs_that_do_not_settle_are_an_error(spark):
+    arcs = spark.createDataFrame([(1, 2, -1.0), (2, 1, -1.0)], "src long, dst long, cost double")
+    with pytest.raises(ValueError, match="still change"):
+        graph.shortest_paths(arcs, spark.createDataFrame([(1,)], "node long"), most_rounds=3)
+
+
+def test_harmonic_fill_solves_a_chain(spark):
+    ends = [(k, k + 1, 1.0) for k in range(4)]
+    adj = spark.createDataFrame(ends + [(b, a, w) for a, b, w in ends], "src long, dst long, w double")
+    nodes = spark.createDataFrame([(k,) for k in range(6)], "node long")
+    got = {r.node: r for r in graph.harmonic_fill(adj, spark.createDataFrame([(0, 0.0), (4, 8.0)], "node long, value double"), nodes).collect()}
+    assert [got[k].value for k in range(5)] == pytest.approx([0, 2, 4, 6, 8], abs=1e-5) and got[5].confidence == 0 and all(r.converged for r in got.values())
+
+
+def test_polygons_of_several_parts(spark, tmp_path):
+    import json
+
+    ring = [[0, 0], [1, 0], [1, 1], [0, 0]]
+    shapes = [{"type": "Polygon", "coordinates": [ring]}, {"type": "MultiPolygon", "coordinates": [[ring], [ring[::-1], ring]]}]
+    (tmp_path / "g.json").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"id": "a"}, "geometry": g} for g in shapes]}))
+    got = readers.read_geojson(spark, str(tmp_path / "g.json")).groupBy("feature", "part").count().orderBy("feature", "part").collect()
+    assert [tuple(r) for r in got] == [(0, 0, 4), (1, 0, 4), (1, 1, 4)]
+
+
+def plain_schedule(edges, cells, weights, fraction, target):
+    """Contraction by a fixed fraction, step by step."""
+    label = {c: c for c in cells}
+    steps = []
+    while True:
+        groups = {}
+        for i, j, values in edges:
+            a, b = sorted((label[i], label[j]))
+            if a != b:
+                groups.setdefault((a, b), []).append(values)
+        if not groups:
+            return label, steps, "no_relations"
+        means = {p: {t: np.mean([v[t] for v in vs if v[t] is not None]) if any(v[t] is not None for v in vs) else None for t in weights} for p, vs in groups.items()}
+        cost = dict.fromkeys(means, 0.0)
+        for t, w in weights.items():
+            x = np.array([m[t] for m in means.values() if m[t] is not None])
+            q1, q2, q3 = np.quantile(x, [0.25, 0.5, 0.75])
+            mad, sd = np.median(np.abs(x - q2)), x.std()
+            scale = None if len(x) < 4 else (q3 - q1) / 1.349 if q3 > q1 else mad * 1.4826 if mad > 0 else sd if sd > 0 else None
+            for p, m in means.items():
+                if scale and m[t] is not None:
+                    cost[p] += w * m[t] / scale
+        n = len(set(label.values()))
+        cap, used, batch = min(max(1, math.ceil(n * fraction)), n // 2), set(), []
+        for p in sorted(cost, key=lambda p: (cost[p], p)):
+            if len(batch) < cap and not used & set(p):
+                used |= set(p)
+                batch.append(p)
+        to = {b: a for a, b in batch}
+        label = {c: to.get(x, x) for c, x in label.items()}
+        steps.append((n, len(batch)))
+        if (len(cells) - n + len(batch)) / len(cells) >= target:
+            return label, steps, "target"
+
+
+def test_schedule_equals_plain_contraction(spark):
+    r = random.Random(8)
+    cells = list(range(24))
+    edges = [(i, j, {"a": r.random(), "b": r.random() if r.random() < 0.8 else None}) for i in cells for j in cells if i < j and r.random() < 0.25]
+    e = spark.createDataFrame([(i, j, v["a"], v["b"]) for i, j, v in edges], "cell_i long, cell_j long, a double, b double")
+    labels = spark.createDataFrame([(c, c) for c in cells], "cell long, node long")
+    for fraction, target in ((0.2, 0.6), (0.5, 2.0)):
+        want = plain_schedule(edges, cells, {"a": 1.0, "b": 0.5}, fraction, target)
+        last, steps, why = hierarchy.run_schedule(e, labels, {"a": 1.0, "b": 0.5}, fraction, target=target)
+        assert {x.cell: x.node for x in last.collect()} == want[0] and [(s["nodes_before"], s["merges"]) for s in steps] == want[1] and why == want[2]
+
+
+def test_evidence_errors_and_edges(spark):
+    from cambium.operators import evidence
+
+    a, b = spark.createDataFrame([(1,), (2,)], "x long"), spark.createDataFrame([(5,)], "y long")
+    with pytest.raises(Exception, match="different length"):
+        evidence.side_by_side(a, b, ["x"], ["y"]).collect()
+    twice = spark.createDataFrame([(1, "CERTIFIED", 2.0, 0), (1, "CERTIFIED", 3.0, 0)], "k long, status string, v double, c int")
+    with pytest.raises(Exception, match="occurs twice"):
+        evidence.certified_values(twice, ["k"], "status", "v", spark.createDataFrame([(0, 1.0)], "c int, residual double"), ["c"]).collect()
+    assert evidence.pattern_column(twice.schema, ["^v$"]) == "v" and evidence.pattern_column(twice.schema, ["status"]) is None and evidence.normal_name(" A-b  C ") == "a_b_c"
+
+
 def test_nearest_neighbours_are_exact(spark):
     r = random.Random(4)
     pts = [("s", k, r.random() * 10, r.random()) for k in range(60)] + [("s", 99, 80.0, 0.0)]
@@ -127,7 +226,7 @@ def test_stream_detector_equals_batch(spark, tmp_path):
     rows = [("a", k, c) for k, c in enumerate(kinds)]
     df = spark.createDataFrame(rows, "s string, t long, class string")
     batch = [r.decision for r in detectors.detect(df, ["s"], "t").orderBy("t").collect()]
-    assert "CONFIRMED" in batch and batch[-1] == "STOPPED"
+    assert batch == ["CONTINUE"] * 8 + ["ENTER_CONFIRMATION", "CONFIRMING", "STOP_CONFIRMED", "STOPPED"]
     for k in range(3):
         df.where((F.col("t") >= 4 * k) & (F.col("t") < 4 * k + 4)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))

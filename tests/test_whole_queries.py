@@ -1,4 +1,4 @@
-"""Queries that no SQL checks, against brute force on whole small tables."""
+"""Queries against brute force on whole small tables."""
 
 import inspect
 import os
@@ -56,10 +56,10 @@ def test_harmonic_fill_runs_to_the_operators_tolerance(spark, monkeypatch):
 
 def test_joins_and_prior_take_all_rows(spark):
     part = spark.read.parquet(f"{SF}/part.parquet").select("p_partkey", "p_size").collect()
-    got = {r.span: r.n for r in QUERIES["jn12_within_range_whole"](spark, SF).collect()}
+    got = {r.span: r.n for r in QUERIES["jn12_within_range"](spark, SF).collect()}
     assert got == {p.p_partkey: sum(p.p_size <= q.p_size <= p.p_size + p.p_partkey % 4 for q in part) for p in part}
     people = spark.read.parquet(f"{SF}/customer.parquet").collect()
-    found = {(r.c_custkey, r.rank): r.match for r in QUERIES["jn17_matched_candidates_whole"](spark, SF).collect()}
+    found = {(r.c_custkey, r.rank): r.match for r in QUERIES["jn17_matched_candidates"](spark, SF).collect()}
     want = {}
     for c in people:
         near = sorted((abs(c.c_acctbal - o.c_acctbal), o.c_custkey) for o in people if o.c_nationkey == c.c_nationkey and o.c_mktsegment != "BUILDING")
@@ -79,7 +79,7 @@ def test_joins_and_prior_take_all_rows(spark):
             degree[i] = degree.get(i, 0.0) + x
         for e, x in pairs.items():
             mean[e] = mean.get(e, 0.0) + x / statistics.median(degree.values()) / 2
-    prior = {(r.i, r.j): r.w for r in QUERIES["vx03_functional_prior_whole"](spark, SF).where("i <> j").collect()}
+    prior = {(r.i, r.j): r.w for r in QUERIES["vx03_functional_prior"](spark, SF).where("i <> j").collect()}
     assert prior == pytest.approx(mean, abs=2e-6)
 
 
@@ -91,16 +91,6 @@ def test_contacts_of_all_rows(spark):
     for s in offers.values():
         for i, j in ((i, j) for i in s for j in s if i != j):
             shared[i, j] = shared.get((i, j), 0) + 1
-    assert {(r.src, r.dst): r.w for r in QUERIES["gr01_03_adjacency_whole"](spark, SF).collect()} == shared
+    assert {(r.src, r.dst): r.w for r in QUERIES["gr01_03_adjacency"](spark, SF).collect()} == shared
     loops = [(u, v, w) for u, v in shared if u < v for w in {k for e in shared for k in e} if v < w and (v, w) in shared and (u, w) in shared]
-    assert sorted(tuple(r) for r in QUERIES["gr08_triangles_whole"](spark, SF).collect()) == sorted(loops)
-    assert QUERIES["gr01_03_adjacency"](spark, SF).count() < len(shared)
-
-
-def test_queries_without_sql_take_all_contacts(spark, monkeypatch):
-    """The batch is chosen among the relations of all contacts."""
-    chosen = {}
-    monkeypatch.setattr(table_queries.selection, "batch_by_routes", lambda s, cap: chosen.update(n=s.agg({"n_boundary_edges": "sum"}).first()[0]) or ("cost", s))
-    QUERIES["so05_06_batch_by_routes"](spark, SF)
-    all_ = QUERIES["ag01_relation_summary_whole"](spark, SF).agg({"n_boundary_edges": "sum"}).first()[0]
-    assert chosen["n"] == all_ > QUERIES["ag01_relation_summary"](spark, SF).agg({"n_boundary_edges": "sum"}).first()[0]
+    assert sorted(tuple(r) for r in QUERIES["gr08_triangles"](spark, SF).collect()) == sorted(loops)
