@@ -37,8 +37,8 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     while True:
         here = now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         # Done when all are stars: no node has a lesser neighbour and is one itself, and none has two.
-        inner = here.groupBy("a").agg(F.count("*").alias("k")).select("a", "k", F.lit(0).alias("low")).unionByName(here.select(F.col("b").alias("a"), F.lit(0).alias("k"), F.lit(1).alias("low")).distinct())
-        if inner.groupBy("a").agg(F.sum("k").alias("k"), F.max("low").alias("low")).where("k > 1 or (k > 0 and low > 0)").isEmpty():
+        ends = here.select("a", F.lit(1).alias("k"), F.lit(0).alias("low")).unionAll(here.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("a").agg(F.sum("k").alias("k"), F.max("low").alias("low")).where("k > 1 or (k > 0 and low > 0)").isEmpty():
             break
         before, now = now, written(_star(_star(here, True), False), tag)
         dropped(before)

@@ -286,7 +286,8 @@ class Join:
 
         With tokens from rare to frequent in the family, two differences that
         have at least o tokens in common share one among the first e - o + 1
-        of each. The member of lesser w needs o >= w / (den + num) of any such
+        of each, and what comes after the first of them in either bounds how many
+        there are. The member of lesser w needs o >= w / (den + num) of any such
         partner, the other one o >= (w + least w of the family) / 2 (den + num).
         """
         k = self.level.den + self.level.num
@@ -298,13 +299,16 @@ class Join:
         d = d.select("family", "cid", "n", "c", "w", F.size("diff").alias("e")).join(least, "family").join(order, ["family", "cid"]).withColumn("alone", F.col("e") - F.size("shared"))
         low = F.greatest(F.lit(1), F.ceil(F.col("w") / k))
         high = F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("least")) / (2 * k)))
-        # The first e - o + 1 tokens, of which those that no other member has come first.
+        # The first e - o + 1 tokens, of which those that no other member has come first; ``at`` is a token's place among all e.
         sides = []
         for o in (low, high):
             first = F.greatest(F.lit(0), F.col("e") - o + 1 - F.col("alone")).cast("int")
-            sides.append(d.select("family", "cid", "n", "c", "w", F.explode(F.slice("shared", 1, first)).alias("s")).select("family", F.col("s.t").alias("t"), "cid", "n", "c", "w"))
-        one, two = (x.select("family", "t", *[F.col(y).alias(f"{y}{i}") for y in ("cid", "n", "c", "w")]) for i, x in enumerate(sides, 1))
-        out = one.join(two, ["family", "t"]).where((F.struct("w1", "cid1") < F.struct("w2", "cid2")) & (F.col("c1") != F.col("c2")) & self.close("n1", "n2"))
+            each = d.select("family", "cid", "n", "c", "w", "e", "alone", F.posexplode(F.slice("shared", 1, first)).alias("p", "s"))
+            sides.append(each.select("family", F.col("s.t").alias("t"), "cid", "n", "c", "w", "e", (F.col("alone") + F.col("p") + 1).alias("at")))
+        one, two = (x.select("family", "t", *[F.col(y).alias(f"{y}{i}") for y in ("cid", "n", "c", "w", "e", "at")]) for i, x in enumerate(sides, 1))
+        # If this is their first common token, so many can still follow.
+        most = 1 + F.least(F.col("e1") - F.col("at1"), F.col("e2") - F.col("at2"))
+        out = one.join(two, ["family", "t"]).where((F.struct("w1", "cid1") < F.struct("w2", "cid2")) & (F.col("c1") != F.col("c2")) & self.close("n1", "n2") & (F.col("w1") + F.col("w2") <= 2 * k * most))
         return out.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct()
 
     def labels(self) -> DataFrame:

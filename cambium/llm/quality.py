@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cambium.llm.columns import draw60
-from cambium.llm.words import U64, hashed, in_small_batches, mix, one_array, steps, words_of
+from cambium.llm.words import U64, hashed, in_small_batches, mix, one_array, returning, steps, words_of
 from cambium.scratch import written
 
 DIMS = 1 << 18
 #: Labelled rows that the model is fitted on, at most.
 TRAIN_ROWS = 4000
 #: Bytes of features that the driver holds at once.
-PART_BYTES = 32 << 20
+PART_BYTES = 8 << 20
 FOLDS, THRESHOLD, EPOCHS, SEED = 5, 0.3, 4, 11
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.002, 0.001
 _RUN = re.compile(rb"(.)\1+", re.S)
@@ -126,6 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
             for k in np.random.default_rng([epoch, i]).permutation(len(part)):
                 place, value, y = part[k]
                 model.learn(np.frombuffer(place, np.int32), np.frombuffer(value, np.float32).astype(float), int(y > 0))
+    returning()(0)
     return model.weights().astype(np.float32)
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES)
 
     What has been set free goes back to the system after each batch: workers live on and would keep it.
     """
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)
+    trim = returning()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -68,6 +69,15 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES)
         trim(0)
 
 
+@cache
+def returning() -> Callable[[int], int]:
+    """Make the C library give arrays of 1 MB and more their own pages, which go back when they are freed, and return its trim."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD; it no longer rises by itself
+    return getattr(libc, "malloc_trim", lambda _: 0)
+
+
 def words_of(text: pa.Array) -> Words:
     """Split at runs of the six ASCII white-space characters; null and blank texts have no words."""
     text = pc.ascii_trim_whitespace(pc.fill_null(text, ""))
