@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cambium.scratch import dropped, written
@@ -11,19 +11,17 @@ from cambium.scratch import dropped, written
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link each node's neighbours (large: the larger ones; small: the smaller ones and itself) to the least of them.
 
-    A node's least neighbour is found by an aggregate, which combines before
-    the shuffle, and joined back: a hub's links may be dealt over many tasks.
+    A hub's links are sorted by Spark in one task, on disk if need be.
     """
     if large:
         edges = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    out = edges.join(least, "a")
+    out = edges.withColumn("m", F.least("a", F.min("b").over(Window.partitionBy("a"))))
     if large:
         out = out.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = out.select("b", "m").union(least.select("a", "m")).toDF("a", "b")
+        out = out.select("b", "m").union(out.select("a", "m")).toDF("a", "b")
     return out.where("a <> b").distinct()
 
 
