@@ -15,9 +15,9 @@ token or more each, at most h - 1 - g of them in more than one. So the first
 the subset, and the subset without each one of its tokens. A subset's key is a
 sum over tokens, so a neighbour's key takes one subtraction.
 
-*Links.* Each class is first compared with the least one that shares a key with
-it, which settles the key if all its members end in one component, as for most
-copies. Of keys whose members are still in several components, those with few
+*Links.* Each class is first compared with one hub, the central class with which
+it shares the most keys, which settles a key if all its members end in one component,
+as for most copies. Of keys whose members are still in several components, those with few
 members give the pairs across these. The others belong to families of near
 copies, of which many are just too far apart. A family gets a consensus, the
 tokens that over half of its members have, and each member is written as its
@@ -198,9 +198,9 @@ class Join:
         self.classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
         keyed = text.mapInArrow(_keyed(level), "key long, node long")
         by_key = Window.partitionBy("key")
-        keyed = keyed.withColumn("hub", F.min("node").over(by_key)).withColumn("far", F.max("node").over(by_key)).where("hub <> far").select("key", "node")
+        keyed = keyed.withColumn("hub", F.min("node").over(by_key)).withColumn("far", F.max("node").over(by_key)).withColumn("size", F.count("*").over(by_key)).where("hub <> far").select("key", "node", "size")
         small = self.classes.select("node", "cid", F.col("n_shingles").alias("n"))
-        self.members = written(keyed.distinct().join(small, "node").select("key", "cid", "n"), "members")
+        self.members = written(keyed.distinct().join(small, "node").select("key", "cid", "n", "size"), "members")
 
     def load_sets(self) -> DataFrame:
         """The sets of all classes that share a key with another."""
@@ -227,10 +227,18 @@ class Join:
         return pairs.select("a", "b").join(right, "b").join(left, "a").where(both * self.level.den >= union * self.level.num).select("a", "b")
 
     def stars(self, members: DataFrame) -> DataFrame:
-        """Each class with the least class that shares a key with it."""
-        hubs = members.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("hub"))
-        out = members.join(hubs, "key").where(F.col("cid") != F.col("hub.cid")).groupBy("cid", "n").agg(F.min("hub").alias("hub"))
-        return out.where(self.close("n", "hub.n")).select(F.col("hub.cid").alias("a"), F.col("cid").alias("b"))
+        """Pairs (a, b), a < b, of each class and the hub with which it shares the most keys.
+
+        A key's hub is its most central member: the one with the most keys, each
+        counted by the digits of its size. Copies of one text thus meet at the
+        copy with the fewest changes, whatever else shares a key with some of them.
+        """
+        central = members.groupBy("cid").agg(F.sum(F.ceil(F.log2("size"))).alias("score"))
+        hubs = members.join(central, "cid").groupBy("key").agg(F.max(F.struct("score", "cid", "n")).alias("hub"))
+        near = members.join(hubs, "key").where((F.col("cid") != F.col("hub.cid")) & self.close("n", "hub.n"))
+        near = near.groupBy("cid", F.col("hub.cid").alias("hub"), F.col("hub.score").alias("score")).agg(F.count("*").alias("keys"))
+        best = near.groupBy("cid").agg(F.max(F.struct("keys", "score", "hub")).alias("best"))
+        return best.select(F.least("cid", "best.hub").alias("a"), F.greatest("cid", "best.hub").alias("b")).distinct()
 
     def named(self, members: DataFrame, label: DataFrame) -> DataFrame:
         """Members with their component ``c``."""
@@ -317,7 +325,7 @@ class Join:
         self.tried = written(self.stars(self.members), "pairs")
         self.links = written(self.verified(self.tried), "links")
         label = components(self.links)
-        open_ = written(self.unsettled(self.members, label), "open")
+        open_ = written(self.unsettled(self.members.drop("size"), label), "open")
         few, many = open_.where(F.col("size") <= FEW), open_.where(F.col("size") > FEW)
         if many.isEmpty():
             return label if few.isEmpty() else self.settled(self.across(few), label)
