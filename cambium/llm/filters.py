@@ -18,14 +18,18 @@ def _page(bit: Column) -> Column:
     return F.floor(bit / _PAGE)
 
 
+def page_bitmap(keys: DataFrame, bit: Column) -> DataFrame:
+    """Rows (page, bitmap) of the bits set by ``bit``, 4 KB each."""
+    return keys.groupBy(_page(bit).alias("page")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(_PAGE))).alias("bitmap"))
+
+
 def bitmap_of(keys: DataFrame, key: Column, n_keys: int, most: int = FILTER_BITS) -> tuple[DataFrame, int]:
     """A bitmap with a bit for each key as rows (page, bitmap), and the power of two of its bits.
 
     At most 2^(most - 15) rows of 4 KB, whatever the number of keys.
     """
     bits = min(most, max(15, (16 * n_keys).bit_length()))
-    bit = _bit(key, bits)
-    return keys.groupBy(_page(bit).alias("page")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(_PAGE))).alias("bitmap")), bits
+    return page_bitmap(keys, _bit(key, bits)), bits
 
 
 def flagged(rows: DataFrame, key: Column, bitmap: DataFrame, bits: int, name: str = "_maybe") -> DataFrame:

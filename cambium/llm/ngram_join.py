@@ -153,23 +153,26 @@ def _described(level: Level):
     return run
 
 
-def _keyed(level: Level):
+def subset_keys(sets: list[np.ndarray], level: Level) -> list[np.ndarray]:
+    return [keys_of(s, level) for s in sets]
+
+
+def _keyed(level: Level, keys_for):
     """Keys of distinct sets, each set once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in steps(batches, "text"):
-            keys, nodes, counts = [], [], []
+            fresh, nodes = [], []
             for s in sets_of(one_array(b, "text"), level):
                 if not len(s) or (p := _print(s)) in seen:
                     continue
                 seen.add(p)
-                mine = keys_of(s, level)
-                keys.append(mine)
+                fresh.append(s)
                 nodes.append(_signed(p))
-                counts.append(len(mine))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), counts))], names=["key", "node"])
+            if fresh:
+                keys = keys_for(fresh, level)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), [len(k) for k in keys]))], names=["key", "node"])
 
     return run
 
@@ -186,9 +189,12 @@ def _with_sets(level: Level):
 
 
 class Join:
-    """One run of the join over a table; ``rows`` and ``classes`` are written tables."""
+    """One run of the join over a table; ``rows`` and ``classes`` are written tables.
+
+    ``keys_for`` gives each set's keys: sets that link must share one.
+    """
 
-    def __init__(self, docs: DataFrame, level: Level):
+    def __init__(self, docs: DataFrame, level: Level, keys_for=subset_keys):
         self.level = level
         kind = docs.schema["doc_id"].dataType.simpleString()
         self.docs = docs.select("doc_id", "text")
@@ -196,7 +202,7 @@ class Join:
         self.rows = written(text.mapInArrow(_described(level), f"doc_id {kind}, n_shingles long, print binary, node long"), "sets")
         classes = self.rows.where("n_shingles > 0").groupBy("print", "node", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
         self.classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-        keyed = text.mapInArrow(_keyed(level), "key long, node long")
+        keyed = text.mapInArrow(_keyed(level, keys_for), "key long, node long")
         by_key = Window.partitionBy("key")
         keyed = keyed.withColumn("hub", F.min("node").over(by_key)).withColumn("far", F.max("node").over(by_key)).withColumn("size", F.count("*").over(by_key)).where("hub <> far").select("key", "node", "size")
         small = self.classes.select("node", "cid", F.col("n_shingles").alias("n"))
@@ -356,7 +362,7 @@ class Join:
         return components(self.links)
 
 
-def joined(docs: DataFrame, level: Level | None = None, links: bool = True) -> DataFrame:
+def joined(docs: DataFrame, level: Level | None = None, links: bool = True, keys_for=subset_keys) -> DataFrame:
     """doc_id, n_shingles, component_id, class_size and class_links of every row of ``docs``.
 
     The component is the least doc_id that links lead to, the row's own
@@ -369,7 +375,7 @@ def joined(docs: DataFrame, level: Level | None = None, links: bool = True) -> D
     not verified.
     """
     with temporary(docs.sparkSession) as stay:
-        run = Join(docs, level or Level())
+        run = Join(docs, level or Level(), keys_for)
         label = run.labels().withColumnRenamed("node", "cid")
         named = run.classes.join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         degrees = []

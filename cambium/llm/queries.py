@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cambium.llm import bpe, ctw, exact_dedup, html_extract, licenses, maglev, mixing, ngram_join, spotsigs
+from cambium.llm import bpe, collocations, ctw, exact_dedup, html_extract, importance, licenses, maglev, mixing, ngram_join, spotsigs, superminhash
 from cambium.llm import quality as quality_model
 from cambium.llm.columns import n_words
 from cambium.sources.tables import table
@@ -60,6 +60,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), ngram_join.Level(2, 8, 10))
+
+
 _DRAW = "('0x' || substr(md5('{seed}|' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT"
 
 OP2_SQL = rf"""
@@ -140,6 +152,86 @@ reach(doc_id, other) AS (
 SELECT w.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id
 FROM words w JOIN reach r ON r.doc_id = w.doc_id LEFT JOIN sizes z ON z.doc_id = w.doc_id GROUP BY w.doc_id"""
 
+OP13_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 2 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * common >= 80 * (p.n + q.n - common)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM words UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT w.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id, w.doc_id = min(other) AS kept
+FROM words w JOIN reach r ON r.doc_id = w.doc_id LEFT JOIN sizes z ON z.doc_id = w.doc_id GROUP BY w.doc_id"""
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+listed AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+spans AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM listed, range(1, 6) t(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM spans GROUP BY ALL HAVING count(*) >= 100),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM listed GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:j], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(i + 1, k + 1)) AS j FROM (SELECT *, unnest(range(1, k)) AS i FROM candidates WHERE k > 2))
+  WHERE j - i + 1 < k GROUP BY ALL),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, n, cut, (1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:c.k], ' ')
+  JOIN totals t ON t.lang = c.lang
+  LEFT JOIN inner_ z ON z.lang = c.lang AND z.phrase = c.phrase
+  WHERE 100 * coalesce(longer, 0) < 100 * c.a),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS pick FROM cuts),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+  FROM best WHERE pick = 1)
+SELECT * FROM ranked WHERE rank <= 2000"""
+
+OP12_SQL = r"""
+WITH RECURSIVE steps(b, k, v) AS (
+  SELECT b, 0, b FROM range(256) t(b)
+  UNION ALL
+  SELECT b, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY b) AS t FROM steps WHERE k = 8),
+words AS (
+  SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM documents
+  UNION ALL
+  SELECT 'b', NULL, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+features AS (SELECT f, count_if(side = 'd') AS s, count_if(side = 'b') AS t FROM words GROUP BY f),
+hashed AS (
+  SELECT f, s, features.t AS t,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(hex(encode(f))), 2), lambda i: ('0x' || substr(hex(encode(f)), i, 2))::BIGINT)),
+             lambda acc, x: xor(acc // 256, crc.t[xor(acc % 256, x) + 1])), 4294967295) % 10000 AS bucket
+  FROM features, crc),
+sums AS (SELECT sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM hashed),
+gains AS (
+  SELECT bucket, floor(1000 * ln((sum(h.t) + 1)::DOUBLE * (any_value(sums.s) + 10000) / ((sum(h.s) + 1)::DOUBLE * (any_value(sums.t) + 10000))))::BIGINT AS gain
+  FROM hashed h, sums GROUP BY bucket),
+weights AS (
+  SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight
+  FROM words JOIN hashed USING (f) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM documents d LEFT JOIN weights w ON w.doc_id = d.doc_id),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+FROM scored s LEFT JOIN ranked r ON r.doc_id = s.doc_id"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_context_tree_scores": op1_context_tree_scores,
     "op2_mix_sources": op2_mix_sources,
@@ -151,5 +243,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_spot_fingerprints": op9_spot_fingerprints,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_collocations": op11_collocations,
+    "op12_importance_draw": op12_importance_draw,
+    "op13_superminhash": op13_superminhash,
 }
-ORACLES: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op4_shard_placement": OP4_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {
+    "op2_mix_sources": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op4_shard_placement": OP4_SQL, "op10_exact_dedup": OP10_SQL,
+    "op11_collocations": OP11_SQL, "op12_importance_draw": OP12_SQL, "op13_superminhash": OP13_SQL,
+}
