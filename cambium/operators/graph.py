@@ -110,12 +110,23 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 
 def chordless_quads(edges: DataFrame) -> DataFrame:
-    """All 4-cycles without a diagonal, once each: a is least, b < d its neighbours, c opposite."""
+    """All 4-cycles without a diagonal, once each: a is least, b < d its neighbours, c opposite.
+
+    A cycle is found at its end of highest degree, whose two neighbours in it have lower
+    ones, so a hub is the middle of no wedge but to nodes of still higher degree.
+    """
     both = symmetric(edges.select("i", "j").distinct())
-    pair = both.select(F.col("src").alias("m"), F.col("dst").alias("a")).join(both.select(F.col("src").alias("m"), F.col("dst").alias("c")), "m").where("a < c")
-    cand = pair.select("a", "c", F.col("m").alias("b")).join(pair.select("a", "c", F.col("m").alias("d")), ["a", "c"]).where("b < d and a < b")
-    e = edges.select(F.col("i").alias("_x"), F.col("j").alias("_y")).distinct()
-    cand = cand.join(e, (F.col("a") == F.col("_x")) & (F.col("c") == F.col("_y")), "left_anti")
+    deg = both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"))
+    ranked = both.join(deg.select(F.col("node").alias("dst"), F.struct("d", F.col("node").alias("k")).alias("r")), "dst").join(deg.select(F.col("node").alias("src"), F.struct("d", F.col("node").alias("k")).alias("m")), "src")
+    top = ranked.where("r > m").select("src", F.col("dst").alias("top"), F.col("r").alias("rt"))
+    far = ranked.select("src", F.col("dst").alias("far"), F.col("r").alias("rf"))
+    wedge = top.join(far, "src").where("rf < rt").select("top", "far", F.col("src").alias("m"))
+    cycle = wedge.withColumnRenamed("m", "x").join(wedge.withColumnRenamed("m", "y"), ["top", "far"]).where("x < y")
+    lead = F.least("top", "far") < F.col("x")
+    p, q = F.least("top", "far"), F.greatest("top", "far")
+    cand = cycle.select(F.when(lead, p).otherwise(F.col("x")).alias("a"), F.when(lead, F.col("x")).otherwise(p).alias("b"), F.when(lead, q).otherwise(F.col("y")).alias("c"), F.when(lead, F.col("y")).otherwise(q).alias("d"))
+    e = edges.select(F.least("i", "j").alias("_x"), F.greatest("i", "j").alias("_y")).distinct()
+    cand = cand.join(e, (F.least("a", "c") == F.col("_x")) & (F.greatest("a", "c") == F.col("_y")), "left_anti")
     return cand.join(e, (F.col("b") == F.col("_x")) & (F.col("d") == F.col("_y")), "left_anti").select("a", "b", "c", "d")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cambium.operators import joins
 from cambium.sources.tables import table
 
 #: A series for each event type: number and mean value of events by six hours.
@@ -89,3 +90,24 @@ def merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").where((k % 50 != 0) & (k >= 50))
     five = k % 5 == 0
     return c.select(k.alias("removed"), F.when(five, k - k % 50).otherwise(k - k % 5).alias("survivor"), F.when(five, F.floor(k / 5) % 10 + 4).otherwise(k % 5).cast("int").alias("microstep"))
+
+
+#: A sparse graph: points of a sample that are among each other's four nearest. Counts are dimensions of like sign; some mechanics are missing.
+MESH = """near4 AS (SELECT a, b FROM (SELECT p.id AS a, q.id AS b, row_number() OVER (PARTITION BY p.id ORDER BY sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), q.id) AS rank
+  FROM points p JOIN points q ON p.sample = q.sample AND p.id <> q.id) WHERE rank <= 4),
+mesh AS (
+  SELECT p.id AS i, q.id AS j, p.sample AS sample, CAST(len(list_filter(range(1, 65), lambda k: p.state[k] * q.state[k] > 0)) AS BIGINT) AS n,
+         CASE WHEN (p.id + q.id) % 4 > 0 THEN round(p.state[3] - q.state[3], 6) END AS tension, CASE WHEN (p.id + q.id) % 3 > 0 THEN round(p.state[4] - q.state[4], 6) END AS pressure
+  FROM near4 u JOIN near4 v ON v.a = u.b AND v.b = u.a JOIN points p ON p.id = u.a JOIN points q ON q.id = u.b WHERE u.a < u.b)"""
+
+
+def mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    near = joins.nearest_neighbours(p, ["sample"], "id", "x", "y", 4, 0.1)
+    pairs = near.select("sample", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).groupBy("sample", "i", "j").agg(F.count("*").alias("_both")).where("_both = 2")
+    ends = pairs.join(p.select(F.col("id").alias("i"), F.col("state").alias("si")), "i").join(p.select(F.col("id").alias("j"), F.col("state").alias("sj")), "j")
+    alike = F.size(F.filter(F.zip_with("si", "sj", lambda u, v: u * v), lambda v: v > 0)).cast("long")
+    m = F.col("i") + F.col("j")
+    return ends.select(
+        "i", "j", "sample", alike.alias("n"), F.when(m % 4 > 0, F.round(F.col("si")[2] - F.col("sj")[2], 6)).alias("tension"), F.when(m % 3 > 0, F.round(F.col("si")[3] - F.col("sj")[3], 6)).alias("pressure"),
+    )

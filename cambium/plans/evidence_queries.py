@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cambium.operators import evidence as V
 from cambium.operators import filters, graph, hierarchy, joins, landmarks, partitions
 from cambium.operators import series as S
-from cambium.plans.bindings import CONTACTS, LABELS, MASSES, MERGES, POINTS, SERIES, cells, contacts, masses, merges, points, series
+from cambium.plans.bindings import CONTACTS, LABELS, MASSES, MERGES, MESH, POINTS, SERIES, cells, contacts, masses, merges, mesh, points, series
 from cambium.plans.registry import query
 from cambium.plans.series_queries import BASINS, KEYS, r6, rounded
 from cambium.plans.table_queries import ROOTS, SUPER, TRI, sql, start, supers
@@ -35,14 +35,14 @@ ex AS (SELECT unnest([u, v, w]) AS cell, * FROM lp),
 inc AS (SELECT cell, count(*) FILTER (resolved) AS rl, count(*) FILTER (directional) AS dl, count(*) FILTER (defined) AS fl, sum(angle) FILTER (directional AND defined) AS an, sum(area) FILTER (directional AND defined) AS ar, sum(angle / area) FILTER (directional AND defined) AS de, max(angle / area) FILTER (directional AND defined) AS dm FROM ex GROUP BY cell)"""
 
 
-@query("ag20_loop_incidence", sql(f"""SELECT s_suppkey AS cell, coalesce(rl, 0) AS resolved_loops, coalesce(dl, 0) AS directional_loops, coalesce(fl, 0) AS defined_loops, {r6('coalesce(an, 0)')} AS angle_sum, {r6('coalesce(ar, 0)')} AS area_sum, {r6('coalesce(de, 0)')} AS density_sum,
+@query("ag20_loop_incidence", sql(f"""SELECT id AS cell, coalesce(rl, 0) AS resolved_loops, coalesce(dl, 0) AS directional_loops, coalesce(fl, 0) AS defined_loops, {r6('coalesce(an, 0)')} AS angle_sum, {r6('coalesce(ar, 0)')} AS area_sum, {r6('coalesce(de, 0)')} AS density_sum,
   {r6('CASE WHEN dl > 0 THEN coalesce(dm, 0) END')} AS density_max, {r6('CASE WHEN rl > 0 THEN dl / rl ELSE 0 END')} AS directional_fraction, {r6('CASE WHEN dl > 0 THEN coalesce(de, 0) / dl END')} AS mean_density, {r6('CASE WHEN ar > 0 THEN an / ar END')} AS area_weighted_density
-  FROM supplier LEFT JOIN inc ON cell = s_suppkey""", CONTACTS, LOOPS))
+  FROM points LEFT JOIN inc ON cell = id""", POINTS, MESH, LOOPS))
 def incidence(spark: SparkSession, sf: str) -> DataFrame:
     u, v, w = F.col("u"), F.col("v"), F.col("w")
-    t = graph.triangles(contacts(spark, sf).select("i", "j"))
+    t = graph.triangles(mesh(spark, sf).select("i", "j"))
     t = t.select(F.array("u", "v", "w").alias("nodes"), ((u + v + w) % 3 > 0).alias("resolved"), ((u + v) % 2 == 0).alias("directional"), (w % 5 > 0).alias("defined"), ((u % 7) / 7.0).alias("angle"), (1.0 + v % 4).alias("area"))
-    return rounded(V.loop_incidence(t.withColumn("density", F.col("angle") / F.col("area")), table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cell"))))
+    return rounded(V.loop_incidence(t.withColumn("density", F.col("angle") / F.col("area")), points(spark, sf).select(F.col("id").alias("cell"))))
 
 
 STATUS = "CASE l_returnflag WHEN 'R' THEN 'OBSERVABLE' WHEN 'A' THEN 'NUMERICALLY_MARGINAL' ELSE 'UNRESOLVED' END"

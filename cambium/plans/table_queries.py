@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cambium.functions import scalars as X
 from cambium.operators import aggregates as A
 from cambium.operators import audits, filters, geometry, graph, hierarchy, joins, partitions, selection, statistics, vectors
-from cambium.plans.bindings import CONTACTS, LABELS, MASSES, MERGES, POINTS, cells, contacts, masses, merges, points
+from cambium.plans.bindings import CONTACTS, LABELS, MASSES, MERGES, MESH, POINTS, cells, contacts, masses, merges, mesh, points
 from cambium.plans.registry import query
 from cambium.plans.series_queries import r6, rounded
 from cambium.sources.sinks import table_digest
@@ -95,18 +95,6 @@ def level(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.sizes(hierarchy.contract(cells(spark, sf).select("cell", "node"), matched(spark, sf)))
 
 
-def flow_edges(spark: SparkSession, sf: str) -> DataFrame:
-    c = contacts(spark, sf)
-    return c.select(F.col("i").alias("cell_i"), F.col("j").alias("cell_j"), F.abs(F.coalesce("tension", F.lit(1.0))).alias("distance"), F.abs("tension").alias("tension"), F.abs("pressure").alias("pressure"), F.col("n").cast("double").alias("comm_ij"), (F.col("n") * 0.5).alias("comm_ji"))
-
-
-def flow(spark: SparkSession, sf: str) -> DataFrame:
-    e = flow_edges(spark, sf)
-    start = cells(spark, sf).select("cell", F.col("cell").alias("node"))
-    _, steps = hierarchy.contextual_flow(e, start, hierarchy.Flow(low_quantile=0.1, high_quantile=0.2, last_fraction=0.1, stages=()), most_steps=1)
-    return spark.createDataFrame([tuple(s[k] for k in ("step", "nodes_before", "superedges", "merge_allowed", "merges", "nodes_after", "mode")) for s in steps], "step int, nodes_before long, superedges long, merge_allowed long, merges long, nodes_after long, mode string")
-
-
 # --- aggregates ----------------------------------------------------------------------------------------------------
 
 
@@ -550,98 +538,98 @@ def transport(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("vx15_16_loop_holonomy")
 def holonomy(spark: SparkSession, sf: str) -> DataFrame:
-    loops = contacts_graph(spark, sf)
+    loops = mesh_graph(spark, sf)
     t = graph.triangles(loops).select(F.concat_ws(";", "u", "v", "w").alias("loop_id"), F.array("u", "v", "w").alias("nodes"))
-    q = points(spark, sf).select(F.col("id").alias("node"), F.slice("state", 1, 8).alias("q"))
+    q = points(spark, sf).select(F.col("id").alias("node"), F.col("state").alias("q"))
     return rounded(vectors.loops_holonomy(t, q))
 
 
 # --- graph ---------------------------------------------------------------------------------------------------------------
 
 
-def contacts_graph(spark: SparkSession, sf: str) -> DataFrame:
-    return contacts(spark, sf).select("i", "j")
+def mesh_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return mesh(spark, sf).select("i", "j")
 
 
 def graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"))
+    return points(spark, sf).select(F.col("id").alias("node"))
 
 
-BOTH = "both_ AS (SELECT i AS src, j AS dst, n FROM contacts UNION ALL SELECT j, i, n FROM contacts)"
+BOTH = "both_ AS (SELECT i AS src, j AS dst, n FROM mesh UNION ALL SELECT j, i, n FROM mesh)"
 
 
-@query("gr01_03_adjacency", sql("SELECT src, dst, CAST(sum(n) AS BIGINT) AS w FROM both_ GROUP BY ALL", CONTACTS, BOTH))
+@query("gr01_03_adjacency", sql("SELECT src, dst, CAST(sum(n) AS BIGINT) AS w FROM both_ GROUP BY ALL", POINTS, MESH, BOTH))
 def adjacency(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.weighted_adjacency(contacts(spark, sf).select("i", "j", "n"), "n")
+    return graph.weighted_adjacency(mesh(spark, sf).select("i", "j", "n"), "n")
 
 
-@query("gr02_unreciprocated", sql("SELECT i AS src, j AS dst FROM contacts WHERE (i + j) % 5 = 0", CONTACTS))
+@query("gr02_unreciprocated", sql("SELECT i AS src, j AS dst FROM mesh WHERE (i + j) % 5 = 0", POINTS, MESH))
 def unreciprocated(spark: SparkSession, sf: str) -> DataFrame:
-    c = contacts_graph(spark, sf)
+    c = mesh_graph(spark, sf)
     there = c.select(F.col("i").alias("src"), F.col("j").alias("dst"))
     back = c.where("(i + j) % 5 <> 0").select(F.col("j").alias("src"), F.col("i").alias("dst"))
     return graph.unreciprocated(there.unionByName(back))
 
 
-REACH = "reach(node, other) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT r.node, b.dst FROM reach r JOIN both_ b ON b.src = r.other)"
+REACH = "reach(node, other) AS (SELECT id, id FROM points UNION SELECT r.node, b.dst FROM reach r JOIN both_ b ON b.src = r.other)"
 
 
-@query("gr04_components", sql("SELECT node, min(other) AS component FROM reach GROUP BY node", CONTACTS, BOTH, REACH))
+@query("gr04_components", sql("SELECT node, min(other) AS component FROM reach GROUP BY node", POINTS, MESH, BOTH, REACH))
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.components(contacts_graph(spark, sf), graph_nodes(spark, sf))
+    return graph.components(mesh_graph(spark, sf), graph_nodes(spark, sf))
 
 
-@query("gr05_topology", sql(f"SELECT (SELECT count(*) FROM supplier) AS nodes, {r6('(SELECT count(*) FROM both_) / (SELECT count(*) FROM supplier)')} AS mean_degree, {r6('(SELECT count(*) FROM supplier WHERE s_suppkey NOT IN (SELECT src FROM both_)) / (SELECT count(*) FROM supplier)')} AS isolated_fraction, (SELECT max(c) FROM (SELECT count(*) AS c FROM both_ GROUP BY src)) AS max_degree, (SELECT count(*) FROM contacts) AS edges, (SELECT count(DISTINCT m) FROM cc) AS components, (SELECT count(*) FROM contacts) - (SELECT count(*) FROM supplier) + (SELECT count(DISTINCT m) FROM cc) AS cycle_rank", CONTACTS, BOTH, REACH, "cc AS (SELECT node, min(other) AS m FROM reach GROUP BY node)"))
+@query("gr05_topology", sql(f"SELECT (SELECT count(*) FROM points) AS nodes, {r6('(SELECT count(*) FROM both_) / (SELECT count(*) FROM points)')} AS mean_degree, {r6('(SELECT count(*) FROM points WHERE id NOT IN (SELECT src FROM both_)) / (SELECT count(*) FROM points)')} AS isolated_fraction, (SELECT max(c) FROM (SELECT count(*) AS c FROM both_ GROUP BY src)) AS max_degree, (SELECT count(*) FROM mesh) AS edges, (SELECT count(DISTINCT m) FROM cc) AS components, (SELECT count(*) FROM mesh) - (SELECT count(*) FROM points) + (SELECT count(DISTINCT m) FROM cc) AS cycle_rank", POINTS, MESH, BOTH, REACH, "cc AS (SELECT node, min(other) AS m FROM reach GROUP BY node)"))
 def topology(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(graph.topology(contacts_graph(spark, sf), graph_nodes(spark, sf)))
+    return rounded(graph.topology(mesh_graph(spark, sf), graph_nodes(spark, sf)))
 
 
-P = "p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM (SELECT src, dst, n::DOUBLE AS w FROM both_ UNION ALL SELECT s_suppkey, s_suppkey, 1.0 FROM supplier))"
+P = "p AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM (SELECT src, dst, n::DOUBLE AS w FROM both_ UNION ALL SELECT id, id, 1.0 FROM points))"
 HOP = "(SELECT a.node, 0.65 * any_value(a.x) + 0.35 * sum(p.p * b.x) AS x FROM {0} a JOIN p ON p.src = a.node JOIN {0} b ON b.node = p.dst GROUP BY a.node)"
 
 
-@query("gr06_diffuse", sql(f"SELECT node, {r6('x')} AS x FROM h2", CONTACTS, BOTH, P, "h0 AS (SELECT s_suppkey AS node, s_acctbal AS x FROM supplier)", "h1 AS " + HOP.format("h0"), "h2 AS " + HOP.format("h1")))
+@query("gr06_diffuse", sql(f"SELECT node, {r6('x')} AS x FROM h2", POINTS, MESH, BOTH, P, "h0 AS (SELECT id AS node, round(x, 6) AS x FROM points)", "h1 AS " + HOP.format("h0"), "h2 AS " + HOP.format("h1")))
 def diffuse(spark: SparkSession, sf: str) -> DataFrame:
-    adj = graph.weighted_adjacency(contacts(spark, sf).select("i", "j", F.col("n").cast("double").alias("n")), "n")
-    x = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_acctbal").alias("x"))
+    adj = graph.weighted_adjacency(mesh(spark, sf).select("i", "j", F.col("n").cast("double").alias("n")), "n")
+    x = points(spark, sf).select(F.col("id").alias("node"), F.round("x", 6).alias("x"))
     return rounded(graph.diffuse(adj, x, ["x"], 2))
 
 
 @query("gr07_harmonic_fill")
 def harmonic(spark: SparkSession, sf: str) -> DataFrame:
-    adj = graph.weighted_adjacency(contacts(spark, sf).select("i", "j", F.col("n").cast("double").alias("n")), "n")
+    adj = graph.weighted_adjacency(mesh(spark, sf).select("i", "j", F.col("n").cast("double").alias("n")), "n")
     nodes = graph_nodes(spark, sf)
-    anchors = table(spark, sf, "supplier").where("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("node"), F.col("s_acctbal").alias("value"))
+    anchors = points(spark, sf).where("id % 4 = 0").select(F.col("id").alias("node"), F.round("x", 6).alias("value"))
     return rounded(graph.harmonic_fill(adj, anchors, nodes))
 
 
-TRI = "SELECT a.i AS u, a.j AS v, b.j AS w FROM contacts a JOIN contacts b ON b.i = a.j JOIN contacts c ON c.i = a.i AND c.j = b.j"
+TRI = "SELECT a.i AS u, a.j AS v, b.j AS w FROM mesh a JOIN mesh b ON b.i = a.j JOIN mesh c ON c.i = a.i AND c.j = b.j"
 
 
-@query("gr08_triangles", sql(TRI, CONTACTS))
+@query("gr08_triangles", sql(TRI, POINTS, MESH))
 def triangles(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.triangles(contacts_graph(spark, sf))
+    return graph.triangles(mesh_graph(spark, sf))
 
 
-@query("gr09_chordless_quads", sql("SELECT p.src AS a, p.dst AS b, q.dst AS c, s.dst AS d FROM both_ p JOIN both_ q ON q.src = p.dst JOIN both_ r ON r.src = q.dst JOIN both_ s ON s.src = p.src AND s.dst = r.dst WHERE p.src < p.dst AND p.src < q.dst AND p.src < s.dst AND p.dst < s.dst AND q.dst <> p.src AND NOT EXISTS (SELECT 1 FROM both_ t WHERE t.src = p.src AND t.dst = q.dst) AND NOT EXISTS (SELECT 1 FROM both_ t WHERE t.src = p.dst AND t.dst = s.dst)", CONTACTS, BOTH))
+@query("gr09_chordless_quads", sql("SELECT p.src AS a, p.dst AS b, q.dst AS c, s.dst AS d FROM both_ p JOIN both_ q ON q.src = p.dst JOIN both_ r ON r.src = q.dst JOIN both_ s ON s.src = p.src AND s.dst = r.dst WHERE p.src < p.dst AND p.src < q.dst AND p.src < s.dst AND p.dst < s.dst AND q.dst <> p.src AND NOT EXISTS (SELECT 1 FROM both_ t WHERE t.src = p.src AND t.dst = q.dst) AND NOT EXISTS (SELECT 1 FROM both_ t WHERE t.src = p.dst AND t.dst = s.dst)", POINTS, MESH, BOTH))
 def quads(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.chordless_quads(contacts_graph(spark, sf))
+    return graph.chordless_quads(mesh_graph(spark, sf))
 
 
-@query("gr10_loop_status", sql(f"SELECT u || ';' || v || ';' || w AS loop_id, 3::BIGINT AS n_edges, CAST((e1 IS NOT NULL)::INT + (e2 IS NOT NULL)::INT + (e3 IS NOT NULL)::INT AS BIGINT) AS n_resolved, e1 IS NOT NULL AND e2 IS NOT NULL AND e3 IS NOT NULL AS fully_resolved FROM (SELECT t.*, x.tension AS e1, y.tension AS e2, z.tension AS e3 FROM ({TRI}) t JOIN contacts x ON x.i = u AND x.j = v JOIN contacts y ON y.i = v AND y.j = w JOIN contacts z ON z.i = u AND z.j = w)", CONTACTS))
+@query("gr10_loop_status", sql(f"SELECT u || ';' || v || ';' || w AS loop_id, 3::BIGINT AS n_edges, CAST((e1 IS NOT NULL)::INT + (e2 IS NOT NULL)::INT + (e3 IS NOT NULL)::INT AS BIGINT) AS n_resolved, e1 IS NOT NULL AND e2 IS NOT NULL AND e3 IS NOT NULL AS fully_resolved FROM (SELECT t.*, x.tension AS e1, y.tension AS e2, z.tension AS e3 FROM ({TRI}) t JOIN mesh x ON x.i = u AND x.j = v JOIN mesh y ON y.i = v AND y.j = w JOIN mesh z ON z.i = u AND z.j = w)", POINTS, MESH))
 def loops(spark: SparkSession, sf: str) -> DataFrame:
-    t = graph.triangles(contacts_graph(spark, sf)).select(F.concat_ws(";", "u", "v", "w").alias("loop_id"), F.array("u", "v", "w").alias("nodes"))
-    return graph.loop_status(t, contacts(spark, sf).select("i", "j", F.col("tension").isNotNull().alias("resolved")))
+    t = graph.triangles(mesh_graph(spark, sf)).select(F.concat_ws(";", "u", "v", "w").alias("loop_id"), F.array("u", "v", "w").alias("nodes"))
+    return graph.loop_status(t, mesh(spark, sf).select("i", "j", F.col("tension").isNotNull().alias("resolved")))
 
 
-# Least costs over 1, 2, 4, 8 and 16 arcs; on these graphs no least path is longer.
-ARCS = "d0 AS (SELECT i AS s, j AS t, n::DOUBLE AS c FROM contacts UNION ALL SELECT j, i, n + 0.5 FROM contacts UNION ALL SELECT s_suppkey, s_suppkey, 0.0 FROM supplier)"
-TWICE = [f"d{k + 1} AS (SELECT a.s, b.t, min(a.c + b.c) AS c FROM d{k} a JOIN d{k} b ON b.s = a.t GROUP BY ALL)" for k in range(4)]
+# Least costs over 1, 2, 4 to 64 arcs; on these graphs no least path is longer.
+ARCS = "d0 AS (SELECT i AS s, j AS t, n::DOUBLE AS c FROM mesh UNION ALL SELECT j, i, n + 0.5 FROM mesh UNION ALL SELECT id, id, 0.0 FROM points)"
+TWICE = [f"d{k + 1} AS (SELECT a.s, b.t, min(a.c + b.c) AS c FROM d{k} a JOIN d{k} b ON b.s = a.t GROUP BY ALL)" for k in range(6)]
 
 
-@query("gr11_shortest_paths", sql(f"SELECT a.s AS source, a.t AS node, {r6('a.c')} AS cost, {r6('b.c')} AS back, {r6('abs(a.c - b.c) / (a.c + b.c)')} AS asymmetry FROM d4 a JOIN d4 b ON b.s = a.t AND b.t = a.s WHERE a.s < a.t", CONTACTS, ARCS, *TWICE))
+@query("gr11_shortest_paths", sql(f"SELECT a.s AS source, a.t AS node, {r6('a.c')} AS cost, {r6('b.c')} AS back, {r6('abs(a.c - b.c) / (a.c + b.c)')} AS asymmetry FROM d6 a JOIN d6 b ON b.s = a.t AND b.t = a.s WHERE a.s < a.t", POINTS, MESH, ARCS, *TWICE))
 def paths(spark: SparkSession, sf: str) -> DataFrame:
-    c = contacts(spark, sf)
+    c = mesh(spark, sf)
     d = c.select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("n").cast("double").alias("cost")).unionByName(c.select(F.col("j").alias("src"), F.col("i").alias("dst"), (F.col("n") + 0.5).alias("cost")))
     return rounded(graph.path_asymmetry(graph.shortest_paths(d, graph_nodes(spark, sf))))
 
