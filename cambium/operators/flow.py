@@ -229,7 +229,9 @@ def choose(allowed: DataFrame, n_allowed: int, cap: int, cfg: Config) -> tuple[s
         best = selection.exact_matching([tuple(r) for r in allowed.select("super_i", "super_j", "cost").collect()], cap)  # at most ``exact_edges`` rows
         mode, batch = "exact", allowed.sparkSession.createDataFrame(best, "super_i long, super_j long, cost double")
     else:
-        mode, batch = selection.batch_by_routes(allowed.select("super_i", "super_j", "cost", "merit", "n_boundary_edges"), cap)
+        # Merit is the cost's negative, so the five routes have two orders.
+        routes = {k: selection.ROUTES[k] for k in ("cost", "boundary")}
+        mode, batch = selection.batch_by_routes(allowed.select("super_i", "super_j", "cost", "merit", "n_boundary_edges"), cap, routes)
     return mode, written(batch.select(F.least("super_i", "super_j").alias("survivor"), F.greatest("super_i", "super_j").alias("removed"), "cost"), "batch")
 
 

@@ -63,7 +63,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def dropped(df: DataFrame) -> None:
     """Delete a table that ``written`` returned; nothing may read it any more."""
     _delete(df.sparkSession, df._scratch)
-    if (made := _MADE.get()) is not None:
+    if (made := _MADE.get()) is not None and df._scratch in made:
         made.remove(df._scratch)
 
 
