@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cambium.functions.scalars import c, ratio, robust_scale
+from cambium.scratch import written
 
 
 def median(x) -> Column:
@@ -17,6 +18,29 @@ def quantiles(x, qs: list[float]) -> Column:
     return F.percentile(c(x), F.array(*[F.lit(q) for q in qs]))
 
 
+def cumulated(df: DataFrame, keys: list[str], order: str, amount: str, name: str) -> DataFrame:
+    """Running totals by group in order, without sorting a group in one task: by range partition, then by the ranges' totals."""
+    parts = written(df.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = parts.groupBy(*keys, "_part").agg(F.sum(amount).alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("_before", before).drop("_s")  # as many rows a group as ranges
+    inner = F.sum(amount).over(Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.join(sums, [*keys, "_part"]).withColumn(name, inner + F.col("_before")).drop("_part", "_before")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], x: str, qs: list[float]) -> DataFrame:
+    """(keys, n, q), q an array of the quantiles of ``x`` with linear interpolation, from counts by value: no group is held by one task. NULLs are left out."""
+    use = df.where(F.col(x).isNotNull())
+    upto = cumulated(use.groupBy(*keys, F.col(x).cast("double").alias("_v")).agg(F.count("*").alias("_n")), keys, "_v", "_n", "_to")
+    total = use.groupBy(*keys).agg(F.count("*").alias("n"))
+    near = upto.join(total, keys) if keys else upto.crossJoin(F.broadcast(total))
+    place = [F.floor((F.col("n") - 1) * F.lit(float(q))) for q in qs]
+    at = lambda k: F.min(F.when(F.col("_to") >= k, F.col("_v")))
+    got = near.groupBy(*keys).agg(F.first("n").alias("n"), *[at(k + 1).alias(f"_l{i}") for i, k in enumerate(place)], *[at(F.least(F.col("n"), k + 2)).alias(f"_h{i}") for i, k in enumerate(place)])
+    share = [(F.col("n") - 1) * F.lit(float(q)) - k for q, k in zip(qs, place, strict=True)]
+    return got.select(*keys, "n", F.array(*[F.col(f"_l{i}") + share[i] * (F.col(f"_h{i}") - F.col(f"_l{i}")) for i in range(len(qs))]).alias("q"))
+
+
 def summary(df: DataFrame, keys: list[str], x: str, prefix: str = "") -> DataFrame:
     """Count, mean, sd (population), extremes and seven quantiles of ``x`` by group, in one pass, and the MAD in a second."""
     qs = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]
@@ -135,7 +159,7 @@ def set_union(values: str) -> Column:
 
 def threshold_grid(df: DataFrame, x: str, qs: list[float]) -> DataFrame:
     """For each quantile of a fixed grid: its value over ``df`` and the share of rows at or below it."""
-    q = df.agg(quantiles(x, qs).alias("t"))  # one row
+    q = exact_quantiles(df, [], x, qs).select(F.col("q").alias("t"))  # one row
     grid = F.arrays_zip(F.col("t").alias("threshold"), F.array(*[F.lit(v) for v in qs]).alias("quantile"))
     return df.select(x).crossJoin(F.broadcast(q)).select(x, F.inline(grid).alias("threshold", "quantile")).groupBy("quantile", "threshold").agg(F.avg((F.col(x) <= F.col("threshold")).cast("double")).alias("share"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cambium.functions.scalars import ratio
+from cambium.operators import solvers
 from cambium.scratch import dropped, written
 
 
@@ -166,24 +167,42 @@ def path_asymmetry(paths: DataFrame) -> DataFrame:
     return a.join(b, ["source", "node"]).where("source < node").withColumn("asymmetry", F.coalesce(ratio(F.abs(F.col("cost") - F.col("back")), F.col("cost") + F.col("back")), F.lit(0.0)))
 
 
-def harmonic_fill(adjacency: DataFrame, anchors: DataFrame, nodes: DataFrame, prior: float = 0.0, rounds: int = 500, tolerance: float = 1e-7) -> DataFrame:
-    """Values of nodes without an anchor as weighted means of their neighbours: Jacobi rounds, each written down.
+def hops_from(adjacency: DataFrame, sources: DataFrame, most: int = 64) -> DataFrame:
+    """(node, hops) of the nodes within ``most`` steps of a source, breadth first; each round joins only the nodes it has just reached."""
+    adj = written(adjacency.select("src", "dst").distinct(), "hops")
+    rim = seen = written(sources.select("node", F.lit(0).alias("hops")).distinct(), "hops")
+    for k in range(1, most + 1):
+        near = adj.join(rim.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        rim = written(near.select("node", F.lit(k).alias("hops")), "hops")
+        if rim.isEmpty():
+            break
+        seen = seen.unionByName(rim)
+    return seen
+
 
-    Columns: node, value, hops to the nearest anchor (up to 64), confidence
-    exp(-hops / 8), and whether the values stopped changing within ``rounds``; a
-    node that no anchor reaches keeps the prior, confidence 0.
+def harmonic_fill(adjacency: DataFrame, anchors: DataFrame, nodes: DataFrame, prior: float = 0.0, tolerance: float = 1e-10, small: int | None = None) -> DataFrame:
+    """Values of nodes without an anchor as weighted means of their neighbours.
+
+    The harmonic extension is the least of sum w (x - y)^2 over the edges,
+    solved by conjugate gradients in tens of rounds. Weights are above 0; others are left out. Columns: node,
+    value, hops to the nearest anchor (up to 64), confidence exp(-hops / 8),
+    and whether the solver converged; a node that no anchor reaches keeps the prior, confidence 0.
     """
-    now = written(nodes.select("node").distinct().join(anchors.select("node", F.col("value").cast("double").alias("anchor")), "node", "left").select("node", "anchor", F.coalesce("anchor", F.lit(float(prior))).alias("value"), F.when(F.col("anchor").isNotNull(), 0).alias("hops"), F.lit(0.0).alias("_d")), "harmonic")
-    adj = written(adjacency.select("src", "dst", "w"), "harmonic")
-    still = False
-    for _ in range(rounds):
-        around = adj.join(now.select(F.col("node").alias("dst"), "value", "hops"), "dst").groupBy(F.col("src").alias("node")).agg(ratio(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("_v"), F.min("hops").alias("_h"))
-        moved = now.join(around, "node", "left").select("node", "anchor", F.coalesce("anchor", "_v", "value").alias("value"), F.least("hops", F.when(F.col("_h") < 64, F.col("_h") + 1)).alias("hops"), F.abs(F.coalesce("anchor", "_v", "value") - F.col("value")).alias("_d"))
-        before, now = now, written(moved, "harmonic")
-        dropped(before)
-        if still := (now.agg(F.max("_d")).first()[0] or 0.0) < tolerance:
-            break
-    return now.select("node", "value", "hops", F.when(F.col("hops").isNotNull(), F.exp(-F.col("hops") / 8.0)).otherwise(0.0).alias("confidence"), F.lit(still).alias("converged"))
+    known = written(anchors.groupBy("node").agg(F.first("value").cast("double").alias("anchor")), "anchors")
+    e = adjacency.where((F.col("src") < F.col("dst")) & (F.col("w") > 0)).select("src", "dst", F.sqrt("w").alias("w")).withColumn("row", F.monotonically_increasing_id())
+    a, b = (known.select(F.col("node").alias(n), F.col("anchor").alias(f"_{n}")) for n in ("src", "dst"))
+    e = written(e.join(a, "src", "left").join(b, "dst", "left").where("_src is null or _dst is null"), "edges")
+    both = F.array(F.struct(F.col("src").alias("column"), F.col("w").alias("value"), F.col("_src").alias("at")), F.struct(F.col("dst").alias("column"), (-F.col("w")).alias("value"), F.col("_dst").alias("at")))
+    ends = e.select("row", F.explode(both).alias("e")).select("row", "e.*")
+    free = ends.where(F.col("at").isNull()).select("row", "column", "value")
+    rhs = ends.where(F.col("at").isNotNull()).select("row", (-F.col("value") * F.col("at")).alias("value"))
+    loose = free.select(F.col("column").alias("i")).distinct().select("i", F.lit(0).alias("term"), F.lit(0.0).alias("ridge"), F.lit(False).alias("bounded"))
+    x, records = solvers.solve(free, loose, [], [0.0], rhs, tolerance=tolerance, small=small)
+    reach = hops_from(adjacency.where(F.col("w") > 0), known)
+    out = nodes.select("node").distinct().join(known, "node", "left").join(x.select(F.col("i").alias("node"), "x0"), "node", "left").join(reach, "node", "left")
+    value = F.when(F.col("hops").isNotNull(), F.coalesce("anchor", "x0")).otherwise(F.lit(float(prior)))
+    done = all(r["converged"] for r in records)
+    return out.select("node", value.alias("value"), "hops", F.when(F.col("hops").isNotNull(), F.exp(-F.col("hops") / 8.0)).otherwise(0.0).alias("confidence"), F.lit(done).alias("converged"))
 
 
 def grow_region(edges: DataFrame, points: DataFrame, target: int) -> DataFrame:

@@ -595,7 +595,16 @@ def diffuse(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(graph.diffuse(adj, x, ["x"], 2))
 
 
-@query("gr07_harmonic_fill")
+# Rounds of weighted means, far more than any value still moves in.
+HARMONIC = """start_ AS (SELECT id AS node, CASE WHEN id % 4 = 0 THEN round(x, 6) END AS anchor FROM points),
+rounds(k, node, anchor, v, hops) AS (
+  SELECT 0, node, anchor, coalesce(anchor, 0.0), CASE WHEN anchor IS NOT NULL THEN 0 END FROM start_
+  UNION ALL
+  SELECT r.k + 1, r.node, any_value(r.anchor), coalesce(any_value(r.anchor), sum(b.n * o.v) / sum(b.n), any_value(r.v)), least(any_value(r.hops), min(CASE WHEN o.hops < 64 THEN o.hops + 1 END))
+  FROM rounds r LEFT JOIN both_ b ON b.src = r.node LEFT JOIN rounds o ON o.node = b.dst WHERE r.k < 3000 GROUP BY r.k, r.node)"""
+
+
+@query("gr07_harmonic_fill", sql(f"SELECT node, {r6('CASE WHEN hops IS NULL THEN 0.0 ELSE v END')} AS value, hops, {r6('CASE WHEN hops IS NOT NULL THEN exp(-hops / 8.0) ELSE 0.0 END')} AS confidence, true AS converged FROM rounds WHERE k = 3000", POINTS, MESH, BOTH, HARMONIC))
 def harmonic(spark: SparkSession, sf: str) -> DataFrame:
     adj = graph.weighted_adjacency(mesh(spark, sf).select("i", "j", F.col("n").cast("double").alias("n")), "n")
     nodes = graph_nodes(spark, sf)
@@ -720,15 +729,19 @@ def correlations(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(statistics.correlations(table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice"))
 
 
-@query("ts02_bootstrap")
-def bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer").withColumn("gain", F.col("c_acctbal") - 4000)
-    return rounded(statistics.bootstrap_median(c, ["c_mktsegment"], "gain"))
+# A resampled median's quantiles are values whose ranks follow from a binomial law: at least h of n draws among the first k.
+BINOMIAL = """gains AS (SELECT c_mktsegment AS g, CAST(c_acctbal - 4000 AS DOUBLE) AS v FROM customer),
+sorted_ AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v) AS r, count(*) OVER (PARTITION BY g) AS n FROM gains WHERE v IS NOT NULL),
+middles AS (SELECT DISTINCT g, n, unnest([(n + 1) // 2, n // 2 + 1]) AS h FROM sorted_),
+chance AS (SELECT m.g, m.n, m.h, k, CASE WHEN k = m.n THEN 1.0 ELSE list_sum(list_transform(range(m.h, m.n + 1), lambda i: exp(lgamma(m.n + 1) - lgamma(i + 1) - lgamma(m.n - i + 1) + i * ln(k / m.n) + (m.n - i) * ln(1 - k / m.n)))) END AS c
+  FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM middles) m),
+ends_ AS (SELECT g, h, min(k) FILTER (c >= 0.025) AS low, min(k) FILTER (c >= 0.975) AS high FROM chance GROUP BY g, h)"""
 
 
-@query("ts03_merge_null")
-def merge_null(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(statistics.merge_null([(k, 40) for k in range(1, 11)], 500, 64, 7, spark))
+@query("ts02_bootstrap", sql(f"SELECT e.g AS c_mktsegment, any_value(m.n) AS n, {r6('avg(m.v)')} AS median, {r6('avg(l.v)')} AS low, {r6('avg(u.v)')} AS high FROM (SELECT g, unnest([(n + 1) // 2, n // 2 + 1]) AS h FROM (SELECT DISTINCT g, n FROM sorted_)) e JOIN ends_ USING (g, h) JOIN sorted_ m ON m.g = e.g AND m.r = e.h JOIN sorted_ l ON l.g = e.g AND l.r = low JOIN sorted_ u ON u.g = e.g AND u.r = high GROUP BY e.g", BINOMIAL))
+def bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").withColumn("gain", F.col("c_acctbal") - 4000)
+    return rounded(statistics.bootstrap_interval(c, ["c_mktsegment"], "gain"))
 
 
 @query("ts05_calibration", sql(f"SELECT bin, count(*) AS n, {r6('avg(l_discount)')} AS mean_predicted, {r6('avg(l_tax)')} AS mean_observed FROM (SELECT l_discount, l_tax, CAST(len(list_filter(e, lambda v: v < l_discount)) AS INTEGER) AS bin FROM lineitem, (SELECT list_distinct([quantile_cont(l_discount, 0.2), quantile_cont(l_discount, 0.4), quantile_cont(l_discount, 0.6), quantile_cont(l_discount, 0.8)]) AS e FROM lineitem)) GROUP BY bin HAVING count(*) >= 20", "one AS (SELECT 1)"))
@@ -776,13 +789,6 @@ def stress(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(geometry.stress(c, li).select("cell", "sxx", "syy", "sxy", "s1", "s2"))
 
 
-@query("me05_pressure_potential")
-def potential(spark: SparkSession, sf: str) -> DataFrame:
-    c = contacts(spark, sf).select("i", "j", F.col("pressure").alias("y"))
-    cc = graph.components(contacts_graph(spark, sf), graph_nodes(spark, sf))
-    return rounded(geometry.pressure_potential(c, cc))
-
-
 @query("me02_force_rows", sql("SELECT p * 2 AS row, e AS \"column\", 0.6 AS value FROM x UNION ALL SELECT p * 2 + 1, e, 0.8 FROM x UNION ALL SELECT q * 2, e, -0.6 FROM x UNION ALL SELECT q * 2 + 1, e, -0.8 FROM x", CONTACTS, "x AS (SELECT i AS p, j AS q, i * 100000 + j AS e FROM contacts)"))
 def forces(spark: SparkSession, sf: str) -> DataFrame:
     e = contacts(spark, sf).select((F.col("i") * 100000 + F.col("j")).alias("edge"), "i", "j", F.lit(0.6).alias("tx"), F.lit(0.8).alias("ty"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cambium.functions import scalars as X
-from cambium.operators import audits, geometry, graph, hierarchy, joins, selection, vectors
+from cambium.operators import audits, geometry, graph, hierarchy, joins, mechanics, selection, vectors
 from cambium.operators import series as S
 from cambium.sources import readers, sinks
 from cambium.streaming import detectors
@@ -73,16 +73,16 @@ def test_harmonic_fill_of_a_path(spark):
     e = spark.createDataFrame([(0, 1), (1, 2)], "i long, j long").withColumn("n", F.lit(1.0))
     anchors = spark.createDataFrame([(0, 0.0), (2, 1.0)], "node long, value double")
     nodes = spark.createDataFrame([(0,), (1,), (2,), (9,)], "node long")
-    got = {r.node: (round(r.value, 4), r.hops) for r in graph.harmonic_fill(graph.weighted_adjacency(e, "n"), anchors, nodes, rounds=20).collect()}
+    got = {r.node: (round(r.value, 4), r.hops) for r in graph.harmonic_fill(graph.weighted_adjacency(e, "n"), anchors, nodes).collect()}
     assert got == {0: (0.0, 0), 1: (0.5, 1), 2: (1.0, 0), 9: (0.0, None)}
 
 
 def test_pressure_potential(spark):
     exact = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (0, 2, 2.0), (5, 6, 1.0), (6, 7, 1.0), (5, 7, 5.0)], "i long, j long, y double")
     labels = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (5, 5), (6, 5), (7, 5)], "node long, component long")
-    got = geometry.pressure_potential(exact, labels).groupBy("component").agg(F.max(F.abs("residual")).alias("r")).orderBy("component").collect()
+    got = mechanics.pressure_potential(exact, labels).groupBy("component").agg(F.max(F.abs("residual")).alias("r")).orderBy("component").collect()
     assert got[0].r < 1e-9 and got[1].r > 0.5
-    other = geometry.pressure_potential(exact, labels, "potential_minus_observed").agg(F.max("residual")).first()[0]
+    other = mechanics.pressure_potential(exact, labels, "potential_minus_observed").agg(F.max("residual")).first()[0]
     assert other == pytest.approx(1.0)
 
 
