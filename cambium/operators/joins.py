@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cambium.scratch import written
+
 
 def relabel_edges(edges: DataFrame, labels: DataFrame, i: str = "cell_i", j: str = "cell_j") -> DataFrame:
     """Edges between current nodes: both ends looked up in ``labels(cell, node)``, inner edges dropped, ends ordered.
@@ -150,11 +152,11 @@ def nearest_neighbours(points: DataFrame, keys: list[str], ident: str, x: str, y
         found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "a").orderBy("distance", "b"))).where(F.col("rank") <= k)
         last = found.where((F.col("rank") == k) & (F.col("distance") <= r * cell)).select(*keys, "a")
         ready = found if r >= whole else found.join(last, [*keys, "a"], "left_semi")
-        ready = ready.select(*keys, "a", "b", "distance", "rank")
+        ready = written(ready.select(*keys, "a", "b", "distance", "rank"), "neighbours")
         done = ready if done is None else done.unionByName(ready)
         if r >= whole:
             return done
-        todo = todo.join(last, [*keys, "a"], "left_anti")
+        todo = written(todo.join(ready.select(*keys, "a").distinct(), [*keys, "a"], "left_anti"), "todo")
         if todo.isEmpty():
             return done
         r *= 2

@@ -78,7 +78,7 @@ def contextual_costs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Large batches, so that a run over the mesh ends within a few steps.
-QUICK = flow.Config(stages=(), last_fraction=0.2)
+QUICK = flow.Config(stages=(), last_fraction=0.5)
 
 
 @query("hi07_contextual_flow")
@@ -91,6 +91,6 @@ def contextual_flow(spark: SparkSession, sf: str) -> DataFrame:
 @query("hi12_production_run")
 def production_run(spark: SparkSession, sf: str) -> DataFrame:
     """Records of all steps of a run with checkpoints, landmarks and a terminal rule."""
-    cfg = flow.Config(stages=(), last_fraction=0.2, checkpoint_every=2, landmark=0.05, terminal={"least_blocks": 3, "warm": 3, "confirm": 2})
+    cfg = flow.Config(stages=(), last_fraction=0.4, checkpoint_every=2, landmark=0.05, terminal={"least_blocks": 3, "warm": 3, "confirm": 2})
     _, records, _ = flow.contextual_flow(flow_contacts(spark, sf), flow_cells(spark, sf), metric(), cfg)
     return rounded(records.drop("step"))

@@ -170,7 +170,7 @@ def present(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(contacts(spark, sf).select("i", "j", X.mean_of_present("tension", "pressure").alias("mean"), X.rms_of_present("tension", "pressure").alias("rms")))
 
 
-@query("sc07_adaptive_hops", sql("SELECT node, CAST(least(4, 1 + floor(log2(greatest(size / 2.0, 1.0)))) AS INTEGER) AS hops FROM (SELECT node, count(*) AS size FROM cells GROUP BY node)", LABELS))
+@query("sc16_adaptive_hops", sql("SELECT node, CAST(least(4, 1 + floor(log2(greatest(size / 2.0, 1.0)))) AS INTEGER) AS hops FROM (SELECT node, count(*) AS size FROM cells GROUP BY node)", LABELS))
 def hops(spark: SparkSession, sf: str) -> DataFrame:
     return cells(spark, sf).groupBy("node").agg(F.count("*").alias("size")).select("node", X.adaptive_hops(F.col("size") / 2.0).alias("hops"))
 
@@ -196,20 +196,20 @@ def member_lists(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("l_orderkey", F.size("members").alias("size"), F.aggregate("members", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("sc14_specimens", "SELECT * FROM (VALUES ('/data/Brain-01/cells.parquet', 'brain'), ('/data/left lung 2/x.csv', 'lung'), ('/data/other', NULL)) v(path, specimen)")
+@query("sc14_specimens", "SELECT page_id, CASE WHEN u LIKE '% fr %' THEN 'french' WHEN u LIKE '% de %' THEN 'german' WHEN u LIKE '% es %' THEN 'spanish' WHEN u LIKE '%example%' AND u LIKE '% en %' THEN 'english' END AS specimen FROM (SELECT page_id, regexp_replace(lower(url), '[^a-z0-9]+', ' ', 'g') AS u FROM pages)")
 def specimens(spark: SparkSession, sf: str) -> DataFrame:
-    known = {"brain": ["brain"], "lung": ["lung", "left"]}
-    paths = ["/data/Brain-01/cells.parquet", "/data/left lung 2/x.csv", "/data/other"]
-    return spark.createDataFrame([(p, readers.specimen_of(p, known)) for p in paths], "path string, specimen string")
+    """Pages by the words of their addresses."""
+    known = {"french": [" fr "], "german": [" de "], "spanish": [" es "], "english": ["example", " en "]}
+    return table(spark, sf, "pages").select("page_id", readers.specimen_column(F.col("url"), known).alias("specimen"))
 
 
-@query("sc16_canonical_pairs", sql("SELECT least(l_partkey, l_suppkey) AS i, greatest(l_partkey, l_suppkey) AS j, count(*) AS n FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY ALL", ONE))
+@query("prj03_canonical_pairs", sql("SELECT least(l_partkey, l_suppkey) AS i, greatest(l_partkey, l_suppkey) AS j, count(*) AS n FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY ALL", ONE))
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"))
     return X.canonical_pair(li, "i", "j").groupBy("i", "j").agg(F.count("*").alias("n"))
 
 
-@query("prj01_04_projection", sql(f"SELECT c_custkey AS id, {r6('c_acctbal')} AS value, c_custkey % 10 = 0 AS missing, CASE c_custkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 END AS passed FROM customer", ONE))
+@query("prj01_projection", sql(f"SELECT c_custkey AS id, {r6('c_acctbal')} AS value, c_custkey % 10 = 0 AS missing, CASE c_custkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 END AS passed FROM customer", ONE))
 def projected(spark: SparkSession, sf: str) -> DataFrame:
     """Columns by alias, whatever their case; sentinels and status words as flags."""
     k = F.col("c_custkey")

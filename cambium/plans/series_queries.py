@@ -146,7 +146,7 @@ md AS (SELECT r.sample, centre, bottom, b, a, quantile_cont(CASE WHEN p BETWEEN
 bs AS (SELECT sample, centre, CAST(b + 1 AS INTEGER) AS entry, CAST(a - 1 AS INTEGER) AS "exit", bottom, coalesce((l + r) / 2, l, r) - bottom AS depth FROM md)"""
 
 
-@query("wn17_18_persistence_basins", sql(f'SELECT sample, centre, entry, "exit", {r6("bottom")} AS bottom, {r6("depth")} AS depth FROM bs', BASINS))
+@query("wn17_persistence_basins", sql(f'SELECT sample, centre, entry, "exit", {r6("bottom")} AS bottom, {r6("depth")} AS depth FROM bs', BASINS))
 def persistence(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(S.persistence_basins(series(spark, sf), KEYS, "bucket", "y", 1.2, 4.0, 2))
 
@@ -185,7 +185,7 @@ def displacement(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(S.displacement(s, [], "bucket", "block", "sample", "y", 2))
 
 
-@query("wn22_23_closure_ratio", sql(f"""SELECT sample, bucket, {r6(f"(quantile_cont(y, 0.5) {W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) / (quantile_cont(y, 0.5) {W} ROWS BETWEEN 10 PRECEDING AND 3 PRECEDING))")} AS closure FROM traj"""))
+@query("wn22_closure_ratio", sql(f"""SELECT sample, bucket, {r6(f"(quantile_cont(y, 0.5) {W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) / (quantile_cont(y, 0.5) {W} ROWS BETWEEN 10 PRECEDING AND 3 PRECEDING))")} AS closure FROM traj"""))
 def closure(spark: SparkSession, sf: str) -> DataFrame:
     return at(series(spark, sf), closure=S.closure_ratio("y", w(), 3, 8))
 

@@ -260,7 +260,7 @@ def composite(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(c.select("i", "j", X.log_sum_exp_cost([(p1, F.lit(0.8), 1.0, F.col("pressure").isNotNull()), (p2, F.lit(1.0), 0.4, F.lit(True))]).alias("cost")))
 
 
-@query("sc12_13_lists", sql("SELECT p_partkey, list_distinct_keep AS parts FROM (SELECT p_partkey, array_to_string(list_transform(list_filter(list_zip(w, range(len(w))), lambda x: list_position(w, x[1]) = x[2] + 1), lambda x: x[1]), '|') AS list_distinct_keep FROM (SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(p_name || ' ' || p_brand, '[_+&|:/\\s]+'), lambda v: upper(trim(v))), lambda v: v <> '') AS w FROM part))", "one AS (SELECT 1)"))
+@query("sc12_lists", sql("SELECT p_partkey, list_distinct_keep AS parts FROM (SELECT p_partkey, array_to_string(list_transform(list_filter(list_zip(w, range(len(w))), lambda x: list_position(w, x[1]) = x[2] + 1), lambda x: x[1]), '|') AS list_distinct_keep FROM (SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(p_name || ' ' || p_brand, '[_+&|:/\\s]+'), lambda v: upper(trim(v))), lambda v: v <> '') AS w FROM part))", "one AS (SELECT 1)"))
 def lists(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     return p.select("p_partkey", F.array_join(X.complex_parts(F.concat_ws(" ", "p_name", "p_brand")), "|").alias("parts"))
@@ -271,7 +271,7 @@ def leaves(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("sc18_tail_flags", sql(f"SELECT l_returnflag, {r6('greatest(quantile_cont(l_extendedprice, 0.999), quantile_cont(l_extendedprice, 0.5) + 50 * (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)))')} AS threshold FROM lineitem GROUP BY ALL", "one AS (SELECT 1)"))
+@query("sc18_tail_threshold", sql(f"SELECT l_returnflag, {r6('greatest(quantile_cont(l_extendedprice, 0.999), quantile_cont(l_extendedprice, 0.5) + 50 * (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)))')} AS threshold FROM lineitem GROUP BY ALL", "one AS (SELECT 1)"))
 def tail(spark: SparkSession, sf: str) -> DataFrame:
     q = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(A.quantiles("l_extendedprice", [0.999, 0.5, 0.25, 0.75]).alias("q"))
     return rounded(q.select("l_returnflag", X.tail_threshold(F.col("q")[0], F.col("q")[1], F.col("q")[3] - F.col("q")[2]).alias("threshold")))
@@ -536,7 +536,14 @@ def transport(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("i", "j", X.transport_class(X.dot("q", "r"), F.sqrt(X.dot("q", "q")), F.sqrt(X.dot("r", "r"))).alias("status"))
 
 
-@query("vx15_16_loop_holonomy")
+# Three least rotations around a loop of three turn its span by the spherical excess of the triangle of directions.
+EXCESS = """unit AS (SELECT id, list_transform(state, lambda v: v / sqrt(list_dot_product(state, state))) AS q FROM points),
+loop3 AS (SELECT u || ';' || v || ';' || w AS loop_id, list_dot_product(a.q, b.q) AS ab, list_dot_product(b.q, c.q) AS bc, list_dot_product(c.q, a.q) AS ca FROM (SELECT a.i AS u, a.j AS v, b.j AS w FROM mesh a JOIN mesh b ON b.i = a.j JOIN mesh c ON c.i = a.i AND c.j = b.j) t JOIN unit a ON a.id = u JOIN unit b ON b.id = v JOIN unit c ON c.id = w),
+turn AS (SELECT loop_id, 2 * atan2(sqrt(greatest(0, 1 + 2 * ab * bc * ca - ab * ab - bc * bc - ca * ca)), 1 + ab + bc + ca) AS e FROM loop3),
+angle AS (SELECT loop_id, CASE WHEN e > pi() THEN 2 * pi() - e ELSE e END AS t FROM turn)"""
+
+
+@query("vx15_16_loop_holonomy", sql(f"SELECT loop_id, 'RESOLVED' AS status, 3 AS rank, {r6('sqrt(2.0 / 3) * t')} AS angle_rms, {r6('t')} AS angle_max, 0.0::DOUBLE AS orthogonality_error FROM angle", POINTS, MESH, EXCESS))
 def holonomy(spark: SparkSession, sf: str) -> DataFrame:
     loops = mesh_graph(spark, sf)
     t = graph.triangles(loops).select(F.concat_ws(";", "u", "v", "w").alias("loop_id"), F.array("u", "v", "w").alias("nodes"))
@@ -754,7 +761,7 @@ def importance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(statistics.importance_ranking(table(spark, sf, "orders"), ["o_orderstatus"], "o_orderpriority", "o_totalprice"))
 
 
-@query("ts11_12_grid", sql(f"SELECT gx, gy, n, {r6('share')} AS share FROM (SELECT least(9, floor((x - x0) * 10 / (x1 - x0))) AS gx, least(9, floor((y - y0) * 10 / (y1 - y0))) AS gy, count(*) AS n, avg(CASE WHEN sample < 5 THEN 1.0 ELSE 0.0 END) AS share FROM points, (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM points) GROUP BY ALL) WHERE n >= 3", POINTS))
+@query("ts11_grid_share", sql(f"SELECT gx, gy, n, {r6('share')} AS share FROM (SELECT least(9, floor((x - x0) * 10 / (x1 - x0))) AS gx, least(9, floor((y - y0) * 10 / (y1 - y0))) AS gy, count(*) AS n, avg(CASE WHEN sample < 5 THEN 1.0 ELSE 0.0 END) AS share FROM points, (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM points) GROUP BY ALL) WHERE n >= 3", POINTS))
 def grid_share(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf).withColumn("flag", F.col("sample") < 5)
     g = statistics.grid_share(p, "x", "y", "flag", 10, 3)
@@ -870,6 +877,7 @@ def exact_copy(spark: SparkSession, sf: str) -> DataFrame:
     return audits.exact_copy(a, a.withColumn("v", F.when(F.col("c_custkey") % 10 == 0, F.col("v") + 1e-6).otherwise(F.col("v"))), "c_custkey", "v")
 
 
+# Sums of hexadecimal pieces of the row digests; the row's text is that of the sink.
 @query("snk06_table_digest")
 def digest(spark: SparkSession, sf: str) -> DataFrame:
     return table_digest(table(spark, sf, "customer"))

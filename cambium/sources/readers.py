@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cambium.functions.scalars import finite_columns, resolve_columns
@@ -121,3 +122,10 @@ def specimen_of(path: str, known: dict[str, list[str]]) -> str | None:
     if len(found) > 1:
         raise ValueError(f"{path}: {', '.join(found)}")
     return found[0] if found else None
+
+
+def specimen_column(path: Column, known: dict[str, list[str]]) -> Column:
+    """Specimen whose words all occur in a path, as an expression; several are an error, none is NULL."""
+    low = F.regexp_replace(F.lower(path), "[^a-z0-9]+", " ")
+    found = F.array_compact(F.array(*[F.when(reduce(lambda a, b: a & b, [low.contains(w.lower()) for w in words]), F.lit(s)) for s, words in known.items()]))
+    return F.when(F.size(found) > 1, F.raise_error(F.concat(path, F.lit(": "), F.array_join(found, ", "))).cast("string")).otherwise(F.get(found, F.lit(0)))
