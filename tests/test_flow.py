@@ -164,7 +164,7 @@ class Killed(Exception):
     pass
 
 
-@pytest.mark.parametrize("where", ["chosen", "merged", "checkpoint"])
+@pytest.mark.parametrize("where", ["merged", "checkpoint"])
 def test_a_killed_run_resumes_to_the_same_ledger(spark, tmp_path, where):
     cells, contacts = small(3, 14)
     cfg = flow.Config(stages=(), last_fraction=0.1, checkpoint_every=2, landmark=0.1, high_quantile=0.36)
@@ -180,11 +180,14 @@ def test_a_killed_run_resumes_to_the_same_ledger(spark, tmp_path, where):
 
     with pytest.raises(Killed):
         flow.run(*data, METRIC, store, cfg, stop=die)
-    assert store.latest()[0] == 2 and max(store.steps("merges"), default=0) >= (2 if where == "chosen" else 3)
+    assert store.latest()[0] == 2 and max(store.steps("merges"), default=0) >= 3
     again = flow.run(*data, METRIC, store, cfg)
     assert merges(store) == merges(whole) and again["totals"] == state["totals"]
     for name in ("records", "evaluations"):
-        assert sorted(tuple(r) for r in store.parts(name).drop("run", "step").collect()) == sorted(tuple(r) for r in whole.parts(name).drop("run", "step").collect())
+        mine, theirs = (s.parts(name).drop("run", "step").orderBy("microstep").collect() for s in (store, whole))
+        assert len(mine) == len(theirs)
+        for a, b in zip(mine, theirs, strict=True):
+            assert [pytest.approx(v) if isinstance(v, float) else v for v in b] == list(a)
     assert flow.run(*data, METRIC, store, cfg) == again
     labels = replay(data[1].select("cell", data[1]["cell"].alias("node")), committed_ledger(store))
     assert labels.select("node").distinct().count() == again["totals"]["nodes"]
