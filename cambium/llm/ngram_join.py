@@ -24,8 +24,8 @@ tokens that over half of its members have, and each member is written as its
 difference from it, what it has besides and what it lacks. Two sets differ as
 their differences do, so the join is made on these short sets: the member
 nearest the consensus is compared with all, which covers every pair that
-needs no token in common, and the other pairs meet in a prefix of their
-differences, rare tokens first. Every candidate is verified by intersecting the
+needs no token in common, and the other pairs meet in choices of several tokens
+from a prefix of their differences, rare tokens first. Every candidate is verified by intersecting the
 sets or, which is the same, the differences; only texts with candidates are read a second time. No link between
 different components is missed, and components need no pair within one. Where
 the links themselves are asked for, all pairs of classes that share a key are
@@ -40,6 +40,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,10 @@ from cambium.scratch import dropped, temporary, written
 FEW = 4
 #: Ratio of a band's bounds.
 RATIO = 1.25
+#: Classes of a family's members: the bound of the first, and the ratio of the bounds of the others.
+FIRST, WIDTH = 0.5, 1.5
+#: Keys of a member on average, and tokens in a key, for two classes of a family.
+KEYS, MOST_TOKENS = 24, 8
 
 
 @dataclass(frozen=True)
@@ -188,6 +193,26 @@ def _with_sets(level: Level):
     return run
 
 
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of a family's members: all choices of k tokens from those that come first in its difference."""
+    for b in batches:
+        out: list[list[int]] = [[] for _ in range(8)]
+        for row in b.to_pylist():
+            tokens = row["shared"]
+            for s in row["schemes"]:
+                k, alone = s["k"], row["e"] - len(tokens)
+                side = 2 if s["low"] == s["high"] else int(row["rank"] == s["high"])
+                # Tokens that no other member has come first among all e; an end at place p leaves e - p.
+                for choice in combinations(range(max(0, len(tokens) - s["need"] + k)), k):
+                    if choice[-1] < len(tokens):
+                        name = [row["family"], s["low"], s["high"], *(tokens[i] for i in choice)]
+                        key = xxhash.xxh3_64_intdigest(np.array(name, np.int64).tobytes())
+                        for column, value in zip(out, (key - (1 << 64) if key >> 63 else key, side, row["cid"], row["n"], row["c"], row["w"], row["e"] - alone - choice[-1] - 1, k), strict=True):
+                            column.append(value)
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["key", "side", "cid", "n", "c", "w", "left", "k"])
+
+
 class Join:
     """One run of the join over a table; ``rows`` and ``classes`` are written tables.
 
@@ -298,33 +323,58 @@ class Join:
     def near_consensus(self, d: DataFrame) -> DataFrame:
         """Pairs across components (column ``c``) that may link by common tokens of their differences.
 
-        With tokens from rare to frequent in the family, two differences that
-        have at least o tokens in common share one among the first e - o + 1
-        of each, and what comes after the first of them in either bounds how many
-        there are. The member of lesser w needs o >= w / (den + num) of any such
-        partner, the other one o >= (w + least w of the family) / 2 (den + num).
+        A pair of members needs o >= (w1 + w2) / 2 (den + num) common tokens.
+        Members fall into classes by w, and two classes have a least o. With
+        tokens from rare to frequent in the family, two differences with o
+        common tokens have the first k of these, k <= o, among the first
+        e - o + k of each, and what comes after the last of the k in either bounds how
+        many there are. So all k of these tokens together are a key. Greater k
+        make fewer pairs meet and cost more keys: each two classes of a family take the
+        greatest k whose keys, counted, stay within ``KEYS`` a member on average.
         """
-        k = self.level.den + self.level.num
-        least = d.groupBy("family").agg(F.min("w").alias("least"))
+        two_k = 2 * (self.level.den + self.level.num)
         each = d.select("family", "cid", F.explode("diff").alias("t"))
         often = each.groupBy("family", "t").agg(F.count("*").alias("f")).where("f > 1")  # tokens of one member lead nowhere
-        order = each.join(often, ["family", "t"]).groupBy("family", "cid").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("shared"))
-        order = written(order, "order")
-        d = d.select("family", "cid", "n", "c", "w", F.size("diff").alias("e")).join(least, "family").join(order, ["family", "cid"]).withColumn("alone", F.col("e") - F.size("shared"))
-        low = F.greatest(F.lit(1), F.ceil(F.col("w") / k))
-        high = F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("least")) / (2 * k)))
-        # The first e - o + 1 tokens, of which those that no other member has come first; ``at`` is a token's place among all e.
-        sides = []
-        for o in (low, high):
-            first = F.greatest(F.lit(0), F.col("e") - o + 1 - F.col("alone")).cast("int")
-            each = d.select("family", "cid", "n", "c", "w", "e", "alone", F.posexplode(F.slice("shared", 1, first)).alias("p", "s"))
-            sides.append(each.select("family", F.col("s.t").alias("t"), "cid", "n", "c", "w", "e", (F.col("alone") + F.col("p") + 1).alias("at")))
-        one, two = (x.select("family", "t", *[F.col(y).alias(f"{y}{i}") for y in ("cid", "n", "c", "w", "e", "at")]) for i, x in enumerate(sides, 1))
-        # If this is their first common token, so many can still follow.
-        most = 1 + F.least(F.col("e1") - F.col("at1"), F.col("e2") - F.col("at2"))
-        out = one.join(two, ["family", "t"]).where((F.struct("w1", "cid1") < F.struct("w2", "cid2")) & (F.col("c1") != F.col("c2")) & self.close("n1", "n2") & (F.col("w1") + F.col("w2") <= 2 * k * most))
+        order = each.join(often, ["family", "t"]).groupBy("family", "cid").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "t"))), lambda s: s["t"]).alias("shared"))
+        u = F.col("w") / two_k
+        rank = F.when(u <= FIRST, 0).otherwise(F.ceil(F.log(u / FIRST) / math.log(WIDTH)).cast("int"))
+        d = d.select("family", "cid", "n", "c", "w", F.size("diff").alias("e"), rank.alias("rank")).join(order, ["family", "cid"])
+        d = written(d.withColumn("many", F.size("shared")), "ranked")
+        schemes = written(self.classes_that_meet(d), "schemes")
+        kinds = schemes.groupBy("family", "rank").agg(F.collect_list(F.struct("low", "high", "need", "k")).alias("schemes"))
+        keyed = d.join(kinds, ["family", "rank"]).mapInArrow(_combined, "key long, side int, cid long, n long, c long, w long, left int, k int")
+        keyed = written(keyed, "combined")
+        one, two = (keyed.select("key", *[F.col(y).alias(f"{y}{i}") for y in ("side", "cid", "n", "c", "w", "left", "k")]) for i in (1, 2))
+        facing = ((F.col("side1") == 0) & (F.col("side2") == 1)) | ((F.col("side1") == 2) & (F.col("side2") == 2) & (F.col("cid1") < F.col("cid2")))
+        # If these are the first common tokens, so many can still follow.
+        most = F.col("k1") + F.least("left1", "left2")
+        out = one.join(two, "key").where(facing & (F.col("c1") != F.col("c2")) & self.close("n1", "n2") & (F.col("w1") + F.col("w2") <= two_k * most))
         return out.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct()
 
+    def classes_that_meet(self, d: DataFrame) -> DataFrame:
+        """For each family, class (rank) and class that it may meet: (family, rank, low, high, need, k), low <= high the two classes.
+
+        ``need`` is the least number of common tokens, ``k`` that of tokens in a key.
+        """
+        two_k = 2 * (self.level.den + self.level.num)
+        ranks = d.groupBy("family", "rank").agg((F.min("w") / two_k).alias("u"))
+        size = d.groupBy("family").agg(F.count("*").alias("members"))
+        x, y = (ranks.select("family", F.col("rank").alias(r), F.col("u").alias(f"u{r}")) for r in ("low", "high"))
+        pairs = x.join(y, "family").where("low <= high").join(size, "family")  # a family has as many classes as powers of WIDTH
+        pairs = pairs.select("family", "low", "high", "members", F.greatest(F.lit(1), F.ceil(F.col("ulow") + F.col("uhigh") - 1e-9)).cast("int").alias("need"))
+        sides = pairs.withColumn("rank", F.explode(F.array_distinct(F.array("low", "high"))))
+        tokens = d.groupBy("family", "rank", "many").agg(F.count("*").alias("rows"))
+        each = sides.join(tokens, ["family", "rank"]).withColumn("slack", F.col("many") - F.col("need")).where("slack >= 0")
+        sums = [F.lit(1)]
+        for k in range(2, MOST_TOKENS + 1):
+            keys = F.lit(1.0)
+            for i in range(1, k + 1):
+                keys = keys * (F.col("slack") + i) / i
+            sums.append(F.when((F.sum(keys * F.col("rows")) <= F.sum("rows") * F.least(F.lit(KEYS), F.max("members") / 2)) & (F.max(keys) <= 8 * KEYS) & (F.max("need") >= k), k).otherwise(1))
+        best = each.groupBy("family", "low", "high", "need", "rank").agg(F.greatest(*sums).alias("k"))
+        agreed = best.groupBy("family", "low", "high", "need").agg(F.min("k").alias("k"), F.count("*").alias("sides")).where("sides = if(low = high, 1, 2)")
+        return agreed.withColumn("rank", F.explode(F.array_distinct(F.array("low", "high")))).select("family", "rank", "low", "high", "need", "k")
+
     def labels(self) -> DataFrame:
         """(node, component) over class ids, for classes with links."""
         self.tokens = self.load_sets()

@@ -13,8 +13,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cambium.llm import bpe, ctw, html_extract, licenses, ngram_join, quality, spotsigs
+from cambium.llm import bpe, ctw, html_extract, licenses, ngram_join, quality, spotsigs, superminhash
 from cambium.llm.queries import tokenizer_path
+from cambium.scratch import written
 
 DOCS = "doc_id long, text string"
 ODD = [(1, None), (2, ""), (3, " \t\n\v\f\r "), (4, "one"), (5, "Two Words"), (5, "Two Words"), (None, "no id at all"), (None, None), (6, "\x00\x1c  é́ ẞ 漢字 🙂  x"), (7, "x" * 70_000), (8, "a b " * 20_000)]
@@ -111,20 +112,46 @@ def test_join_edge_cases(spark, odd):
     assert ngram_join.joined(odd.limit(0)).count() == 0 and ngram_join.one_of_each(odd.limit(0)).count() == 0
 
 
-def test_families_do_not_verify_all_pairs(spark, monkeypatch):
-    """Copies that each have words of their own: candidates are a small multiple of the texts, not their square."""
+@pytest.mark.parametrize("keys_for", [ngram_join.subset_keys, superminhash.band_keys])
+@pytest.mark.parametrize("n", [300, 900])
+def test_families_do_not_verify_all_pairs(spark, monkeypatch, n, keys_for):
+    """Copies that each have words of their own: candidates of both ways of verification are a small multiple of the texts, not their square."""
     r, rows, seen = random.Random(1), [], []
-    for i in range(300):
+    for i in range(n):
         t = [f"b{k}" for k in range(200)]
         for k in r.sample(range(200), 3):
             t[k] = f"own{i}x{k}"
         rows.append((i, " ".join(t)))
-    verified = ngram_join.Join.verified
+    verified, near = ngram_join.Join.verified, ngram_join.Join.near_consensus
+
+    def counted(self, d):
+        pairs = written(near(self, d), "counted")
+        seen.append(pairs.count())
+        return pairs
+
     monkeypatch.setattr(ngram_join.Join, "verified", lambda self, pairs: seen.append(pairs.count()) or verified(self, pairs))
+    monkeypatch.setattr(ngram_join.Join, "near_consensus", counted)
     level = ngram_join.Level(3, 9, 10)
-    got = ngram_join.joined(spark.createDataFrame(rows, DOCS), level, links=False)
+    got = ngram_join.joined(spark.createDataFrame(rows, DOCS), level, links=False, keys_for=keys_for)
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()) == brute(rows, level)
-    assert sum(seen) < 300 * 299 / 2 / 5
+    assert len(seen) > 1 and sum(seen) < 10 * n
+
+
+@pytest.mark.parametrize("own", [1, 2, 6, 10])
+def test_families_with_and_without_their_base(spark, own):
+    """Families whose members differ by few or many words, some copied on with further changes, come out as brute force finds them."""
+    r, level = random.Random(own), ngram_join.Level(2, 8, 10)
+    words = [f"b{k}" for k in range(120)]
+    family = [words]
+    for i in range(160):
+        t = list(r.choice(family))
+        for k in r.sample(range(120), r.randrange(own + 1)):
+            t[k] = r.choice([f"own{i}", f"few{i % 5}"])
+        family.append(t)
+    rows = list(enumerate(" ".join(t) for t in family))
+    for keys_for in (ngram_join.subset_keys, superminhash.band_keys):
+        got = ngram_join.joined(spark.createDataFrame(rows, DOCS), level, links=False, keys_for=keys_for)
+        assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()) == brute(rows, level)
 
 
 def test_components_that_share_ids_or_have_none_keep_a_row_each(spark):
