@@ -41,7 +41,7 @@ from cambium.llm.words import U64, in_small_batches, mix, one_array, steps, word
 from cambium.scratch import temporary, written
 
 #: Bytes of text in a block, a longer single text excepted.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 #: Parts by which a language's best phrases are chosen first.
 SALTS = 64
 
