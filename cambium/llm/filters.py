@@ -1,7 +1,8 @@
-"""Bitmap filters of bounded size over 64-bit keys, in built-in functions."""
+"""Bitmap filters of bounded size over 64-bit keys, in built-in functions and for Arrow tasks."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +45,18 @@ def flagged(rows: DataFrame, key: Column, bitmap: DataFrame, bits: int, name: st
 def may_contain(rows: DataFrame, key: Column, bitmap: DataFrame, bits: int) -> DataFrame:
     """Rows whose key may be in the filter: all that are, and few others."""
     return flagged(rows, key, bitmap, bits).where("_maybe").drop("_maybe")
+
+
+def bit_array(keys: DataFrame, key: Column) -> np.ndarray:
+    """The bitmap of 64-bit hashes for tasks in Python: 16 bits for each, ``2 ** FILTER_BITS`` bits at most."""
+    bits = min(FILTER_BITS, max(15, (16 * keys.count()).bit_length()))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for page, mine in page_bitmap(keys, F.pmod(key, F.lit(1 << bits))).toLocalIterator():
+        out[page * len(mine) : (page + 1) * len(mine)] = np.frombuffer(mine, np.uint8)
+    return out
+
+
+def holds(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Which of the hashes may be in the bitmap."""
+    bit = hashes & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0

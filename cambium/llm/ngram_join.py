@@ -46,13 +46,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from cambium.llm.components import components
-from cambium.llm.filters import bitmap_of, may_contain
-from cambium.llm.words import U64, hashed, in_small_batches, mix, one_array, shingles, steps, words_of
+from cambium.llm.filters import bit_array, bitmap_of, holds, may_contain
+from cambium.llm.words import U64, hashed, in_small_batches, mix, one_array, shingles, steps, tidy, words_of
 from cambium.scratch import dropped, temporary, written
 
 #: Members of an unsettled key up to which all its pairs across components are verified at once.
@@ -61,6 +62,10 @@ FEW = 4
 RATIO = 1.25
 #: Classes of a family's members: the bound of the first, and the ratio of the bounds of the others.
 FIRST, WIDTH = 0.5, 1.5
+#: Least numbers of differences that have a token, by which tokens are ordered; the first tells those that one alone has.
+CLASSES = (2, 3, 5, 9, 33, 257)
+#: Families, 16 bytes each, up to which their least w is broadcast.
+FAMILIES = 1 << 16
 #: Keys of a member on average, and tokens in a key, for two classes of a family.
 KEYS, MOST_TOKENS = 24, 8
 
@@ -198,21 +203,79 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[list[int]] = [[] for _ in range(8)]
         for row in b.to_pylist():
-            tokens = row["shared"]
+            tokens, many = row["shared"], row["many"]
             for s in row["schemes"]:
-                k, alone = s["k"], row["e"] - len(tokens)
+                k, need = s["k"], max(s["need"], row["least_need"])
                 side = 2 if s["low"] == s["high"] else int(row["rank"] == s["high"])
-                # Tokens that no other member has come first among all e; an end at place p leaves e - p.
-                for choice in combinations(range(max(0, len(tokens) - s["need"] + k)), k):
-                    if choice[-1] < len(tokens):
-                        name = [row["family"], s["low"], s["high"], *(tokens[i] for i in choice)]
-                        key = xxhash.xxh3_64_intdigest(np.array(name, np.int64).tobytes())
-                        for column, value in zip(out, (key - (1 << 64) if key >> 63 else key, side, row["cid"], row["n"], row["c"], row["w"], row["e"] - alone - choice[-1] - 1, k), strict=True):
-                            column.append(value)
+                for choice in combinations(range(max(0, min(many, many - need + k))), k):
+                    name = [row["family"], s["low"], s["high"], *(tokens[i] for i in choice)]
+                    key = xxhash.xxh3_64_intdigest(np.array(name, np.int64).tobytes())
+                    for column, value in zip(out, (key - (1 << 64) if key >> 63 else key, side, row["cid"], row["n"], row["c"], row["w"], many - choice[-1] - 1, k), strict=True):
+                        column.append(value)
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["key", "side", "cid", "n", "c", "w", "left", "k"])
 
 
+def _token_hashes(family: pa.Array, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of sets: all tokens, the number of each one's row, and a hash of token and family."""
+    size = pc.list_value_length(tokens).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(size)), size)
+    flat = tokens.flatten().to_numpy(zero_copy_only=False).view(U64)
+    return flat, row, mix(flat + mix(family.to_numpy(zero_copy_only=False).view(U64))[row])
+
+
+def _counted_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(family, h, n): how many sets of a batch have a token, by its hash."""
+    for b in batches:
+        family = one_array(b, "family")
+        _, row, h = _token_hashes(family, one_array(b, "tokens"))
+        found, first, n = np.unique(h, return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([family.take(pa.array(row[first])), pa.array(found.view(np.int64)), pa.array(n.astype(np.int32))], names=["family", "h", "n"])
+
+
+def _common_tokens(major: Broadcast):
+    """(family, t, h) of the tokens whose hash may be in the bitmap, each once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            family = one_array(b, "family")
+            flat, row, h = _token_hashes(family, one_array(b, "tokens"))
+            found, first = np.unique(h, return_index=True)
+            first = first[holds(found, major.value)]
+            yield pa.RecordBatch.from_arrays([family.take(pa.array(row[first])), pa.array(flat[first].view(np.int64)), pa.array(h[first].view(np.int64))], names=["family", "t", "h"])
+
+    return run
+
+
+def _rare_first(classes: list[Broadcast], two_k: int):
+    """Members that may link with any: how many tokens of their difference others have too, and the first of these, from rare to frequent by class and then by value.
+
+    ``least`` is the family's least w: whoever a member links with, they have so many tokens in common.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, row, h = _token_hashes(one_array(b, "family"), one_array(b, "diff"))
+            often = np.zeros(len(h), np.int8)
+            for c in classes:
+                often += holds(h, c.value)
+            use = often > 0
+            flat, row, often = flat[use], row[use], often[use]
+            order = np.lexsort((flat, often, row))
+            flat = flat[order].view(np.int64)
+            many = np.bincount(row, minlength=b.num_rows)
+            start = np.cumsum(many) - many
+            w, least = (one_array(b, c).to_numpy(zero_copy_only=False) for c in ("w", "least"))
+            need = np.maximum(1, np.ceil((w + least) / two_k - 1e-9)).astype(np.int64)
+            kept = np.flatnonzero(many >= need)
+            first = [flat[start[i] : start[i] + min(many[i], many[i] - need[i] + MOST_TOKENS)] for i in kept]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in first])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
+            some = b.select(["family", "cid", "n", "w"]).take(pa.array(kept))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(many[kept].astype(np.int32)), pa.array(need[kept].astype(np.int32)), lists], names=["family", "cid", "n", "w", "many", "least_need", "shared"])
+
+    return run
+
+
 class Join:
     """One run of the join over a table; ``rows`` and ``classes`` are written tables.
 
@@ -224,10 +287,10 @@ class Join:
         kind = docs.schema["doc_id"].dataType.simpleString()
         self.docs = docs.select("doc_id", "text")
         text = in_small_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-        self.rows = written(text.mapInArrow(_described(level), f"doc_id {kind}, n_shingles long, print binary, node long"), "sets")
+        self.rows = written(text.mapInArrow(tidy(_described(level)), f"doc_id {kind}, n_shingles long, print binary, node long"), "sets")
         classes = self.rows.where("n_shingles > 0").groupBy("print", "node", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
         self.classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-        keyed = text.mapInArrow(_keyed(level, keys_for), "key long, node long")
+        keyed = text.mapInArrow(tidy(_keyed(level, keys_for)), "key long, node long")
         by_key = Window.partitionBy("key")
         keyed = keyed.withColumn("hub", F.min("node").over(by_key)).withColumn("far", F.max("node").over(by_key)).withColumn("size", F.count("*").over(by_key)).where("hub <> far").select("key", "node", "size")
         small = self.classes.select("node", "cid", F.col("n_shingles").alias("n"))
@@ -240,7 +303,7 @@ class Join:
         some = may_contain(self.docs, F.col("doc_id"), bitmap, bits)
         ids = wanted.select("id").distinct()
         some = some.join(ids, some["doc_id"].eqNullSafe(ids["id"]), "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
-        sets = some.mapInArrow(_with_sets(self.level), "print binary, tokens array<long>").dropDuplicates(["print"])
+        sets = some.mapInArrow(tidy(_with_sets(self.level)), "print binary, tokens array<long>").dropDuplicates(["print"])
         return written(sets.join(wanted.select("print", "cid"), "print").select("cid", "tokens"), "tokens")
 
     def close(self, a: str, b: str) -> Column:
@@ -301,13 +364,23 @@ class Join:
         family = components(hub, "family").select(F.col("node").alias("cid"), F.col("component").alias("family"))
         whole = rows = written(many.select("cid", "n").distinct().join(family, "cid").join(self.tokens, "cid"), "family")
         size = rows.groupBy("family").agg(F.count("*").alias("members"))
-        common = rows.select("family", F.explode("tokens").alias("t")).groupBy("family", "t").agg(F.count("*").alias("k")).join(size, "family").where("2 * k > members")
+        counts = in_small_batches(rows.select("family", "tokens")).mapInArrow(tidy(_counted_tokens), "family long, h long, n int")
+        often = counts.groupBy("family", "h").agg(F.sum("n").alias("f")).where("f > 1").join(size, "family")
+        often = written(often.withColumn("major", F.expr("2 * f > members")), "often")
+        major = often.where("major").select("family", "h")
+        send = rows.sparkSession.sparkContext.broadcast
+        bitmap = send(bit_array(major, F.col("h")))
+        common = rows.select("family", "tokens").mapInArrow(tidy(_common_tokens(bitmap)), "family long, t long, h long").distinct().join(major, ["family", "h"])
         consensus = common.groupBy("family").agg(F.collect_list("t").alias("consensus"))  # at most twice the mean size of a set
         rows = rows.join(consensus, "family", "left").withColumn("consensus", F.coalesce("consensus", F.array().cast("array<long>")))
         rows = rows.withColumn("diff", F.concat(F.array_except("tokens", "consensus"), F.array_except("consensus", "tokens")))
         w = F.size("diff") * (self.level.den + self.level.num) - F.col("n") * (self.level.den - self.level.num)
         out = written(rows.select("family", "cid", "n", "diff", w.alias("w")), "described")
+        bitmap.destroy()
         dropped(whole)
+        # In how many differences a token is: those that have it or, of the consensus, those that lack it.
+        often = often.select("h", F.expr("if(major, members - f, f)").alias("f"))
+        self.often = [send(bit_array(often.where(F.col("f") >= k), F.col("h"))) for k in CLASSES]
         return out
 
     def alike(self, w1: str, w2: str, diff1: str, diff2: str) -> Column:
@@ -320,29 +393,29 @@ class Join:
         out = d.join(mid, "family").where((F.col("cid") != F.col("m.cid")) & self.alike("w", "m.w", "diff", "m.diff"))
         return out.select(F.least("cid", "m.cid").alias("a"), F.greatest("cid", "m.cid").alias("b"))
 
-    def near_consensus(self, d: DataFrame) -> DataFrame:
-        """Pairs across components (column ``c``) that may link by common tokens of their differences.
+    def near_consensus(self, d: DataFrame, label: DataFrame) -> DataFrame:
+        """Pairs across components that may link by common tokens of their differences.
 
         A pair of members needs o >= (w1 + w2) / 2 (den + num) common tokens.
-        Members fall into classes by w, and two classes have a least o. With
-        tokens from rare to frequent in the family, two differences with o
-        common tokens have the first k of these, k <= o, among the first
-        e - o + k of each, and what comes after the last of the k in either bounds how
-        many there are. So all k of these tokens together are a key. Greater k
+        Members fall into classes by w, and two classes have a least o. Of the tokens that
+        two differences at least have, in one order for all, from rare to frequent, a
+        difference with m of them that has o in common with another has the first k
+        of these, k <= o, among its first m - o + k, and what comes after the last of the k in
+        either bounds how many there are. So all k of these tokens together are a key. Greater k
         make fewer pairs meet and cost more keys: each two classes of a family take the
         greatest k whose keys, counted, stay within ``KEYS`` a member on average.
         """
         two_k = 2 * (self.level.den + self.level.num)
-        each = d.select("family", "cid", F.explode("diff").alias("t"))
-        often = each.groupBy("family", "t").agg(F.count("*").alias("f")).where("f > 1")  # tokens of one member lead nowhere
-        order = each.join(often, ["family", "t"]).groupBy("family", "cid").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "t"))), lambda s: s["t"]).alias("shared"))
+        least = written(d.groupBy("family").agg(F.min("w").alias("least")), "least")
+        least = F.broadcast(least) if least.count() <= FAMILIES else least
+        first = in_small_batches(d.join(least, "family").select("family", "cid", "n", "w", "least", "diff"))
+        first = first.mapInArrow(tidy(_rare_first(self.often, two_k)), "family long, cid long, n long, w long, many int, least_need int, shared array<long>")
         u = F.col("w") / two_k
         rank = F.when(u <= FIRST, 0).otherwise(F.ceil(F.log(u / FIRST) / math.log(WIDTH)).cast("int"))
-        d = d.select("family", "cid", "n", "c", "w", F.size("diff").alias("e"), rank.alias("rank")).join(order, ["family", "cid"])
-        d = written(d.withColumn("many", F.size("shared")), "ranked")
+        d = written(self.named(written(first, "first"), label).withColumn("rank", rank), "ranked")
         schemes = written(self.classes_that_meet(d), "schemes")
         kinds = schemes.groupBy("family", "rank").agg(F.collect_list(F.struct("low", "high", "need", "k")).alias("schemes"))
-        keyed = d.join(kinds, ["family", "rank"]).mapInArrow(_combined, "key long, side int, cid long, n long, c long, w long, left int, k int")
+        keyed = d.join(kinds, ["family", "rank"]).mapInArrow(tidy(_combined), "key long, side int, cid long, n long, c long, w long, left int, k int")
         keyed = written(keyed, "combined")
         one, two = (keyed.select("key", *[F.col(y).alias(f"{y}{i}") for y in ("side", "cid", "n", "c", "w", "left", "k")]) for i in (1, 2))
         facing = ((F.col("side1") == 0) & (F.col("side2") == 1)) | ((F.col("side1") == 2) & (F.col("side2") == 2) & (F.col("cid1") < F.col("cid2")))
@@ -387,7 +460,7 @@ class Join:
             return label if few.isEmpty() else self.settled(self.across(few), label)
         d = self.described(many)
         label = self.settled(self.across(few), label, self.centre_links(d))
-        pairs = written(self.near_consensus(self.named(d, label)), "near")
+        pairs = written(self.near_consensus(d, label), "near")
         x, y = (d.select(F.col("cid").alias(k), F.col("w").alias(f"w{k}"), F.col("diff").alias(f"d{k}")) for k in ("a", "b"))
         found = written(pairs.join(x, "a").join(y, "b").where(self.alike("wa", "wb", "da", "db")).select("a", "b"), "links")
         self.links = self.links.unionByName(found)
@@ -486,7 +559,7 @@ def one_of_each(docs: DataFrame, level: Level | None = None) -> DataFrame:
     kept = worded.join(stays.join(shared, "_id", "left_anti"), F.col(i) == F.col("_id"), "left_semi")
     if not stays.where("_id is null").isEmpty() or not shared.isEmpty():
         several = worded.where(F.col(i).isNull()).unionByName(worded.join(shared, F.col(i) == F.col("_id"), "left_semi"))
-        several = several.mapInArrow(_printed(t, level), StructType([*several.schema.fields, StructField("print", BinaryType())]))
+        several = several.mapInArrow(tidy(_printed(t, level)), StructType([*several.schema.fields, StructField("print", BinaryType())]))
         several = several.join(stays, (F.col("print") == F.col("_print")) & F.col(i).eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["print"])
         kept = kept.unionByName(several.drop("print"))
     return kept.unionByName(plain.where(blank)).toDF(*cols)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cambium.llm.columns import draw60
-from cambium.llm.words import U64, hashed, in_small_batches, mix, one_array, returning, steps, words_of
+from cambium.llm.words import U64, hashed, in_small_batches, mix, one_array, returning, steps, tidy, words_of
 from cambium.scratch import written
 
 DIMS = 1 << 18
@@ -117,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~in_fold(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"), draw60(F.lit(SEED), F.col("doc_id")).alias("draw"))
     sample = usable.orderBy("draw", "doc_id", "quality").limit(rows)
     examples = in_small_batches(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("draw", "quality", "text"))
-    got = written(examples.mapInArrow(_sparse, "draw long, quality int, place binary, value binary"), "sample")
+    got = written(examples.mapInArrow(tidy(_sparse), "draw long, quality int, place binary, value binary"), "sample")
     size = got.agg(F.sum(F.octet_length("place") + F.octet_length("value"))).first()[0] or 0
     parts = got.repartitionByRange(-(-size // PART_BYTES) or 1, "draw").sortWithinPartitions("draw", "quality", "place", "value")
     model = Ftrl()
@@ -161,7 +161,7 @@ def scored(docs: DataFrame, weights: np.ndarray, keep: list[str], text_col: str
             out = pa.array(scores(one_array(b, text_col), weights))
             yield pa.RecordBatch.from_arrays([*(one_array(b, k) for k in keep), out], names=[*keep, "_score"])
 
-    return rows.mapInArrow(run, StructType([*(rows.schema[k] for k in keep), StructField("_score", DoubleType())]))
+    return rows.mapInArrow(tidy(run), StructType([*(rows.schema[k] for k in keep), StructField("_score", DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

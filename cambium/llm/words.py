@@ -69,6 +69,17 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES)
         trim(0)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving back at its end what its last step held: an idle worker keeps no more than its modules."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        returning()(0)
+
+    return whole
+
+
 @cache
 def returning() -> Callable[[int], int]:
     """Make the C library give arrays of 1 MB and more their own pages, which go back when they are freed, and return its trim."""

@@ -124,8 +124,8 @@ def test_families_do_not_verify_all_pairs(spark, monkeypatch, n, keys_for):
         rows.append((i, " ".join(t)))
     verified, near = ngram_join.Join.verified, ngram_join.Join.near_consensus
 
-    def counted(self, d):
-        pairs = written(near(self, d), "counted")
+    def counted(self, *args):
+        pairs = written(near(self, *args), "counted")
         seen.append(pairs.count())
         return pairs
 
@@ -154,6 +154,25 @@ def test_families_with_and_without_their_base(spark, own):
         assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()) == brute(rows, level)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_families_without_a_consensus(spark, seed):
+    """Texts put together from shared passages: chained by keys into one family, of which few link."""
+    r, level = random.Random(seed), ngram_join.Level(2, 8, 10)
+    passages = [[f"p{i}x{k}" for k in range(r.choice([20, 40, 60]))] for i in range(30)]
+    texts = []
+    for _ in range(150):
+        t = [w for i in r.sample(range(30), r.choice([2, 4, 8])) for w in passages[i]]
+        texts.append(t)
+        for _ in range(r.choice([0, 0, 1, 3])):
+            u = list(t)
+            for k in r.sample(range(len(u)), r.choice([1, 2, 5])):
+                u[k] = r.choice(["q", f"own{len(texts)}"])
+            texts.append(u)
+    rows = list(enumerate(" ".join(t) for t in texts))
+    got = ngram_join.joined(spark.createDataFrame(rows, DOCS), level, links=False)
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()) == brute(rows, level)
+
+
 def test_components_that_share_ids_or_have_none_keep_a_row_each(spark):
     text = {k: " ".join(f"{k}{n}" for n in range(30)) for k in "abcdef"}
     rows = [(None, text["a"]), (None, text["a"]), (None, text["b"]), (7, text["c"]), (7, text["d"]), (7, text["d"]), (8, text["e"]), (None, text["e"] + " x"), (9, text["f"]), (None, ""), (7, " ")]
