@@ -12,9 +12,10 @@ lengths, added up over the blocks, are exact frequencies. Level by level,
 the frequent phrases enter a bitmap of at most 8 MB that goes to all tasks;
 only lists that it lets pass are extended. A bitmap lets every frequent phrase
 pass, so it spares work and decides nothing: were it full, the lists would be
-longer and the results the same. The last pass sends the lengths of the lists
-that pass all bitmaps, with the keys of their two parents, and what is
-below the least frequency is dropped by its sum.
+longer and the results the same. With its frequency a phrase gets the least block that has it. In the
+last pass this block sends the keys of the phrase's two parents, found by a
+second bitmap over phrase and block, so that a phrase is sent about once and not
+by every block.
 
 *Scores.* Phrases get their words, and the frequencies of all their first and
 last parts, from their parents, a level at a time, by joins on keys.
@@ -36,8 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cambium.llm.filters import FILTER_BITS, page_bitmap
-from cambium.llm.words import U64, in_small_batches, mix, one_array, steps, words_of
+from cambium.llm.filters import bit_array, holds
+from cambium.llm.words import U64, in_small_batches, mix, one_array, steps, tidy, words_of
 from cambium.scratch import temporary, written
 
 #: Bytes of text in a block, a longer single text excepted.
@@ -49,7 +50,7 @@ SALTS = 64
 _ENDS = np.isin(np.arange(256), [*b".,;:!?\n\v\f\r"])
 _PLAIN = np.array([32 if _ENDS[b] or b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
-_BLOCK = "langs array<string>, lang array<int>, words array<string>, keys array<long>, lengths array<int>, gaps array<int>"
+_BLOCK = "block long, langs array<string>, lang array<int>, words array<string>, keys array<long>, lengths array<int>, gaps array<int>"
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -105,7 +106,8 @@ class _Block:
         keys = np.fromiter((xxhash.xxh3_64_intdigest(w.encode(), seeds[k]) for k, w in self.index), U64, len(words))
         columns = [pa.array(names, pa.string()), pa.array(langs, pa.int32()), pa.array(words, pa.string()), pa.array(keys.view(np.int64)), pa.array(np.bincount(word, minlength=len(words)).astype(np.int32)), pa.array(np.diff(at[order], prepend=np.int32(0)))]
         one = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
-        return pa.RecordBatch.from_arrays(one, names=["langs", "lang", "words", "keys", "lengths", "gaps"])
+        name = xxhash.xxh3_64_intdigest(np.concatenate([at, word]).tobytes() + keys.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(np.array([name], U64).view(np.int64)), *one], names=["block", "langs", "lang", "words", "keys", "lengths", "gaps"])
 
 
 def _blocks(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -131,18 +133,13 @@ def _child(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(mix(left) * U64(0x9E3779B97F4A7C15) + right)
 
 
-def _passes(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    bit = keys & U64((1 << FILTER_BITS) - 1)
-    return (bitmap[(bit >> U64(3)).astype(np.int64)] >> (bit & U64(7)).astype(np.uint8)) & 1 > 0
-
-
 def _lists(b: pa.RecordBatch, i: int, bitmaps: list, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Of one block, level by level: (words, keys, left parents, right parents) of all places whose parents pass, and who themselves do where a bitmap is known."""
     keys, lengths, gaps = (one_array(b, c).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for c in ("keys", "lengths", "gaps"))
     if not len(gaps):
         return
     at = np.cumsum(gaps, dtype=np.int64)
-    good = _passes(keys.view(U64), bitmaps[0].value)
+    good = holds(keys.view(U64), bitmaps[0].value)
     word = np.repeat(np.arange(len(keys), dtype=np.int32), lengths)
     line = np.full(int(at.max()) + 1, -1, np.int32)
     line[at] = np.where(good[word], word, -1)
@@ -153,13 +150,13 @@ def _lists(b: pa.RecordBatch, i: int, bitmaps: list, most: int) -> Iterator[tupl
         left, right, place = key[near], key[near + 1], place[near]
         key = _child(left, right)
         if k <= len(bitmaps):
-            on = _passes(key, bitmaps[k - 1].value)
+            on = holds(key, bitmaps[k - 1].value)
             key, left, right, place = key[on], left[on], right[on], place[on]
         yield k, key, left, right
 
 
 def _counted(bitmaps: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """List lengths of the level after the last bitmap: (key, n)."""
+    """List lengths of the level after the last bitmap: (key, n, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,50 +164,52 @@ def _counted(bitmaps: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 for k, key, _, _ in _lists(b, i, bitmaps, len(bitmaps) + 1):
                     if k > len(bitmaps):
                         found, n = np.unique(key, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int32))], names=["key", "n"])
+                        block = np.full(len(n), one_array(b, "block")[i].as_py())
+                        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(block)], names=["key", "n", "block"])
 
     return run
 
 
-def _parented(bitmaps: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """List lengths of all levels that have a bitmap, with the parents' keys."""
+def _parented(bitmaps: list, picks: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(k, key, left, right) of the phrases of each level that a block was picked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
+                block = one_array(b, "block").slice(i, 1).to_numpy().view(U64)
                 for k, key, left, right in _lists(b, i, bitmaps, len(bitmaps)):
-                    found, first, n = np.unique(key, return_index=True, return_counts=True)
-                    columns = [np.full(len(n), k, np.int32), found.view(np.int64), left[first].view(np.int64), right[first].view(np.int64), n.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "key", "left", "right", "n"])
+                    found, first = np.unique(key, return_index=True)
+                    mine = holds(found ^ block, picks[k - 2].value)
+                    first = first[mine]
+                    columns = [np.full(len(first), k, np.int32), key[first].view(np.int64), left[first].view(np.int64), right[first].view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "key", "left", "right"])
 
     return run
 
 
-def _bitmap(frequent: DataFrame) -> np.ndarray:
-    """The bitmap of the keys, 8 MB whatever their number."""
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for page, bits in page_bitmap(frequent, F.pmod("key", F.lit(1 << FILTER_BITS))).toLocalIterator():
-        out[page * len(bits) : (page + 1) * len(bits)] = np.frombuffer(bits, np.uint8)
-    return out
-
-
 def _frequencies(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
     """Words (lang, word, key, n) and phrases (k, key, left, right, f) that occur ``least`` times or more; of words, all. Both are written tables."""
     spark = docs.sparkSession
     texts = in_small_batches(docs.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text")))
-    blocks = written(texts.mapInArrow(_blocks(BLOCK_BYTES), _BLOCK), "postings")
+    blocks = written(texts.mapInArrow(tidy(_blocks(BLOCK_BYTES)), _BLOCK), "postings")
     each = blocks.select("langs", F.explode(F.arrays_zip("lang", "words", "keys", "lengths")).alias("w"))
     words = each.groupBy(F.col("langs")[F.col("w.lang")].alias("lang"), F.col("w.words").alias("word"), F.col("w.keys").alias("key")).agg(F.sum("w.lengths").alias("n"))
     words = written(words, "words")
-    lists = blocks.select("keys", "lengths", "gaps")
-    bitmaps = [spark.sparkContext.broadcast(_bitmap(words.where(F.col("n") >= least)))]
+    lists = blocks.select("block", "keys", "lengths", "gaps")
+    send = spark.sparkContext.broadcast
+    bitmaps, picks, levels = [send(bit_array(words.where(F.col("n") >= least), F.col("key")))], [], []
     for _ in range(2, longest + 1):
-        level = lists.mapInArrow(_counted(list(bitmaps)), "key long, n int").groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        level = written(level.select("key"), "frequent")
-        bitmaps.append(spark.sparkContext.broadcast(_bitmap(level)))
-    found = lists.mapInArrow(_parented(list(bitmaps)), "k int, key long, left long, right long, n int").groupBy("k", "key", "left", "right").agg(F.sum("n").alias("f"))
-    found = written(found.where(F.col("f") >= least), "phrases")
-    for b in bitmaps:
+        level = lists.mapInArrow(tidy(_counted(list(bitmaps))), "key long, n int, block long").groupBy("key").agg(F.sum("n").alias("f"), F.min("block").alias("block")).where(F.col("f") >= least)
+        level = written(level, "frequent")
+        levels.append(level)
+        bitmaps.append(send(bit_array(level, F.col("key"))))
+        picks.append(send(bit_array(level, F.col("key").bitwiseXOR(F.col("block")))))
+    sent = lists.mapInArrow(tidy(_parented(list(bitmaps), list(picks))), "k int, key long, left long, right long").distinct()
+    known = levels[0].select(F.lit(2).alias("k"), "key", "f")
+    for k, level in enumerate(levels[1:], 3):
+        known = known.unionAll(level.select(F.lit(k), "key", "f"))
+    found = written(sent.join(known, ["k", "key"]), "phrases")
+    for b in (*bitmaps, *picks):
         b.destroy()
     return words, found
 
