@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cambium.functions.scalars import affinity_penalty, c, clip, finite, log_sum_exp_cost, penalty, ratio, scale_threshold, support
+from cambium.functions.scalars import affinity_penalty, clip, finite, log_sum_exp_cost, penalty, ratio, scale_threshold, support
 from cambium.operators import graph, selection
 from cambium.operators.aggregates import positive_scale
 from cambium.operators.hierarchy import replay, terminal_rule
