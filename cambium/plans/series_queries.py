@@ -128,7 +128,17 @@ def stationary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("sample", F.col("run_start").cast("long"), F.col("run_end").cast("long"), "length", "representative", "persistence"))
 
 
-@query("wn14_change_points")
+# Second derivatives, their local maxima as scores, and the greedy choice pick by pick.
+PICKS = f"""k1 AS (SELECT *, lag(v) {W}) AS vp, lead(v) {W}) AS vn, lag(bucket) {W}) AS bp, lead(bucket) {W}) AS bn FROM g1),
+k2 AS (SELECT sample, bucket, CASE WHEN bp IS NULL THEN (vn - v) / (bn - bucket) WHEN bn IS NULL THEN (v - vp) / (bucket - bp) ELSE ((bucket - bp) * (bucket - bp) * vn + ((bn - bucket) * (bn - bucket) - (bucket - bp) * (bucket - bp)) * v - (bn - bucket) * (bn - bucket) * vp) / ((bucket - bp) * (bn - bucket) * (bn - bp)) END AS a FROM k1),
+scored AS (SELECT sample, bucket, CASE WHEN a >= max(a) {W} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) THEN abs(a) END AS score, row_number() {W}) AS r FROM k2),
+pick(sample, k, taken) AS (
+  SELECT DISTINCT sample, 0, []::BIGINT[] FROM scored UNION ALL
+  SELECT p.sample, p.k + 1, list_append(p.taken, arg_max(s.r, {{'s': s.score, 'r': -s.r}})) FROM pick p JOIN scored s ON s.sample = p.sample
+  WHERE p.k < 5 AND s.score IS NOT NULL AND len(list_filter(p.taken, lambda t: abs(t - s.r) < 3)) = 0 GROUP BY p.sample, p.k, p.taken)"""
+
+
+@query("wn14_change_points", sql(f"SELECT s.sample, bucket, {r6('score')} AS score, CAST(k AS INTEGER) AS pick FROM pick p JOIN scored s ON s.sample = p.sample AND s.r = p.taken[k] WHERE k > 0", KIN, PICKS).replace("WITH ", "WITH RECURSIVE ", 1))
 def change_points(spark: SparkSession, sf: str) -> DataFrame:
     k = kinetics(spark, sf).withColumn("score", F.when(S.is_local_extremum("a", w(), 1, False), F.abs("a"))).select("sample", "bucket", "score")
     return rounded(S.greedy_separated(k, KEYS, "bucket", "score", 3, 5))

@@ -877,7 +877,8 @@ def exact_copy(spark: SparkSession, sf: str) -> DataFrame:
     return audits.exact_copy(a, a.withColumn("v", F.when(F.col("c_custkey") % 10 == 0, F.col("v") + 1e-6).otherwise(F.col("v"))), "c_custkey", "v")
 
 
-# Sums of hexadecimal pieces of the row digests; the row's text is that of the sink.
-@query("snk06_table_digest")
+# Sums of hexadecimal pieces of the row digests.
+@query("snk06_table_digest", """SELECT count(*) AS rows, sha256(concat_ws('-', count(*), sum(('0x' || substr(d, 1, 15))::HUGEINT) % 1152921504606846976, sum(('0x' || substr(d, 16, 15))::HUGEINT) % 1152921504606846976, sum(('0x' || substr(d, 31, 15))::HUGEINT) % 1152921504606846976, sum(('0x' || substr(d, 46, 15))::HUGEINT) % 1152921504606846976)) AS digest
+  FROM (SELECT sha256(concat_ws(chr(31), coalesce(c_acctbal::VARCHAR, chr(0)), coalesce(c_custkey::VARCHAR, chr(0)), coalesce(c_mktsegment, chr(0)), coalesce(c_name, chr(0)), coalesce(c_nationkey::VARCHAR, chr(0)))) AS d FROM customer)""")
 def digest(spark: SparkSession, sf: str) -> DataFrame:
     return table_digest(table(spark, sf, "customer"))
