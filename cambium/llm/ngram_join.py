@@ -26,7 +26,7 @@ their differences do, so the join is made on these short sets: the member
 nearest the consensus is compared with all, which covers every pair that
 needs no token in common, and the other pairs meet in choices of several tokens
 from a prefix of their differences, rare tokens first. Every candidate is verified by intersecting the
-sets or, which is the same, the differences; only texts with candidates are read a second time. No link between
+sets or, which is the same, the differences, after bits of parity have told most that cannot link; only texts with candidates are read a second time. No link between
 different components is missed, and components need no pair within one. Where
 the links themselves are asked for, all pairs of classes that share a key are
 verified, as many as the square of a family's classes.
@@ -187,13 +187,25 @@ def _keyed(level: Level, keys_for):
     return run
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Two bits or more for each token, a power of two in all, each the parity of the tokens that hash to it; as longs.
+
+    Two sets' parities differ in no more bits than the sets in tokens.
+    """
+    bits = max(64, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    odd = np.bincount((tokens & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _with_sets(level: Level):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
             sets = sets_of(one_array(b, "text"), level)
             values = pa.array(np.concatenate([np.zeros(0, U64), *sets]).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([pa.array([_print(s) for s in sets], pa.binary()), lists], names=["print", "tokens"])
+            odd = [parities(s) for s in sets]
+            sketches = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(o) for o in odd])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *odd])))
+            yield pa.RecordBatch.from_arrays([pa.array([_print(s) for s in sets], pa.binary()), lists, sketches], names=["print", "tokens", "odd"])
 
     return run
 
@@ -303,15 +315,32 @@ class Join:
         some = may_contain(self.docs, F.col("doc_id"), bitmap, bits)
         ids = wanted.select("id").distinct()
         some = some.join(ids, some["doc_id"].eqNullSafe(ids["id"]), "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
-        sets = some.mapInArrow(tidy(_with_sets(self.level)), "print binary, tokens array<long>").dropDuplicates(["print"])
-        return written(sets.join(wanted.select("print", "cid"), "print").select("cid", "tokens"), "tokens")
+        sets = some.mapInArrow(tidy(_with_sets(self.level)), "print binary, tokens array<long>, odd array<long>").dropDuplicates(["print"])
+        return written(sets.join(wanted.select("print", "cid"), "print").select("cid", "tokens", "odd"), "tokens")
 
     def close(self, a: str, b: str) -> Column:
         """Whether sizes alone allow a link."""
         return F.least(a, b) * self.level.den >= F.greatest(a, b) * self.level.num
 
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose parities differ in no more bits than linked sets may in tokens: all that link, and few others.
+
+        The longer parities are folded to the length of the shorter ones.
+        """
+        size = self.classes.select("cid", F.col("n_shingles").alias("n"))
+        odd = self.tokens.select("cid", "odd").join(size, "cid")
+        a, b = (odd.select(F.col("cid").alias(k), F.col("odd").alias(f"o{k}"), F.col("n").alias(f"n{k}")) for k in ("a", "b"))
+        half = lambda o: F.zip_with(F.slice(o, 1, (F.size(o) / 2).cast("int")), F.slice(o, (F.size(o) / 2).cast("int") + 1, (F.size(o) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
+        both = pairs.select("a", "b").join(b, "b").join(a, "a")
+        for k, o in (("oa", "ob"), ("ob", "oa")):
+            both = both.withColumn(k, F.when(F.size(k) > F.size(o), half(k)).otherwise(F.col(k)))
+        differ = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+        most = (F.col("na") + F.col("nb")) * (self.level.den - self.level.num)
+        return both.where((F.size("oa") != F.size("ob")) | (differ * (self.level.den + self.level.num) <= most)).select("a", "b")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link; ``pairs`` is a written table. Only sets that a pair may need are shuffled."""
+        pairs = written(self.possible(pairs), "possible")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         tokens = may_contain(self.tokens, F.col("cid"), *bitmap_of(ids, F.col("cid"), ids.count()))
         left = tokens.select(F.col("cid").alias("a"), F.col("tokens").alias("x"))

@@ -104,6 +104,17 @@ def test_keys_of_linked_sets_meet():
                 assert len(np.intersect1d(ngram_join.keys_of(a, level), ngram_join.keys_of(b, level)))
 
 
+def test_parities_differ_no_more_than_sets():
+    r = np.random.default_rng(4)
+    for _ in range(400):
+        a = np.unique(r.integers(0, 1 << 63, int(r.integers(0, 400))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[r.random(len(a)) > r.random() * 0.5], r.integers(0, 1 << 63, int(r.integers(0, 30))).astype(np.uint64)]))
+        x, y = ngram_join.parities(a), ngram_join.parities(b)
+        while len(x) != len(y):
+            x, y = (x[: len(x) // 2] ^ x[len(x) // 2 :], y) if len(x) > len(y) else (x, y[: len(y) // 2] ^ y[len(y) // 2 :])
+        assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(np.setxor1d(a, b))
+
+
 def test_join_edge_cases(spark, odd):
     got = {(r.doc_id, r.n_shingles): r for r in ngram_join.joined(odd).collect()}
     assert len(got) <= len(ODD) and got[1, 0].component_id == 1 and got[2, 0].component_id == 2 and got[4, 1].component_id == 4 and got[5, 1].class_size == 2
