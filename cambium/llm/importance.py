@@ -142,7 +142,7 @@ def resampled(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = 10_
     with temporary(docs.sparkSession) as stay:
         features = written(dictionary(docs, target, n, buckets), "features")
         gains = F.broadcast(written(bucket_gains(features, buckets), "gains"))  # at most ``buckets`` rows
-        hot = {f: g for f, g in _most_frequent(features).join(gains, "bucket").select("feature", "gain").toLocalIterator()}
+        hot = {f: g for f, g in _most_frequent(features).join(gains, "bucket").select("feature", "gain").collect()}
         kind = docs.schema["doc_id"].dataType.simpleString()
         rows = in_small_batches(docs.select("doc_id", "text")).mapInArrow(_weighed(n, hot), f"doc_id {kind}, n_words long, n_features long, weight long, rest array<struct<feature: string, n: long>>")
         rows = written(rows.withColumn("seq", F.monotonically_increasing_id()), "weighed")
