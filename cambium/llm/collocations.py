@@ -43,6 +43,8 @@ from cambium.scratch import temporary, written
 
 #: Bytes of text in a block, a longer single text excepted.
 BLOCK_BYTES = 8 << 20
+#: Each block is a row group of its own, so that neither its writer nor a reader holds the other blocks of a file.
+ONE_BLOCK = {"parquet.block.row.count.limit": "1", "parquet.block.size": "1", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 #: Parts by which a language's best phrases are chosen first.
 SALTS = 64
 
@@ -191,7 +193,7 @@ def _frequencies(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame,
     """Words (lang, word, key, n) and phrases (k, key, left, right, f) that occur ``least`` times or more; of words, all. Both are written tables."""
     spark = docs.sparkSession
     texts = in_small_batches(docs.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text")))
-    blocks = written(texts.mapInArrow(tidy(_blocks(BLOCK_BYTES)), _BLOCK), "postings")
+    blocks = written(texts.mapInArrow(tidy(_blocks(BLOCK_BYTES)), _BLOCK), "postings", ONE_BLOCK)
     each = blocks.select("langs", F.explode(F.arrays_zip("lang", "words", "keys", "lengths")).alias("w"))
     words = each.groupBy(F.col("langs")[F.col("w.lang")].alias("lang"), F.col("w.words").alias("word"), F.col("w.keys").alias("key")).agg(F.sum("w.lengths").alias("n"))
     words = written(words, "words")
