@@ -214,7 +214,7 @@ def calibrate(effective: DataFrame, cfg: Config) -> dict:
 def admissible(relations: DataFrame, mean_size: float, frozen: dict | None, cfg: Config) -> tuple[DataFrame, dict]:
     """The relations' effective channels, costs and whether each is ``allowed``, and the calibration, made here if none is given. A written table."""
     hops = min(cfg.most_hops, cfg.base_hops + max(0, int(mean_size).bit_length() - 1))
-    effective = with_context(channels(relations), hops, cfg)
+    effective = with_context(written(channels(relations), "channels"), hops, cfg)  # the sketches are asked once
     if frozen is None:
         effective = written(effective, "effective")
         frozen = calibrate(effective, cfg)
