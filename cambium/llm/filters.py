@@ -47,11 +47,11 @@ def may_contain(rows: DataFrame, key: Column, bitmap: DataFrame, bits: int) -> D
     return flagged(rows, key, bitmap, bits).where("_maybe").drop("_maybe")
 
 
-def bit_array(keys: DataFrame, key: Column) -> np.ndarray:
-    """The bitmap of 64-bit hashes for tasks in Python: 16 bits for each, ``2 ** FILTER_BITS`` bits at most."""
-    bits = min(FILTER_BITS, max(15, (16 * keys.count()).bit_length()))
+def bit_array(keys: DataFrame, key: Column, most: int = FILTER_BITS) -> np.ndarray:
+    """The bitmap of 64-bit hashes for tasks in Python: 16 bits for each, ``2 ** most`` bits at most."""
+    bits = min(most, max(15, (16 * keys.count()).bit_length()))
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for page, mine in page_bitmap(keys, F.pmod(key, F.lit(1 << bits))).collect():  # 8 MB at most
+    for page, mine in page_bitmap(keys, F.pmod(key, F.lit(1 << bits))).collect():  # 8 MB at most, unless asked for more
         out[page * len(mine) : (page + 1) * len(mine)] = np.frombuffer(mine, np.uint8)
     return out
 

@@ -26,7 +26,8 @@ their differences do, so the join is made on these short sets: the member
 nearest the consensus is compared with all, which covers every pair that
 needs no token in common, and the other pairs meet in choices of several tokens
 from a prefix of their differences, rare tokens first. Every candidate is verified by intersecting the
-sets or, which is the same, the differences, after bits of parity have told most that cannot link; only texts with candidates are read a second time. No link between
+sets or, which is the same, the differences, after bits of parity have told most that cannot link; only texts with candidates are read again, for their bits
+and, where these allow a link or a family needs them, for their sets. No link between
 different components is missed, and components need no pair within one. Where
 the links themselves are asked for, all pairs of classes that share a key are
 verified, as many as the square of a family's classes.
@@ -66,6 +67,8 @@ FIRST, WIDTH = 0.5, 1.5
 CLASSES = (2, 3, 5, 9, 33, 257)
 #: Families, 16 bytes each, up to which their least w is broadcast.
 FAMILIES = 1 << 16
+#: Bits, as a power of two, of the largest filter of tokens that several members of a family have: 32 MB.
+MEMBER_BITS = 28
 #: Keys of a member on average, and tokens in a key, for two classes of a family.
 KEYS, MOST_TOKENS = 24, 8
 
@@ -197,15 +200,19 @@ def parities(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _with_sets(level: Level):
+def _longs(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in arrays)])))
+
+
+def _with_sets(level: Level, name: str):
+    """Each text's print, and as ``name`` its ``tokens`` or their parities, ``odd``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
             sets = sets_of(one_array(b, "text"), level)
-            values = pa.array(np.concatenate([np.zeros(0, U64), *sets]).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), values)
-            odd = [parities(s) for s in sets]
-            sketches = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(o) for o in odd])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *odd])))
-            yield pa.RecordBatch.from_arrays([pa.array([_print(s) for s in sets], pa.binary()), lists, sketches], names=["print", "tokens", "odd"])
+            values = _longs([parities(s) for s in sets] if name == "odd" else sets)
+            yield pa.RecordBatch.from_arrays([pa.array([_print(s) for s in sets], pa.binary()), values], names=["print", name])
 
     return run
 
@@ -245,6 +252,21 @@ def _counted_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([family.take(pa.array(row[first])), pa.array(found.view(np.int64)), pa.array(n.astype(np.int32))], names=["family", "h", "n"])
 
 
+def _shared_tokens(often: Broadcast):
+    """Members with those of their tokens whose hash may be in the bitmap, and in ``own`` the number of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, row, h = _token_hashes(one_array(b, "family"), one_array(b, "tokens"))
+            use = holds(h, often.value)
+            size = np.bincount(row[use], minlength=b.num_rows)
+            own = np.bincount(row, minlength=b.num_rows) - size
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat[use].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*b.select(["family", "cid", "n"]).columns, pa.array(own.astype(np.int32)), lists], names=["family", "cid", "n", "own", "tokens"])
+
+    return run
+
+
 def _common_tokens(major: Broadcast):
     """(family, t, h) of the tokens whose hash may be in the bitmap, each once a batch."""
 
@@ -308,15 +330,20 @@ class Join:
         small = self.classes.select("node", "cid", F.col("n_shingles").alias("n"))
         self.members = written(keyed.distinct().join(small, "node").select("key", "cid", "n", "size"), "members")
 
-    def load_sets(self) -> DataFrame:
-        """The sets of all classes that share a key with another."""
-        wanted = written(self.classes.join(self.members.select("cid").distinct(), "cid", "left_semi").select("cid", "print", F.col("doc_id").alias("id")), "wanted")
+    def load_parities(self) -> None:
+        """The classes that share a key with another, and the parities of their sets."""
+        shared = self.classes.join(self.members.select("cid").distinct(), "cid", "left_semi")
+        self.wanted = written(shared.select("cid", "print", F.col("n_shingles").alias("n"), F.col("doc_id").alias("id")), "wanted")
+        self.odd = written(self.of_sets("odd", self.wanted).select("cid", "n", "odd"), "parities")
+
+    def of_sets(self, name: str, wanted: DataFrame) -> DataFrame:
+        """``wanted``, a written table of classes, with the ``tokens`` of their sets or their parities, ``odd``: from their texts, which are read again."""
         bitmap, bits = bitmap_of(wanted, F.col("id"), wanted.count())
         some = may_contain(self.docs, F.col("doc_id"), bitmap, bits)
         ids = wanted.select("id").distinct()
         some = some.join(ids, some["doc_id"].eqNullSafe(ids["id"]), "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
-        sets = some.mapInArrow(tidy(_with_sets(self.level)), "print binary, tokens array<long>, odd array<long>").dropDuplicates(["print"])
-        return written(sets.join(wanted.select("print", "cid"), "print").select("cid", "tokens", "odd"), "tokens")
+        sets = some.mapInArrow(tidy(_with_sets(self.level, name)), f"print binary, {name} array<long>").dropDuplicates(["print"])
+        return sets.join(wanted.drop("id"), "print").drop("print")
 
     def close(self, a: str, b: str) -> Column:
         """Whether sizes alone allow a link."""
@@ -327,9 +354,7 @@ class Join:
 
         The longer parities are folded to the length of the shorter ones.
         """
-        size = self.classes.select("cid", F.col("n_shingles").alias("n"))
-        odd = self.tokens.select("cid", "odd").join(size, "cid")
-        a, b = (odd.select(F.col("cid").alias(k), F.col("odd").alias(f"o{k}"), F.col("n").alias(f"n{k}")) for k in ("a", "b"))
+        a, b = (self.odd.select(F.col("cid").alias(k), F.col("odd").alias(f"o{k}"), F.col("n").alias(f"n{k}")) for k in ("a", "b"))
         half = lambda o: F.zip_with(F.slice(o, 1, (F.size(o) / 2).cast("int")), F.slice(o, (F.size(o) / 2).cast("int") + 1, (F.size(o) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
         both = pairs.select("a", "b").join(b, "b").join(a, "a")
         for k, o in (("oa", "ob"), ("ob", "oa")):
@@ -339,15 +364,17 @@ class Join:
         return both.where((F.size("oa") != F.size("ob")) | (differ * (self.level.den + self.level.num) <= most)).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link; ``pairs`` is a written table. Only sets that a pair may need are shuffled."""
+        """The pairs (a, b) that link, written; ``pairs`` is a written table. Only sets that a possible pair needs are read, and they are deleted again."""
         pairs = written(self.possible(pairs), "possible")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        tokens = may_contain(self.tokens, F.col("cid"), *bitmap_of(ids, F.col("cid"), ids.count()))
+        tokens = written(self.of_sets("tokens", written(self.wanted.join(ids, "cid", "left_semi"), "sought")), "tokens")
         left = tokens.select(F.col("cid").alias("a"), F.col("tokens").alias("x"))
         right = tokens.select(F.col("cid").alias("b"), F.col("tokens").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         union = F.size("x") + F.size("y") - both
-        return pairs.select("a", "b").join(right, "b").join(left, "a").where(both * self.level.den >= union * self.level.num).select("a", "b")
+        out = written(pairs.select("a", "b").join(right, "b").join(left, "a").where(both * self.level.den >= union * self.level.num).select("a", "b"), "verified")
+        dropped(tokens)
+        return out
 
     def stars(self, members: DataFrame) -> DataFrame:
         """Pairs (a, b), a < b, of each class and the hub with which it shares the most keys.
@@ -383,30 +410,36 @@ class Join:
     def described(self, many: DataFrame) -> DataFrame:
         """Members (family, cid, n) of the families that keys connect, each with its difference from the family's consensus.
 
-        ``diff`` holds the tokens that either the member or the consensus has,
-        ``w`` is e * (den + num) - n * (den - num) for e of them. Two members
-        have ``w1 + w2 <= 2 * (den + num) * common`` exactly if they link, where
-        ``common`` counts the tokens in both differences.
+        ``w`` is e * (den + num) - n * (den - num) for e tokens that either the
+        member or the consensus has. Two members have
+        ``w1 + w2 <= 2 * (den + num) * common`` exactly if they link, where
+        ``common`` counts the tokens in both differences. A token that one
+        member alone has is in no other difference: ``diff`` leaves it out.
         """
         hubs = many.groupBy("key").agg(F.min("cid").alias("hub"))
         hub = many.join(hubs, "key").where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
         family = components(hub, "family").select(F.col("node").alias("cid"), F.col("component").alias("family"))
-        whole = rows = written(many.select("cid", "n").distinct().join(family, "cid").join(self.tokens, "cid"), "family")
-        size = rows.groupBy("family").agg(F.count("*").alias("members"))
-        counts = in_small_batches(rows.select("family", "tokens")).mapInArrow(tidy(_counted_tokens), "family long, h long, n int")
+        family = written(self.wanted.join(many.select("cid").distinct().join(family, "cid"), "cid"), "families")
+        whole = written(self.of_sets("tokens", family), "family")
+        size = family.groupBy("family").agg(F.count("*").alias("members"))
+        counts = in_small_batches(whole.select("family", "tokens")).mapInArrow(tidy(_counted_tokens), "family long, h long, n int")
         often = counts.groupBy("family", "h").agg(F.sum("n").alias("f")).where("f > 1").join(size, "family")
         often = written(often.withColumn("major", F.expr("2 * f > members")), "often")
+        send = whole.sparkSession.sparkContext.broadcast
+        bitmap = send(bit_array(often, F.col("h"), MEMBER_BITS))
+        rows = shared = written(whole.mapInArrow(tidy(_shared_tokens(bitmap)), "family long, cid long, n long, own int, tokens array<long>"), "shared")
+        bitmap.destroy()
+        dropped(whole)
         major = often.where("major").select("family", "h")
-        send = rows.sparkSession.sparkContext.broadcast
         bitmap = send(bit_array(major, F.col("h")))
         common = rows.select("family", "tokens").mapInArrow(tidy(_common_tokens(bitmap)), "family long, t long, h long").distinct().join(major, ["family", "h"])
         consensus = common.groupBy("family").agg(F.collect_list("t").alias("consensus"))  # at most twice the mean size of a set
         rows = rows.join(consensus, "family", "left").withColumn("consensus", F.coalesce("consensus", F.array().cast("array<long>")))
         rows = rows.withColumn("diff", F.concat(F.array_except("tokens", "consensus"), F.array_except("consensus", "tokens")))
-        w = F.size("diff") * (self.level.den + self.level.num) - F.col("n") * (self.level.den - self.level.num)
+        w = (F.size("diff") + F.col("own")) * (self.level.den + self.level.num) - F.col("n") * (self.level.den - self.level.num)
         out = written(rows.select("family", "cid", "n", "diff", w.alias("w")), "described")
         bitmap.destroy()
-        dropped(whole)
+        dropped(shared)
         # In how many differences a token is: those that have it or, of the consensus, those that lack it.
         often = often.select("h", F.expr("if(major, members - f, f)").alias("f"))
         self.often = [send(bit_array(often.where(F.col("f") >= k), F.col("h"))) for k in CLASSES]
@@ -479,7 +512,7 @@ class Join:
 
     def labels(self) -> DataFrame:
         """(node, component) over class ids, for classes with links."""
-        self.tokens = self.load_sets()
+        self.load_parities()
         self.tried = written(self.stars(self.members), "pairs")
         self.links = written(self.verified(self.tried), "links")
         label = components(self.links)
