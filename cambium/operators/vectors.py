@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cambium.functions.scalars import c, clip, ratio
+from cambium.scratch import dropped, written
 
 
 def functional_prior(sets: DataFrame, layer: str = "layer") -> DataFrame:
@@ -22,12 +23,15 @@ def functional_prior(sets: DataFrame, layer: str = "layer") -> DataFrame:
 
     ``sets`` has (layer, set, member); L = D^-1/2 (D - W) D^-1/2, without rows for isolated members.
     """
-    s = sets.select(layer, "set", "member").distinct().withColumn("k", F.count("*").over(Window.partitionBy(layer, "set"))).where("k >= 2")
-    pairs = s.select(layer, "set", F.col("member").alias("i"), "k").join(s.select(layer, "set", F.col("member").alias("j")), [layer, "set"]).where("i <> j")
-    w = pairs.groupBy(layer, "i", "j").agg(F.sum(1.0 / (F.col("k") - 1)).alias("w"))
+    s = sets.where(F.col(layer).isNotNull() & F.col("set").isNotNull()).groupBy(layer, "set").agg(F.collect_set("member").alias("m"), F.max(F.col("member").isNull().cast("int")).alias("_null"))
+    s = s.withColumn("k", F.size("m") + F.col("_null")).where("k >= 2")
+    pairs = s.select(layer, "m", "k", F.explode("m").alias("i")).select(layer, "k", "i", F.explode("m").alias("j")).where("i <> j")
+    w = written(pairs.groupBy(layer, "i", "j").agg(F.sum(1.0 / (F.col("k") - 1)).alias("w")), "layers")  # read twice, as the average is
     degree = w.groupBy(layer, "i").agg(F.sum("w").alias("d")).groupBy(layer).agg(F.percentile("d", F.lit(0.5)).alias("md"))
     layers = sets.agg(F.count_distinct(layer).alias("n"))
     avg = w.join(degree, layer).crossJoin(F.broadcast(layers)).groupBy("i", "j").agg((F.sum(F.col("w") / F.col("md")) / F.first("n")).alias("w"))
+    avg = written(avg, "prior")
+    dropped(w)
     d = avg.groupBy("i").agg(F.sum("w").alias("d"))
     out = avg.join(d.select("i", F.col("d").alias("di")), "i").join(d.select(F.col("i").alias("j"), F.col("d").alias("dj")), "j")
     off = out.select("i", "j", "w", (-F.col("w") / F.sqrt(F.col("di") * F.col("dj"))).alias("laplacian"))
